@@ -5,48 +5,50 @@ An axis that is absent is the empty string, never NULL.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.functions.fields import (
-    field_of, flat_text, is_array, is_number, is_string, one_line, present, scalar_at,
-    string_at, text,
+    TEXTS, Cells, field_of, is_array, is_string, key_array, let, one_line, present, settle,
+    string_at, text, with_cells,
 )
 
 
 # --- level -----------------------------------------------------------------
-def level_token(value: Column) -> Column:
-    """First level word in a text, WARNING folded into WARN; NULL when there is none."""
+def level_word(value: Column) -> Column:
+    """First level word in a text, WARNING folded into WARN; '' when there is none."""
     word = F.upper(F.regexp_extract(value, fixed.LEVEL_PATTERN, 1))
-    return F.when(word == "WARNING", "WARN").when(word != "", word)
+    return F.replace(word, F.lit("WARNING"), F.lit("WARN"))
+
+
+def has_level_word(value: Column) -> Column:
+    return value.rlike(fixed.LEVEL_PATTERN)
 
 
 def level_from_number(number: Column) -> Column:
     """Syslog severity 0-7 or a 10-60 scale rounded half-even to tens; else NULL."""
-    syslog = F.array(*[F.lit(x) for x in fixed.SYSLOG_SEVERITY])
-    tens = F.array(*[F.lit(x) for x in fixed.PINO_LEVELS])
     step = F.least(F.lit(6), F.bround(number / F.lit(10.0), 0).cast("int"))
-    return F.when(number.between(0, 7), F.get(syslog, number.cast("int"))).when(
-        number.between(10, 60), F.get(tens, step - 1)
+    return F.when(number.between(0, 7), F.get(key_array(fixed.SYSLOG_SEVERITY), number.cast("int"))).when(
+        number.between(10, 60), F.get(key_array(fixed.PINO_LEVELS), step - 1)
     )
 
 
-def _level_at(fields: Column, key: str) -> Column:
-    value = fields[key]
-    return F.when(
-        value.isNotNull(),
-        F.when(is_string(value), level_token(text(value))).when(
-            F.schema_of_variant(value) == "BIGINT", level_from_number(value.cast("bigint"))
-        ),
-    )
+def _word_or_null(value: Column) -> Column:
+    return F.when(has_level_word(value), level_word(value))
 
 
-def level_of(fields: Column) -> Column:
-    """Level from a level field, else from the first text field that names one, else ''."""
+def level_of(cells: Cells) -> Column:
+    """Level from a level field (a word in a string, or an integer), else from the first text
+    field that names one, else ''."""
     return F.coalesce(
-        *[_level_at(fields, k) for k in fixed.LEVEL_KEYS],
-        *[level_token(string_at(fields, k)) for k in fixed.LEVEL_TEXT_KEYS],
+        cells.first(fixed.LEVEL_KEYS, lambda k: F.coalesce(
+            _word_or_null(cells.string(k)), level_from_number(cells.integer(k))
+        )),
+        cells.first(fixed.LEVEL_TEXT_KEYS, lambda k: _word_or_null(cells.string(k))),
         F.lit(""),
     )
 
@@ -65,63 +67,56 @@ def is_verb(value: Column) -> Column:
     return F.upper(value).isin(*fixed.HTTP_VERBS)
 
 
-def component_in_text(value: Column) -> Column:
-    """The word right after the first level word, unless it is an HTTP verb; else ''."""
-    word = F.regexp_extract(value, fixed.LEVEL_PATTERN + r"\s*(\S*)", 2)
-    return F.when(word.rlike(fixed.COMPONENT_PATTERN) & ~is_verb(word), word).otherwise("")
+def word_after_level(value: Column) -> Column:
+    return F.regexp_extract(value, fixed.LEVEL_PATTERN + r"\s*(\S*)", 2)
 
 
-def source_of(fields: Column) -> Column:
-    named = field_of(fields, fixed.SRC_KEYS)
-    return F.when(named != "", named).otherwise(
-        component_in_text(field_of(fields, fixed.TEXT_KEYS))
-    )
+def component_of(word: Column) -> Column:
+    """The word right after the first level word, unless it is an HTTP verb; else ''."""
+    return F.when(word.rlike(fixed.COMPONENT_PATTERN) & ~is_verb(word), word).otherwise("")
 
 
 def req_id_in_text(value: Column) -> Column:
     return F.regexp_extract(value, fixed.REQ_PATTERN, 1)
 
 
-def req_id_of(fields: Column) -> Column:
-    """Any present, non-empty request-id field as text, else an id named in the text, else ''."""
-    named = [
-        F.when(present(fields[k]), F.nullif(text(fields[k]), F.lit(""))) for k in fixed.REQ_KEYS
-    ]
-    return F.coalesce(*named, req_id_in_text(field_of(fields, fixed.TEXT_KEYS)))
+def stamp_of(cells: Cells) -> Column:
+    """The first ISO time among the time fields, else the first time field, else ''."""
+    stamps = F.filter(
+        F.transform(cells.held(fixed.TS_KEYS), cells.scalar), lambda v: v.isNotNull()
+    )
+    return let(stamps, lambda s: F.coalesce(
+        F.get(F.filter(s, lambda t: t.rlike(fixed.ISO_PATTERN)), F.lit(0)),
+        F.get(s, F.lit(0)),
+        F.lit(""),
+    ))
 
 
-def clock_of(value: Column) -> Column:
+def clock_of(stamp: Column) -> Column:
     """``HH:MM:SS[.ms]`` in a time text, else its first 12 characters."""
-    clock = F.regexp_extract(value, fixed.CLOCK_PATTERN, 0)
-    return F.when(clock != "", clock).otherwise(F.substring(value, 1, 12))
-
-
-def ts_of(fields: Column) -> Column:
-    """The first ISO time among the time fields, else the first time field, as a clock text."""
-    iso = [
-        F.when(scalar_at(fields, k).rlike(fixed.ISO_PATTERN), scalar_at(fields, k))
-        for k in fixed.TS_KEYS
-    ]
-    return clock_of(F.coalesce(*iso, *[scalar_at(fields, k) for k in fixed.TS_KEYS], F.lit("")))
+    return F.coalesce(
+        F.nullif(F.regexp_extract(stamp, fixed.CLOCK_PATTERN, 0), F.lit("")),
+        F.substring(stamp, 1, 12),
+    )
 
 
 # --- message ---------------------------------------------------------------
-def residual_of(fields: Column) -> Column:
+def residual_of(fields: Column, texts: Column) -> Column:
     """``k=v`` of every field that is not an axis of its own, in record order."""
     kept = F.map_filter(
-        fields,
+        texts,
         lambda k, _: (k != fixed.META_KEY)
         & ~k.rlike(r"^col_\d+$")
         & ~F.lower(k).isin(*fixed.CONSUMED_KEYS),
     )
-    pairs = F.transform(
-        F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), flat_text(e["value"]))
-    )
-    return F.array_join(pairs, fixed.DOT)
 
+    def pair(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        nested = value.rlike(r"^[{\[]") & ~is_string(fields[key])
+        flat = F.when(value.isNull(), "null").when(nested, value).otherwise(one_line(value))
+        return F.concat(key, F.lit("="), flat)
 
-def msg_of(fields: Column) -> Column:
-    return F.coalesce(*[string_at(fields, k) for k in fixed.TEXT_KEYS], residual_of(fields))
+    return F.array_join(F.transform(F.map_entries(kept), pair), fixed.DOT)
 
 
 # --- HTTP, duration, SQL ---------------------------------------------------
@@ -132,84 +127,41 @@ def _fixed_point(scaled: Column, digits: int) -> Column:
 def fmt_nanos(nanos: Column) -> Column:
     """Nanoseconds -> ``1.5min``, ``2.50s``, ``30ms``, ``2µs`` or ``500ns``; '' if not >= 0."""
     n = nanos.try_cast("double")
-    whole = n == F.floor(n)
+    below = F.when(
+        n == F.floor(n), n.cast("bigint").cast("string")
+    ).otherwise(n.cast("string"))
     return (
         F.when(n.isNull() | F.isnan(n) | (n < 0) | (n == float("inf")), "")
         .when(n >= 6e10, F.concat(_fixed_point(n / 6e9, 1), F.lit("min")))
         .when(n >= 1e9, F.concat(_fixed_point(n / 1e7, 2), F.lit("s")))
         .when(n >= 1e6, F.concat(F.floor(n / 1e6 + 0.5).cast("string"), F.lit("ms")))
         .when(n >= 1e3, F.concat(F.floor(n / 1e3 + 0.5).cast("string"), F.lit("µs")))
-        .otherwise(F.concat(
-            F.when(whole, n.cast("bigint").cast("string")).otherwise(n.cast("string")),
-            F.lit("ns"),
-        ))
+        .otherwise(F.concat(below, F.lit("ns")))
     )
 
 
-def duration_of(fields: Column) -> Column:
-    """First present duration field, made readable."""
-    first = F.coalesce(*[
-        F.when(present(fields[k]), F.nullif(text(fields[k]), F.lit("")))
-        for k in fixed.NS_DUR_KEYS
-    ])
-    return F.coalesce(fmt_nanos(first), F.lit(""))
-
-
-def sql_of(fields: Column) -> Column:
+def sql_of(cells: Cells) -> Column:
     """First non-blank SQL field, right-trimmed, else ''."""
-    found = [
-        F.nullif(F.regexp_replace(string_at(fields, k), r"\s+$", ""), F.lit(""))
-        for k in fixed.QUERY_KEYS
-    ]
-    return F.coalesce(*found, F.lit(""))
+    found = cells.first(
+        fixed.QUERY_KEYS, lambda k: F.when(cells.string(k).rlike(r"\S"), cells.string(k))
+    )
+    return F.coalesce(F.regexp_replace(found, r"\s+$", ""), F.lit(""))
 
 
-def sql_snippet(sql: Column, max_chars: int = fixed.SNIPPET_CHARS) -> Column:
-    flat = one_line(sql)
+def cut_text(flat: Column, max_chars: int = fixed.SNIPPET_CHARS) -> Column:
     cut = F.regexp_replace(F.substring(flat, 1, max_chars), r"\s+$", "")
     return F.when(F.length(flat) > max_chars, F.concat(cut, F.lit(fixed.ELLIPSIS))).otherwise(flat)
 
 
-def has_text(fields: Column) -> Column:
-    return F.coalesce(
-        *[F.nullif(string_at(fields, k), F.lit("")) for k in fixed.TEXT_KEYS]
-    ).isNotNull()
-
-
-def http_ctx(method: Column, url: Column, status: Column, dur: Column,
-             base: Column, textual: Column) -> Column:
-    """HTTP context, without what the message text already says.
-
-    ``url`` and ``status`` go when the text contains them; ``method`` is shown only
-    next to a shown url, or when the record has no url at all.
-    """
-    shown_url = F.when(textual & base.contains(url), "").otherwise(url)
-    shown_status = F.when(textual & base.contains(status), "").otherwise(status)
-    shown_method = F.when(
-        is_verb(method) & ((shown_url != "") | (url == "")), F.upper(method)
-    ).otherwise("")
-    return F.struct(
-        shown_method.alias("method"), shown_url.alias("url"),
-        shown_status.alias("status"), dur.alias("dur"),
-    )
+def sql_snippet(sql: Column, max_chars: int = fixed.SNIPPET_CHARS) -> Column:
+    return let(one_line(sql), lambda flat: cut_text(flat, max_chars))
 
 
 def join_parts(separator: str, *parts: Column) -> Column:
-    """Join, skipping empty parts."""
+    """Join, skipping empty parts. ``parts`` are plain columns."""
     return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def summary_of(http: Column, base: Column, snippet: Column) -> Column:
-    request = join_parts(" ", http["method"], http["url"])
-    status = F.when(http["status"] != "", F.concat(F.lit(fixed.ARROW), http["status"])).otherwise("")
-    sql = F.when(snippet != "", F.concat(F.lit("sql: "), snippet)).otherwise("")
-    return join_parts(fixed.DOT, request, status, http["dur"], base, sql)
-
-
-def record_line(ts: Column, level: Column, source: Column, summary: Column) -> Column:
-    return join_parts("  ", ts, level, source, summary)
-
-
 # --- classes for display ---------------------------------------------------
 def method_class(method: Column) -> Column:
     m = F.upper(method)
@@ -238,7 +190,7 @@ def truthy(value: Column) -> Column:
 
 
 def _text_or_empty(value: Column) -> Column:
-    return F.when(truthy(value), text(value)).otherwise("")
+    return let(value, lambda v: F.when(truthy(v), text(v)).otherwise(""))
 
 
 def exc_type(fields: Column) -> Column:
@@ -254,14 +206,16 @@ def exc_type(fields: Column) -> Column:
 
 def net_error(fields: Column) -> Column:
     """``addr[:port]``, else the error type with spaces; then ``rpc:<code>``."""
-    addr, port = _text_or_empty(fields["error_addr"]), _text_or_empty(fields["error_port"])
-    kind = _text_or_empty(fields["error_type"])
-    rpc = _text_or_empty(fields["rpc_code"])
-    where = F.when(addr != "", join_parts(":", addr, port)).otherwise(
-        F.replace(kind, F.lit("_"), F.lit(" "))
-    )
-    code = F.when(rpc != "", F.concat(F.lit("rpc:"), rpc)).otherwise("")
-    return join_parts(fixed.DOT, where, code)
+    parts = F.struct(*[
+        _text_or_empty(fields[k]).alias(k)
+        for k in ("error_addr", "error_port", "error_type", "rpc_code")
+    ])
+    return let(parts, lambda p: F.concat_ws(
+        fixed.DOT,
+        F.when(p["error_addr"] != "", join_parts(":", p["error_addr"], p["error_port"]))
+        .when(p["error_type"] != "", F.replace(p["error_type"], F.lit("_"), F.lit(" "))),
+        F.when(p["rpc_code"] != "", F.concat(F.lit("rpc:"), p["rpc_code"])),
+    ))
 
 
 def trace_text(fields: Column) -> Column:
@@ -273,11 +227,9 @@ def trace_text(fields: Column) -> Column:
 
 
 def frame_count(fields: Column) -> Column:
-    frames = fields["frames"]
-    return F.coalesce(
-        F.when(frames.isNotNull() & is_array(frames), F.size(frames.cast("array<variant>"))),
-        F.lit(0),
-    )
+    return let(fields["frames"], lambda v: F.coalesce(
+        F.when(v.isNotNull() & is_array(v), F.size(v.cast("array<variant>"))), F.lit(0)
+    ))
 
 
 def fingerprint(value: Column) -> Column:
@@ -286,45 +238,92 @@ def fingerprint(value: Column) -> Column:
 
 
 # --- all axes --------------------------------------------------------------
-def with_axes(records: DataFrame) -> DataFrame:
-    """Add level, bucket, source, req_id, ts_text, msg, http, sql_snip, summary and line.
+AXES = ("level", "bucket", "source", "req_id", "ts_text", "msg", "http", "sql_snip", "summary", "line")
 
-    Staged selects: each stage reads columns of the stage before instead of repeating
-    its expressions. Stateless, so it runs in the scan stage without a shuffle.
+
+@lru_cache(maxsize=4)
+def _stages(_gateway: int) -> tuple[dict[str, Column], ...]:
+    """The axes as stages of expressions, each reading columns of the stages before.
+
+    * url and status are left out of ``http`` when the message text already says them;
+    * the method is shown only next to a shown url, or when there is no url at all.
     """
-    f = F.col("fields")
-    return (
-        records.withColumns({
-            "level": level_of(f),
-            "source": source_of(f),
-            "req_id": req_id_of(f),
-            "ts_text": ts_of(f),
-            "msg": msg_of(f),
-            "sql_snip": sql_snippet(sql_of(f)),
-            "_method": field_of(f, fixed.METHOD_KEYS),
-            "_url": field_of(f, fixed.URL_KEYS),
-            "_status": field_of(f, fixed.STATUS_KEYS),
-            "_dur": duration_of(f),
-            "_textual": has_text(f),
-        })
-        .withColumns({
-            "bucket": bucket_of(F.col("level")),
-            "http": http_ctx(*[F.col(c) for c in
-                               ("_method", "_url", "_status", "_dur", "msg", "_textual")]),
-        })
-        .withColumn("summary", summary_of(F.col("http"), F.col("msg"), F.col("sql_snip")))
-        .withColumn(
-            "line",
-            record_line(F.col("ts_text"), F.col("level"), F.col("source"), F.col("summary")),
-        )
-        .drop("_method", "_url", "_status", "_dur", "_textual")
-    )
+    cells, empty = Cells(F.col(TEXTS), F.col("fields")), F.lit("")
+    c = F.col
+    filled = lambda k: F.when(cells.string(k) != "", True)
+    found = {
+        "level": level_of(cells),
+        "_text": F.coalesce(field_of(fixed.TEXT_KEYS), empty),
+        "_said": cells.first(fixed.TEXT_KEYS, cells.string),
+        "_textual": F.coalesce(cells.first(fixed.TEXT_KEYS, filled), F.lit(False)),
+        "_source": field_of(fixed.SRC_KEYS),
+        "_req": cells.first(fixed.REQ_KEYS, cells.shown),
+        "_stamp": stamp_of(cells),
+        "_method": F.coalesce(field_of(fixed.METHOD_KEYS), empty),
+        "_url": F.coalesce(field_of(fixed.URL_KEYS), empty),
+        "_status": F.coalesce(field_of(fixed.STATUS_KEYS), empty),
+        "_nanos": cells.first(fixed.NS_DUR_KEYS, cells.shown).try_cast("double"),
+        "_sql": one_line(sql_of(cells)),
+    }
+    named = {
+        "_word": word_after_level(c("_text")),
+        "bucket": bucket_of(c("level")),
+        "req_id": F.coalesce(c("_req"), req_id_in_text(c("_text"))),
+        "ts_text": clock_of(c("_stamp")),
+        "msg": F.coalesce(c("_said"), residual_of(c("fields"), c(TEXTS))),
+        "sql_snip": cut_text(c("_sql")),
+        "_dur": F.coalesce(fmt_nanos(c("_nanos")), empty),
+    }
+    shown = {
+        "source": F.coalesce(c("_source"), component_of(c("_word"))),
+        "_url_shown": F.when(c("_textual") & c("msg").contains(c("_url")), "").otherwise(c("_url")),
+        "_status_shown": F.when(
+            c("_textual") & c("msg").contains(c("_status")), "").otherwise(c("_status")),
+    }
+    method = {
+        "_method_shown": F.when(
+            is_verb(c("_method")) & ((c("_url_shown") != "") | (c("_url") == "")),
+            F.upper(c("_method")),
+        ).otherwise(""),
+    }
+    http = {
+        "http": F.struct(
+            c("_method_shown").alias("method"), c("_url_shown").alias("url"),
+            c("_status_shown").alias("status"), c("_dur").alias("dur"),
+        ),
+        "_request": join_parts(" ", c("_method_shown"), c("_url_shown")),
+    }
+    summary = {"summary": summary_of(
+        c("_request"), c("_status_shown"), c("_dur"), c("msg"), c("sql_snip")
+    )}
+    line = {"line": join_parts("  ", c("ts_text"), c("level"), c("source"), c("summary"))}
+    return found, named, shown, method, http, summary, line
+
 
+def with_axes(records: DataFrame, *wanted: str) -> DataFrame:
+    """Add the wanted axes (all of ``AXES`` when none are named).
 
-__all__ = [
-    "bucket_of", "clock_of", "component_in_text", "duration_of", "exc_type", "field_of",
-    "fingerprint", "fmt_nanos", "frame_count", "has_text", "http_ctx", "is_number", "level_from_number",
-    "level_of", "level_token", "method_class", "msg_of", "net_error", "record_line",
-    "req_id_in_text", "req_id_of", "residual_of", "source_of", "sql_of", "sql_snippet",
-    "status_class", "summary_of", "trace_text", "ts_of", "with_axes",
-]
+    Stateless: it runs in the scan stage without a shuffle. Stages that no wanted axis
+    needs are pruned away.
+    """
+    unknown = set(wanted) - set(AXES)
+    if unknown:
+        raise ValueError(f"unknown axes: {sorted(unknown)}")
+    wanted = [a for a in AXES if a in wanted] if wanted else list(AXES)
+    kept = [c for c in records.columns if c not in AXES]
+    staged = with_cells(records)
+    for stage in _stages(id(SparkContext._gateway)):
+        staged = staged.withColumns(stage)
+    return settle(staged.select(*kept, *wanted), *wanted)
+
+
+def summary_of(request: Column, status: Column, dur: Column, base: Column, snippet: Column) -> Column:
+    """One line: ``METHOD URL · → STATUS · DUR · message · sql: …``, empty parts left out."""
+    return F.concat_ws(
+        fixed.DOT,
+        F.nullif(request, F.lit("")),
+        F.when(status != "", F.concat(F.lit(fixed.ARROW), status)),
+        F.nullif(dur, F.lit("")),
+        F.nullif(base, F.lit("")),
+        F.when(snippet != "", F.concat(F.lit("sql: "), snippet)),
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
-from loglathe.functions.axes import level_token
+from loglathe.functions.axes import has_level_word, level_word
 from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
 
 # Line classes.
@@ -44,7 +44,7 @@ def line_class(line: Column) -> Column:
         .when(line.rlike(PANIC_TITLE), PANIC)
         .when(line.rlike(GO_CALL), CALL)
         .when(line.rlike(RAISED_LINE) & ~level_first, RAISED)
-        .when(level_token(line).isNotNull(), LOG)
+        .when(has_level_word(line), LOG)
         .otherwise(OTHER)
     )
 
@@ -181,7 +181,7 @@ def trace_columns(records: DataFrame) -> DataFrame:
     title = r"(?m)^\s*\|?\s*((?:[A-Za-z_]\w*\.)*(?:Base)?ExceptionGroup): (.*)$"
     return records.withColumns({
         "level": F.when(go, "FATAL").when(
-            python | group, F.coalesce(level_token(first), F.lit("ERROR"))
+            python | group, F.coalesce(_some(level_word(first)), F.lit("ERROR"))
         ),
         "type": F.when(python, _some(F.regexp_extract(last, RAISED_LINE, 1)))
         .when(group, F.coalesce(
@@ -212,38 +212,41 @@ def text_timestamp(line: Column) -> Column:
     ))
 
 
-def trace_to_record(records: DataFrame) -> DataFrame:
-    """Assembled text records -> ``fields``.
+def text_fields_of(line: Column) -> Column:
+    """Fields of a plain line: ``raw`` (and ``timestamp_iso``) for a log line with a time or a
+    level, else ``message``."""
+    stamp = text_timestamp(line)
+    value = line.cast("variant")
+    return (
+        F.when(stamp.isNotNull(), F.create_map(
+            F.lit("timestamp_iso"), stamp.cast("variant"), F.lit("raw"), value))
+        .when(has_level_word(line), F.create_map(F.lit("raw"), value))
+        .otherwise(F.create_map(F.lit("message"), value))
+    )
 
-    A plain line becomes ``raw`` (with ``timestamp_iso``) when it carries a time or a
-    level, else ``message``. A trace becomes its named parts.
-    """
-    t = trace_columns(records)
-    raw = F.col("raw")
-    stamp = text_timestamp(raw)
-    logged = stamp.isNotNull() | level_token(raw).isNotNull()
-    plain = F.col("kind") == "text"
-    parts = [
-        ("timestamp_iso", stamp),
-        ("raw", F.when(plain & logged, raw)),
-        ("level", F.col("level")),
-        ("type", F.col("type")),
-        ("message", F.when(plain & ~logged, raw).otherwise(F.col("message"))),
-        ("method", F.col("method")),
-        ("url", F.col("url")),
-        ("goroutine", F.col("goroutine")),
-        ("frames", F.col("frames")),
-        ("sub_exceptions", F.col("sub_exceptions")),
-        ("traceback", F.col("traceback")),
-    ]
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("key"), _to_variant(k, v).alias("value")) for k, v in parts
-    ])
-    fields = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return t.withColumn("fields", fields).drop(
-        "level", "type", "message", "method", "url", "goroutine", "frames",
-        "sub_exceptions", "traceback",
+
+def text_record(records: DataFrame) -> DataFrame:
+    """Plain lines in ``raw`` -> ``fields``."""
+    return records.withColumn("fields", text_fields_of(F.col("raw")))
+
+
+_PARTS = ("level", "type", "message", "method", "url", "goroutine", "frames",
+          "sub_exceptions", "traceback")
+
+
+def trace_to_record(records: DataFrame) -> DataFrame:
+    """Assembled text records -> ``fields``: named parts of a trace, or a plain line's fields."""
+    traced = trace_columns(records)
+    entries = F.array(
+        F.struct(F.lit("timestamp_iso").alias("key"),
+                 text_timestamp(F.col("raw")).cast("variant").alias("value")),
+        *[F.struct(F.lit(k).alias("key"), _to_variant(k, F.col(k)).alias("value")) for k in _PARTS],
     )
+    fields = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return traced.withColumn(
+        "fields",
+        F.when(F.col("kind") == "text", text_fields_of(F.col("raw"))).otherwise(fields),
+    ).drop(*_PARTS)
 
 
 def _to_variant(key: str, value: Column) -> Column:
@@ -254,5 +257,5 @@ def _to_variant(key: str, value: Column) -> Column:
 
 __all__ = [
     "assemble_multiline", "frames_of", "line_class", "sub_exceptions_of",
-    "text_timestamp", "trace_columns", "trace_to_record",
+    "text_fields_of", "text_record", "text_timestamp", "trace_columns", "trace_to_record",
 ]

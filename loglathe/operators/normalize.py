@@ -10,21 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
-from loglathe.functions.fields import empty_fields, object_at, present
+from loglathe.functions.fields import empty_fields, object_at
 from loglathe.operators.rewrite import fill_gaps
 
 
-def is_export(fields: Column) -> Column:
-    """Whether a record carries ``_meta.…`` keys, a ``_meta`` object or an ``@`` stamp."""
-    keys = F.map_keys(fields)
-    return (
-        F.exists(keys, lambda k: k.startswith(fixed.META_PREFIX))
-        | object_at(fields, fixed.META_KEY).isNotNull()
-        | F.array_contains(keys, "@timestamp")
-        | F.array_contains(keys, "@version")
-    )
-
-
 def _cut_keys(fields: Column, prefix: str) -> Column:
     return F.transform_keys(fields, lambda k, _: F.substr(k, F.lit(len(prefix) + 1)))
 
@@ -33,48 +22,59 @@ def _noise(key: Column) -> Column:
     return key.isin(*fixed.META_NOISE)
 
 
-def normalize_fields(fields: Column) -> Column:
-    base = F.map_filter(
+def _parts(fields: Column, nested: Column, original: Column) -> dict[str, Column]:
+    """The five groups of fields, from the strongest to the weakest."""
+    dotted_meta = F.map_filter(
         fields,
-        lambda k, _: ~k.startswith(fixed.META_PREFIX) & (k != fixed.META_KEY) & ~k.startswith("@"),
+        lambda k, _: k.startswith(fixed.META_PREFIX)
+        & ~k.startswith(fixed.ORIGINAL_PREFIX) & (k != fixed.META_PREFIX),
     )
-    dotted_original = _cut_keys(
-        F.map_filter(
+    return {
+        "_base": F.map_filter(
+            fields,
+            lambda k, _: ~k.startswith(fixed.META_PREFIX) & (k != fixed.META_KEY) & ~k.startswith("@"),
+        ),
+        "_dotted_original": _cut_keys(F.map_filter(
             fields,
             lambda k, _: k.startswith(fixed.ORIGINAL_PREFIX) & (k != fixed.ORIGINAL_PREFIX),
+        ), fixed.ORIGINAL_PREFIX),
+        "_nested_original": F.coalesce(original, empty_fields()),
+        "_dotted_meta": F.map_filter(
+            _cut_keys(dotted_meta, fixed.META_PREFIX),
+            lambda k, _: (k != fixed.ORIGINAL_KEY) & ~_noise(k),
         ),
-        fixed.ORIGINAL_PREFIX,
-    )
-    dotted_meta = F.map_filter(
-        _cut_keys(
-            F.map_filter(
-                fields,
-                lambda k, _: k.startswith(fixed.META_PREFIX)
-                & ~k.startswith(fixed.ORIGINAL_PREFIX)
-                & (k != fixed.META_PREFIX),
+        # A scalar event_original is lifted from the nested form, dropped from the dotted one.
+        "_nested_meta": F.map_filter(
+            F.coalesce(nested, empty_fields()),
+            lambda k, _: ~_noise(k) & ~((k == fixed.ORIGINAL_KEY) & original.isNotNull()),
+        ),
+        "_stamp": F.map_filter(
+            F.transform_keys(
+                F.map_filter(fields, lambda k, _: k == "@timestamp"), lambda k, _: F.lit("timestamp")
             ),
-            fixed.META_PREFIX,
+            lambda _, v: v.isNotNull() & ~F.is_variant_null(v),
         ),
-        lambda k, _: (k != fixed.ORIGINAL_KEY) & ~_noise(k),
-    )
-    nested = F.coalesce(object_at(fields, fixed.META_KEY), empty_fields())
-    nested_original = F.coalesce(object_at(nested, fixed.ORIGINAL_KEY), empty_fields())
-    # A scalar event_original is lifted from the nested form and dropped from the dotted one.
-    nested_meta = F.map_filter(
-        nested,
-        lambda k, _: ~_noise(k)
-        & ~((k == fixed.ORIGINAL_KEY) & object_at(nested, fixed.ORIGINAL_KEY).isNotNull()),
-    )
-    lifted = fill_gaps(
-        fill_gaps(base, fill_gaps(dotted_original, nested_original)),
-        fill_gaps(dotted_meta, nested_meta),
-    )
-    stamp = fields["@timestamp"]
-    stamped = F.when(
-        present(stamp), F.map_from_arrays(F.array(F.lit("timestamp")), F.array(stamp))
-    ).otherwise(empty_fields())
-    return F.when(is_export(fields), fill_gaps(lifted, stamped)).otherwise(fields)
+    }
 
 
 def normalize_export(records: DataFrame) -> DataFrame:
-    return records.withColumn("fields", normalize_fields(F.col("fields")))
+    """Rewrite ``fields`` of records that carry ``_meta.…`` keys, a ``_meta`` object or an
+    ``@timestamp`` / ``@version``; all others stay as they are."""
+    f, nested, original = F.col("fields"), F.col("_nested"), F.col("_original")
+    out = (
+        records.withColumn("_nested", object_at(f, fixed.META_KEY))
+        .withColumn("_original", object_at(nested, fixed.ORIGINAL_KEY))
+        .withColumn("_is_export", nested.isNotNull() | F.exists(
+            F.map_keys(f),
+            lambda k: k.startswith(fixed.META_PREFIX) | k.isin("@timestamp", "@version"),
+        ))
+        .withColumn("_g", F.when(F.col("_is_export"), F.struct(*[
+            c.alias(n) for n, c in _parts(f, nested, original).items()
+        ])))
+    )
+    lifted = F.col("_g")["_base"]
+    for name in ("_dotted_original", "_nested_original", "_dotted_meta", "_nested_meta", "_stamp"):
+        lifted = fill_gaps(lifted, F.col("_g")[name])
+    return out.withColumn("fields", F.when(F.col("_is_export"), lifted).otherwise(f)).drop(
+        "_nested", "_original", "_is_export", "_g"
+    )

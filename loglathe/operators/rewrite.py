@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.functions.fields import (
-    FIELDS_TYPE, is_array, is_number, is_object, is_string, last_wins, object_at, parse_object,
-    present, squash_ends, string_at, text,
+    FIELDS_TYPE, empty_fields, is_array, is_object, is_string, last_wins, let, object_at,
+    parse_object, string_at, text,
 )
 
 ANSI_PATTERN = r"\x1B\[[0-?]*[ -/]*[@-~]"
@@ -25,21 +25,23 @@ def without_keys(fields: Column, keys: Column) -> Column:
 
 def fill_gaps(fields: Column, more: Column) -> Column:
     """``fields``, plus those entries of ``more`` whose keys are not there yet."""
-    return F.map_concat(fields, without_keys(more, F.map_keys(fields)))
+    return let(fields, lambda f: F.map_concat(f, without_keys(more, F.map_keys(f))))
 
 
-def expand_message_fields(fields: Column) -> Column:
+def expand_message(records: DataFrame) -> DataFrame:
     """A ``message`` holding a JSON object is replaced by the object's fields.
 
     An inner ``message`` wins; any other outer field wins over an inner one.
     """
-    inner = parse_object(string_at(fields, "message"))
-    outer = F.map_filter(fields, lambda k, _: k != "message")
-    return F.when(inner.isNotNull(), fill_gaps(outer, inner)).otherwise(fields)
-
-
-def expand_message(records: DataFrame) -> DataFrame:
-    return records.withColumn("fields", expand_message_fields(F.col("fields")))
+    f = F.col("fields")
+    outer = F.map_filter(f, lambda k, _: k != "message")
+    return (
+        records.withColumn("_inner", parse_object(string_at(f, "message")))
+        .withColumn("fields", F.when(
+            F.col("_inner").isNotNull(), fill_gaps(outer, F.col("_inner"))
+        ).otherwise(f))
+        .drop("_inner")
+    )
 
 
 def is_noise_key(key: Column) -> Column:
@@ -47,20 +49,28 @@ def is_noise_key(key: Column) -> Column:
     return key.startswith("kubernetes_") | key.startswith("container_") | (key == "service_instance")
 
 
-def strip_k8s_fields(fields: Column) -> Column:
-    """Fold infrastructure fields into ``_meta`` (what is already there stays)."""
-    noise = F.map_filter(fields, lambda k, _: is_noise_key(k))
-    rest = F.map_filter(fields, lambda k, _: ~is_noise_key(k) & (k != fixed.META_KEY))
-    meta = F.coalesce(object_at(fields, fixed.META_KEY), F.map_filter(noise, lambda k, v: F.lit(False)))
+def strip_k8s(records: DataFrame) -> DataFrame:
+    """Fold infrastructure fields into ``_meta`` (what is already there stays).
+
+    A record whose ``_meta`` is not an object is left alone.
+    """
+    f, noise, meta = F.col("fields"), F.col("_noise"), F.col("_folded")
+    rest = F.map_filter(f, lambda k, _: ~is_noise_key(k) & (k != fixed.META_KEY))
     folded = F.map_from_arrays(
-        F.array(F.lit(fixed.META_KEY)), F.array(F.to_variant_object(fill_gaps(meta, noise)))
+        F.array(F.lit(fixed.META_KEY)),
+        F.array(F.to_variant_object(fill_gaps(F.coalesce(meta, empty_fields()), noise))),
+    )
+    blocked = F.array_contains(F.map_keys(f), fixed.META_KEY) & meta.isNull()
+    return (
+        records.withColumns({
+            "_noise": F.map_filter(f, lambda k, _: is_noise_key(k)),
+            "_folded": object_at(f, fixed.META_KEY),
+        })
+        .withColumn("fields", F.when(
+            (F.size(noise) == 0) | blocked, f
+        ).otherwise(F.map_concat(rest, folded)))
+        .drop("_noise", "_folded")
     )
-    blocked = fields[fixed.META_KEY].isNotNull() & object_at(fields, fixed.META_KEY).isNull()
-    return F.when((F.size(noise) == 0) | blocked, fields).otherwise(F.map_concat(rest, folded))
-
-
-def strip_k8s(records: DataFrame) -> DataFrame:
-    return records.withColumn("fields", strip_k8s_fields(F.col("fields")))
 
 
 # --- SQL arguments -----------------------------------------------------------
@@ -96,31 +106,29 @@ def bind_args(sql: Column, args: Column) -> Column:
 
 def args_of(fields: Column) -> Column:
     """``args`` as an array: a JSON array, or a string holding one; else NULL."""
-    args = fields["args"]
-    return F.when(
+    return let(fields["args"], lambda args: F.when(
         args.isNotNull(),
         F.when(is_array(args), args.cast("array<variant>")).when(
             is_string(args), F.from_json(text(args), "array<variant>")
         ),
-    )
-
-
-def bind_sql_fields(fields: Column) -> Column:
-    args = args_of(fields)
-    return F.when(
-        args.isNotNull(),
-        F.transform_values(
-            fields,
-            lambda k, v: F.when(
-                k.isin(*fixed.QUERY_KEYS) & v.isNotNull() & is_string(v),
-                bind_args(text(v), args).cast("variant"),
-            ).otherwise(v),
-        ),
-    ).otherwise(fields)
+    ))
 
 
 def bind_sql(records: DataFrame) -> DataFrame:
-    return records.withColumn("fields", bind_sql_fields(F.col("fields")))
+    """Put the values of ``args`` into the SQL fields of each record."""
+    f, args = F.col("fields"), F.col("_args")
+    bound = F.transform_values(
+        f,
+        lambda k, v: F.when(
+            k.isin(*fixed.QUERY_KEYS) & v.isNotNull() & is_string(v),
+            let(text(v), lambda sql: bind_args(sql, args)).cast("variant"),
+        ).otherwise(v),
+    )
+    return (
+        records.withColumn("_args", args_of(f))
+        .withColumn("fields", F.when(args.isNotNull(), bound).otherwise(f))
+        .drop("_args")
+    )
 
 
 # --- nesting -----------------------------------------------------------------
@@ -132,9 +140,11 @@ def flatten_fields(fields: Column, max_depth: int = 8) -> Column:
     entries = F.map_entries(fields)
     for _ in range(max_depth):
         entries = F.flatten(F.transform(entries, _open_entry))
-    deep = F.exists(entries, lambda e: e["value"].isNotNull() & is_object(e["value"]))
     too_deep = F.raise_error(F.lit(f"record nested deeper than {max_depth}; raise max_depth"))
-    return F.when(deep, too_deep.cast(FIELDS_TYPE)).otherwise(last_wins(entries))
+    return let(entries, lambda all_entries: F.when(
+        F.exists(all_entries, lambda e: e["value"].isNotNull() & is_object(e["value"])),
+        too_deep.cast(FIELDS_TYPE),
+    ).otherwise(last_wins(all_entries)))
 
 
 def _open_entry(entry: Column) -> Column:
@@ -181,11 +191,3 @@ def unescape_sql(json_text: Column) -> Column:
     out = F.replace(out, F.lit("\\n"), F.lit("\n"))
     out = F.replace(out, F.lit("\\t"), F.lit("\t"))
     return F.replace(out, F.lit(guard), F.lit("\\\\"))
-
-
-__all__ = [
-    "args_of", "bind_args", "bind_sql", "bind_sql_fields", "expand_message",
-    "expand_message_fields", "fill_gaps", "flatten", "flatten_fields", "frames", "is_noise_key",
-    "is_number", "present", "squash_ends", "strip_ansi", "strip_k8s", "strip_k8s_fields",
-    "unescape_sql", "without_keys",
-]
