@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import axes as ax
 from loglathe.functions.axes import with_axes
-from loglathe.functions.fields import is_string, parse_object, text
+from loglathe.functions.fields import parse_object, text
 from loglathe.functions.highlight import highlight
 from loglathe.functions.recover import looks_like_object, recover_text
 from loglathe.operators import counts, rewrite, search
@@ -39,7 +39,7 @@ def composed(spark, sf, text_sql: str, **more: str) -> DataFrame:
 
 
 def duck(text_sql: str) -> str:
-    return d.duck_view("composed", {
+    return views.duck_view("composed", {
         "event_id": "event_id", "file_id": f"'f' || {FILE3}", "rec_no": "event_id @div@ 3",
         "event_type": "event_type", "user_id": "user_id", "raw": text_sql,
     })
@@ -60,11 +60,13 @@ def unpivot(records: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def event_lines(spark, sf, text_sql: str, order: str = "event_id") -> DataFrame:
-    """Composed texts as the numbered lines of their files."""
-    lines = split_texts(composed(spark, sf, text_sql), "raw", F.col("file_id"), F.col(order))
-    return with_rec_no(lines, "file_id", "line_no", "_dense").select(
-        "file_id", F.col("_dense").alias("line_no"), "raw_line"
+STRIDE = 16  # no composed text has more lines
+
+
+def event_lines(spark, sf, text_sql: str) -> DataFrame:
+    """Composed texts as the lines of their files; ``line_no div STRIDE`` is the event."""
+    return split_texts(
+        composed(spark, sf, text_sql), "raw", F.col("file_id"), F.col("event_id"), STRIDE
     )
 
 
@@ -72,14 +74,15 @@ def event_lines(spark, sf, text_sql: str, order: str = "event_id") -> DataFrame:
 @query("scan_lines", """
 WITH pieces AS (
   SELECT source AS file_id, doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS raw_line,
-         generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), 1) AS at FROM documents)
+         generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), 1) AS pos FROM documents)
 SELECT file_id, line_no, raw_line FROM (
-  SELECT file_id, raw_line, row_number() OVER (PARTITION BY file_id ORDER BY doc_id, at) - 1 AS line_no FROM pieces)
+  SELECT file_id, raw_line, row_number() OVER (PARTITION BY file_id ORDER BY doc_id, pos) - 1 AS line_no FROM pieces)
 WHERE NOT regexp_matches(raw_line, '^\\s*$')""")
 def scan_lines(spark, sf):
     docs = views.spread(views.table(spark, sf, "documents").select("doc_id", "source", "text"))
     lines = split_texts(docs, "text", F.col("source"), F.col("doc_id"))
-    numbered = with_rec_no(lines, "file_id", "line_no", "_dense").select(
+    # 1024 documents to a chunk.
+    numbered = with_rec_no(lines, "file_id", "line_no", "_dense", 1024 << 20).select(
         "file_id", F.col("_dense").alias("line_no"), "raw_line"
     )
     return without_blank(numbered)
@@ -117,7 +120,7 @@ CSV_TEXT = (
 )
 
 
-@query("scan_csv", d.select(d.duck_view("c", {
+@query("scan_csv", d.select(views.duck_view("c", {
     "file_id": f"'f' || {FILE3}", "rec_no": "event_id @div@ 3", "stamp": "@ts@", "event_id": "event_id",
     "event_type": "event_type", "u": views.USER}), """
 SELECT file_id, rec_no, '@timestamp' AS key, stamp AS value FROM c
@@ -125,7 +128,9 @@ UNION ALL SELECT file_id, rec_no, 'env', event_type FROM c
 UNION ALL SELECT file_id, rec_no, 'message', '{"level": "WARNING", "u": ' || u || ', "message": "a, b' || chr(10) || '(c)"}' FROM c
 UNION ALL SELECT file_id, rec_no, 'col_4', 'over' FROM c WHERE event_id % 5 = 0"""))
 def scan_csv(spark, sf):
-    return unpivot(read_csv_logs(event_lines(spark, sf, CSV_TEXT.replace("}}", "}"))))
+    records = read_csv_logs(event_lines(spark, sf, CSV_TEXT.replace("}}", "}")))
+    # The header takes a line number of its own, so a record's event gives its row.
+    return unpivot(records.withColumn("rec_no", F.expr(f"line_no div {STRIDE} div 3")))
 
 
 @query("session_union", d.select(f"{d.TEXT}, {d.JSON}", """
@@ -171,10 +176,8 @@ def detect(spark, sf):
 
 # --- assembly --------------------------------------------------------------------
 def traces(spark, sf) -> DataFrame:
-    lines = split_texts(
-        views.spark_view(spark, sf, views.TRACE_TEXT), "text", F.col("file_id"), F.col("event_id")
-    )
-    return assemble_multiline(lines).withColumn("event_id", F.shiftright("line_no", 20))
+    lines = event_lines(spark, sf, views.TRACE_TEXT["text"])
+    return assemble_multiline(lines).withColumn("event_id", F.expr(f"line_no div {STRIDE}"))
 
 
 @query("mline_python", """
@@ -308,7 +311,7 @@ K8S_TEXT = (
     "CASE WHEN event_id % 2 = 0 THEN '{\"msg\":\"m\",\"kubernetes_pod_name\":\"pod' || "
     f"{views.USER} || '\",\"container_name\":\"c\",\"_meta\":{{\"old\":1}}}}' "
     f"ELSE '{{\"msg\":\"n' || {views.USER} || '\"}}' END"
-).replace("}}", "}").replace("{{", "{")
+)
 
 
 @query("strip_k8s", d.select(duck(K8S_TEXT), """
@@ -402,15 +405,15 @@ def net_error(spark, sf):
 
 
 @query("highlight", d.select(d.TEXT, """, marked AS (
-  SELECT file_id, rec_no, raw, p AS at, lower(raw) AS low FROM log_text, range(1, 200) AS r(p) WHERE p <= length(raw)),
-hits AS (SELECT file_id, rec_no, at, substr(raw, at, 1) AS c,
-  substr(low, at, 3) = 'err' OR substr(low, at - 1, 3) = 'err' AND at > 1 OR substr(low, at - 2, 3) = 'err' AND at > 2
-  OR substr(low, at, 4) = 'rror' OR substr(low, at - 1, 4) = 'rror' AND at > 1 OR substr(low, at - 2, 4) = 'rror' AND at > 2
-  OR substr(low, at - 3, 4) = 'rror' AND at > 3 AS hit FROM marked),
+  SELECT file_id, rec_no, raw, p AS pos, lower(raw) AS low FROM log_text, range(1, 200) AS r(p) WHERE p <= length(raw)),
+hits AS (SELECT file_id, rec_no, pos, substr(raw, pos, 1) AS c,
+  substr(low, pos, 3) = 'err' OR substr(low, pos - 1, 3) = 'err' AND pos > 1 OR substr(low, pos - 2, 3) = 'err' AND pos > 2
+  OR substr(low, pos, 4) = 'rror' OR substr(low, pos - 1, 4) = 'rror' AND pos > 1 OR substr(low, pos - 2, 4) = 'rror' AND pos > 2
+  OR substr(low, pos - 3, 4) = 'rror' AND pos > 3 AS hit FROM marked),
 edges AS (SELECT *, CASE WHEN lag(hit) OVER w IS DISTINCT FROM hit THEN 1 ELSE 0 END AS edge FROM hits
-  WINDOW w AS (PARTITION BY file_id, rec_no ORDER BY at)),
-runs AS (SELECT *, sum(edge) OVER (PARTITION BY file_id, rec_no ORDER BY at) - 1 AS seg FROM edges)
-SELECT file_id, rec_no, CAST(seg AS INT) AS seg, string_agg(c, '' ORDER BY at) AS t, any_value(hit) AS hit
+  WINDOW w AS (PARTITION BY file_id, rec_no ORDER BY pos)),
+runs AS (SELECT *, sum(edge) OVER (PARTITION BY file_id, rec_no ORDER BY pos) - 1 AS seg FROM edges)
+SELECT file_id, rec_no, CAST(seg AS INT) AS seg, string_agg(c, '' ORDER BY pos) AS t, any_value(hit) AS hit
 FROM runs GROUP BY file_id, rec_no, seg"""))
 def highlighted(spark, sf):
     return text_logs(spark, sf).select(
@@ -489,6 +492,3 @@ def export_view(spark, sf):
         with_axes(text_logs(spark, sf), "bucket", "source"), off_buckets=["DEBUG"], off_sources=["cache"]
     )
     return shown.select("file_id", "rec_no", F.to_json("fields").alias("line"))
-
-
-__all__ = ["is_string"]

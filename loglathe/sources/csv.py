@@ -12,7 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running, with_rec_no
+from loglathe.functions.fields import let
+from loglathe.operators.materialize import cut
+from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
 
 
 def assemble_csv(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -58,11 +60,11 @@ def _cell(cell: Column) -> Column:
 
 
 def csv_records(records: DataFrame, sep: str = ",") -> DataFrame:
-    """Assembled CSV records -> ``rec_no`` and ``fields``; the header row of each file goes."""
-    numbered = with_rec_no(records, "file_id", "line_no", "_row")
-    cells = numbered.withColumn("_cells", cells_of(F.col("raw"), sep))
+    """Assembled CSV records -> ``fields``; the header row of each file goes."""
     # One row per file. Spark chooses the join from the table's real size.
-    headers = cells.filter("_row = 0").select("file_id", F.col("_cells").alias("_header"))
+    headers = records.groupBy("file_id").agg(
+        F.min("line_no").alias("_first_line"), F.min_by("raw", "line_no").alias("_header")
+    ).withColumn("_header", cells_of(F.col("_header"), sep))
     named = F.transform(
         F.col("_cells"),
         lambda c, i: F.struct(
@@ -73,17 +75,19 @@ def csv_records(records: DataFrame, sep: str = ",") -> DataFrame:
             c.cast("variant").alias("value"),
         ),
     )
-    seen = F.transform(named, lambda e: e["key"])
-    unique = F.filter(named, lambda e, i: F.array_position(seen, e["key"]) == i + 1)
+    unique = let(named, lambda pairs: F.filter(
+        pairs,
+        lambda e, i: F.array_position(F.transform(pairs, lambda p: p["key"]), e["key"]) == i + 1,
+    ))
     return (
-        cells.filter("_row > 0")
-        .join(headers, "file_id")
+        records.join(headers, "file_id")
+        .filter(F.col("line_no") > F.col("_first_line"))
+        .withColumn("_cells", cells_of(F.col("raw"), sep))
         .withColumn("fields", F.map_from_entries(unique))
-        .withColumn("rec_no", F.col("_row") - 1)
-        .drop("_row", "_cells", "_header")
+        .drop("_first_line", "_cells", "_header")
     )
 
 
 def read_csv_logs(lines: DataFrame, sep: str = ",", rows: int = CHUNK_ROWS) -> DataFrame:
     """``log_lines`` of CSV files -> ``log_records`` with ``format = 'csv'``."""
-    return csv_records(assemble_csv(lines, rows), sep).withColumn("format", F.lit("csv"))
+    return csv_records(cut(assemble_csv(lines, rows), "csv"), sep).withColumn("format", F.lit("csv"))

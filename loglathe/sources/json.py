@@ -23,12 +23,9 @@ def _braces(line: Column) -> Column:
     return (up - down).cast("bigint")
 
 
-def _objects_apart(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``}, {`` on one line becomes two pieces (a comma stays, for nested arrays)."""
-    pieces = F.split(F.regexp_replace(F.col("raw_line"), _BETWEEN, "$1\n,"), "\n")
-    return lines.select(*keep, "line_no", F.posexplode(pieces).alias("_part", "_text")).withColumn(
-        "_at", F.col("line_no") * F.lit(_PARTS) + F.col("_part")
-    )
+def _pieces(line: Column) -> Column:
+    """A line cut at every ``}, {`` outside strings (the comma stays with the second piece)."""
+    return F.split(F.regexp_replace(line, _BETWEEN, "$1\n,"), "\n")
 
 
 def _bare_object(raw: Column) -> Column:
@@ -39,13 +36,43 @@ def _bare_object(raw: Column) -> Column:
 _SEPARATOR_LINE = r"^[\s,\[\]]*$"
 
 
+def _whole_objects(pieces: Column) -> Column:
+    """Pieces of one line put together again wherever they belong to one object."""
+    def step(acc, piece):
+        text = F.concat(acc["open"], piece)
+        depth = acc["depth"] + _braces(piece)
+        closed = depth <= 0
+        return F.struct(
+            F.when(closed, F.array_append(acc["done"], text)).otherwise(acc["done"]).alias("done"),
+            F.when(closed, "").otherwise(text).alias("open"),
+            F.when(closed, 0).otherwise(depth).cast("bigint").alias("depth"),
+        )
+
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"),
+        F.lit(0).cast("bigint").alias("depth"),
+    )
+    return F.aggregate(
+        pieces, start, step,
+        lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"]))
+        .otherwise(acc["done"]),
+    )
+
+
 def line_objects(lines: DataFrame) -> DataFrame:
-    """Every line holds whole objects: one per line, or several in an array."""
+    """Every line holds whole objects: one per line, or several in an array.
+
+    A line is complete in itself, so a damaged one cannot run into the next.
+    """
     keep = [c for c in ("file_id", "file_name") if c in lines.columns]
     return (
-        _objects_apart(lines, keep)
+        lines.select(
+            *keep, "line_no",
+            F.posexplode(_whole_objects(_pieces(F.col("raw_line")))).alias("_part", "_text"),
+        )
         .filter(~F.col("_text").rlike(_SEPARATOR_LINE))
-        .select(*keep, F.col("_at").alias("line_no"), _bare_object(F.col("_text")).alias("raw"))
+        .select(*keep, (F.col("line_no") * F.lit(_PARTS) + F.col("_part")).alias("line_no"),
+                _bare_object(F.col("_text")).alias("raw"))
     )
 
 
@@ -53,8 +80,14 @@ def spread_objects(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Objects may run over many lines (pretty-printed files)."""
     keep = [c for c in ("file_id", "file_name") if c in lines.columns]
     deep = _braces(F.col("_text"))
+    placed = lines.select(
+        *keep, "line_no", F.posexplode(_pieces(F.col("raw_line"))).alias("_part", "_text")
+    ).withColumns({
+        "_at": F.col("line_no") * F.lit(_PARTS) + F.col("_part"),
+        "_chunk": chunk_of(F.col("line_no"), rows),
+    })
     tracked = running(
-        _objects_apart(lines, keep).withColumn("_chunk", chunk_of(F.col("line_no"), rows)),
+        placed,
         ["file_id"], "_chunk", "_at", sums={"_depth": deep},
     )
     flagged = tracked.withColumns({

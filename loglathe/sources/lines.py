@@ -88,18 +88,24 @@ def read_lines(
     return decode_lines(number_lines(scan_text(spark, paths, skip_broken)), encoding)
 
 
-def split_texts(texts: DataFrame, text: str, file_id: Column, order: Column) -> DataFrame:
+def split_texts(
+    texts: DataFrame, text: str, file_id: Column, order: Column, stride: int = 1 << 20
+) -> DataFrame:
     """Texts held in a table -> ``log_lines``, one file per ``file_id``.
 
-    ``order`` is a unique integer per text; ``line_no`` keeps text order and line order
-    (it is unique and increasing, not dense). Texts may have up to 2**20 lines each.
+    ``order`` is a unique integer per text. ``line_no`` is ``order * stride`` plus the line's
+    position in its text: unique and increasing, not dense. A text with more than ``stride``
+    lines is an error.
     """
     pieces = F.split(F.col(text), r"\r\n|\n|\r")
+    fits = F.when(F.size(pieces) <= stride, pieces).otherwise(
+        F.raise_error(F.lit(f"a text has more than {stride} lines")).cast("array<string>")
+    )
     return texts.select(
-        file_id.alias("file_id"), order.alias("_order"), F.posexplode(pieces).alias("_at", "raw_line")
+        file_id.alias("file_id"), order.alias("_order"), F.posexplode(fits).alias("_at", "raw_line")
     ).select(
         "file_id",
-        (F.col("_order") * F.lit(1 << 20) + F.col("_at")).cast("bigint").alias("line_no"),
+        (F.col("_order") * F.lit(stride) + F.col("_at")).cast("bigint").alias("line_no"),
         "raw_line",
     )
 
