@@ -130,7 +130,7 @@ def assemble_multiline(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     )
     joined = join_runs(
         grouped.filter("multi"), keep, "gid", "line_no", "raw_line",
-        extra={"kind": kind}, extra_single={"kind": F.lit("text")},
+        extra={"kind": kind},
     )
     return single.unionByName(joined)
 

@@ -88,33 +88,25 @@ def join_runs(
     first: str,
     order: str,
     text: str,
+    stride: int = 1,
     max_lines: int = 100_000,
     extra: Mapping[str, Column] | None = None,
-    extra_single: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Lines that share ``(file_id, first)`` -> one row ``keep, line_no, raw`` (+ extras).
 
-    A record is bounded by nature; a damaged file (a quote or brace never closed) is not.
-    Runs longer than ``max_lines`` therefore stay one row per line, so nothing is lost and
-    no task collects a whole file. Run lengths come from a narrow pre-aggregated count.
+    ``first`` is the ``order`` of the run's first line; ``stride`` is the step of ``order``
+    from one line to the next. A record is bounded by nature, a damaged file (a quote or a
+    brace never closed) is not: such a run becomes several rows of ``max_lines`` lines each,
+    so nothing is lost and no task collects a whole file.
     """
-    extra, extra_single = dict(extra or {}), dict(extra_single or {})
-    key = ["file_id", first]
-    too_long = df.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_lines)
-    marked = df.join(too_long, key, "left")
-    joined = (
-        marked.filter("_n IS NULL")
-        .groupBy(*keep, F.col(first).alias("line_no"))
+    part = F.floor((F.col(order) - F.col(first)) / F.lit(stride * max_lines))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return (
+        df.groupBy(*keep, first, part.alias("_part"))
         .agg(
-            F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
-                lambda s: s["t"],
-            ), "\n").alias("raw"),
-            *[c.alias(n) for n, c in extra.items()],
+            F.min(order).alias("line_no"),
+            F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("raw"),
+            *[c.alias(n) for n, c in (extra or {}).items()],
         )
+        .drop(first, "_part")
     )
-    loose = marked.filter("_n IS NOT NULL").select(
-        *keep, F.col(order).alias("line_no"), F.col(text).alias("raw"),
-        *[c.alias(n) for n, c in extra_single.items()],
-    )
-    return joined.unionByName(loose)

@@ -100,7 +100,7 @@ def spread_objects(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
         flagged.filter("NOT _starts OR _open"), ["file_id"], "_chunk", "_at",
         maxes={"_first": F.when(F.col("_starts"), F.col("_at"))}, inclusive=True,
     )
-    joined = join_runs(spread, keep, "_first", "_at", "_text")
+    joined = join_runs(spread, keep, "_first", "_at", "_text", stride=_PARTS)
     return single.unionByName(joined).withColumn("raw", _bare_object(F.col("raw")))
 
 
