@@ -191,7 +191,7 @@ def settle(records: DataFrame, *names: str) -> DataFrame:
 
 def texts_of(fields: Column) -> Column:
     """Every value as text: strings bare, objects and arrays as JSON, null as NULL."""
-    return F.from_json(F.to_json(fields, {"ignoreNullFields": "false"}), "map<string,string>")
+    return F.transform_values(fields, lambda _, v: text(v))
 
 
 def one_line(value: Column) -> Column:

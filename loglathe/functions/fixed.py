@@ -17,7 +17,8 @@ WARN_LEVELS = ("WARN", "WARNING")
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 LEVEL_PATTERN = (
-    "(?i)" + WORD_START + "(DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL|TRACE)" + WORD_END
+    # The first letter is looked at before the costlier boundary test.
+    "(?i)(?=[DIWEFCT])" + WORD_START + "(DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL|TRACE)" + WORD_END
 )
 
 # --- text ------------------------------------------------------------------
@@ -46,7 +47,7 @@ REQ_KEYS = (
     "corr_id", "trace_id", "traceId", "traceID", "rid", "span_id",
 )
 REQ_PATTERN = (
-    "(?i)" + WORD_START
+    "(?i)(?=[RCT])" + WORD_START
     + r"(?:req(?:uest)?[_-]?id|correlation[_-]?id|corr[_-]?id|trace[_-]?id|rid)"
     + WORD_END + r'\s*[=:]?\s*"?([0-9a-zA-Z._-]{2,})"?'
 )

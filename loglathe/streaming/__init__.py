@@ -1,0 +1 @@
+"""Empty: no streaming behaviour is defined for this engine (see README)."""
