@@ -90,12 +90,16 @@ def facets(
 def view_counter(records: DataFrame, shown: Column, lines: DataFrame) -> DataFrame:
     """One row: records shown, records there, non-blank lines."""
     counted = records.agg(
-        F.count_if(shown).alias("visible"), F.count("*").alias("in_window")
+        F.count_if(shown).alias("visible"), F.count("*").alias("in_window"),
+        F.lit(0).cast("bigint").alias("total_lines"),
     )
+    none = F.lit(0).cast("bigint")
     total = lines.agg(
-        F.count_if(~F.col("raw_line").rlike(r"^\s*$")).alias("total_lines")
+        none.alias("visible"), none.alias("in_window"),
+        F.count_if(~F.col("raw_line").rlike(r"^\s*$")).alias("total_lines"),
     )
-    return counted.join(F.broadcast(total), F.lit(True))  # one row by one row
+    names = ("visible", "in_window", "total_lines")
+    return counted.unionByName(total).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def unexpanded_count(records: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
 # Line classes.
 OTHER, LOG, PANIC, PY, GO, GROUP, GROUP_HEAD, INDENT, CALL, BLANK, RAISED = range(11)
 # Openers also carry how many lines before them their record starts.
-_CODE_BITS, _OFFSET_BITS = 16, 4
-_PACK = _CODE_BITS * _OFFSET_BITS
+_OFFSETS = 4  # two bits for the offset, four for the class
+_PACK = 64
 
 PY_OPEN = r"^Traceback \(most recent call last\):\s*$"
 GO_OPEN = r"^goroutine \d+ \[[^\]]*\]:"
@@ -50,12 +50,12 @@ def line_class(line: Column) -> Column:
 
 
 def _code(pack: Column) -> Column:
-    return F.floor(F.pmod(pack, F.lit(_PACK)) / _OFFSET_BITS)
+    return F.shiftright(F.pmod(pack, F.lit(_PACK)), 2)
 
 
 def _first_line(pack: Column) -> Column:
     """Number of the line a packed opener's record starts at."""
-    return F.floor(pack / _PACK) - F.pmod(pack, F.lit(_OFFSET_BITS))
+    return F.shiftright(pack, 6) - F.pmod(pack, F.lit(_OFFSETS))
 
 
 def _with_groups(lines: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +66,7 @@ def _with_groups(lines: DataFrame, rows: int) -> DataFrame:
     # The two lines on either side of a chunk edge are copied across it, so looking two
     # lines back or ahead never leaves the chunk.
     homes = F.array_compact(F.array(
-        own, F.when(at >= rows - 2, own + 1), F.when((at < 2) & (own > 0), own - 1)
+        own, F.when(at >= rows - 2, own + rows), F.when((at < 2) & (own > 0), own - rows)
     ))
     spread = (
         lines.withColumn("cls", line_class(F.col("raw_line")))
@@ -89,7 +89,7 @@ def _with_groups(lines: DataFrame, rows: int) -> DataFrame:
         "_head", F.coalesce(ahead == 1, F.lit(False)) | F.coalesce(ahead2 == 2, F.lit(False))
     ).filter("_own").drop("_own")
 
-    pack = no * _PACK + cls * _OFFSET_BITS + F.col("_offset")
+    pack = no * _PACK + cls * _OFFSETS + F.col("_offset")
     tracked = running(
         heads, ["file_id"], "_chunk", "line_no",
         maxes={

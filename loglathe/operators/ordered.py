@@ -17,8 +17,8 @@ CHUNK_ROWS = 65_536
 
 
 def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk number for an integer order key; a chunk never holds more than ``rows`` keys."""
-    return F.floor(order / F.lit(rows))
+    """First order key of the chunk a key falls into; a chunk spans ``rows`` integer keys."""
+    return order - F.pmod(order, F.lit(rows))
 
 
 def running(
