@@ -19,6 +19,7 @@ from loglathe.operators.rewrite import bind_sql, expand_message, strip_ansi, str
 from loglathe.operators.search import filter_levels
 from loglathe.operators.windows import cap, cap_signal, dedup
 from loglathe.options import ParseOptions
+from loglathe.ship import ship
 from loglathe.sources.csv import read_csv_logs
 from loglathe.sources.detect import TEXT_FORMATS, detect_format
 from loglathe.sources.json import read_json_logs
@@ -55,6 +56,7 @@ def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> Par
     The numbered lines and the finished records are each used several times, so both are
     written to the shared checkpoint folder where the cluster has one.
     """
+    ship(lines.sparkSession)
     lines = cut(lines, "lines")
     formats = detect_format(lines)
     source = lines
