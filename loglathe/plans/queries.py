@@ -160,12 +160,12 @@ def hide_sources(spark, sf):
 @query("hide_sources_table", d.select(A, f""", logged AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE bucket = 'ERROR') AS bad FROM axes GROUP BY source)
 SELECT file_id, rec_no, source FROM axes
-WHERE source NOT IN (SELECT source FROM logged WHERE bad * 4 < n)"""))
+WHERE source NOT IN (SELECT source FROM logged WHERE bad * 5 < n)"""))
 def hide_sources_table(spark, sf):
     logs = all_axes(spark, sf, "source", "bucket")
     quiet = logs.groupBy("source").agg(
         F.count("*").alias("n"), F.count_if(F.col("bucket") == "ERROR").alias("bad")
-    ).filter("bad * 4 < n")
+    ).filter("bad * 5 < n")
     return search.hide_sources(logs, quiet).select("file_id", "rec_no", "source")
 
 
