@@ -289,9 +289,9 @@ def histogram_bin(spark, sf):
 
 
 # --- traces and bookmarks --------------------------------------------------------
-@query("trace_one", d.select(A, "SELECT file_id, rec_no, line FROM axes WHERE req_id = 'r42'"))
+@query("trace_one", d.select(A, "SELECT file_id, rec_no, line FROM axes WHERE req_id = 'r8'"))
 def trace_one(spark, sf):
-    return trace.in_order(trace.trace(all_axes(spark, sf, "req_id", "line"), "r42")).select("file_id", "rec_no", "line")
+    return trace.in_order(trace.trace(all_axes(spark, sf, "req_id", "line"), "r8")).select("file_id", "rec_no", "line")
 
 
 FIRST_ERRORS_SQL = """anchors AS (
