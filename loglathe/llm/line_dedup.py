@@ -1,2 +1,165 @@
-def drop_repeated_lines(docs):
-    raise NotImplementedError
+"""Line dedup: an exact set-similarity join of lines with prefix, positional and length filters.
+
+DataFrame functions only.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loglathe.llm.base import free_name, keep, text_key
+
+THRESHOLD = 0.8
+#: Lines of fewer different tokens aren't compared: at 0.8 they'd have to be equal, and short ones are so by chance.
+MIN_TOKENS = 5
+#: Rarity is counted in so many buckets of token hashes: a table of fixed size, whatever the vocabulary.
+BUCKETS = 1 << 16
+_BLANKS = r"[\x20\x09-\x0D]+"
+_HASH_BITS = 52
+
+
+def tokens(line: Column) -> Column:
+    """The different words of a line, lower-cased."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), _BLANKS)), "")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line of every text (null: empty) with its place and two hashes of its characters."""
+    text = F.coalesce("text", F.lit(""))
+    placed = docs.select("doc_id", text_key().alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return placed.select(
+        F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "line_no").alias("at"), "line",
+        F.xxhash64("line").alias("l1"), F.xxhash64("line", F.lit(1)).alias("l2"))
+
+
+def _rarity(lines: DataFrame) -> DataFrame:
+    """One row: for each bucket a class from 0 (no token) to 255, ascending with its number of tokens."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+    counts = lines.select(F.explode(tokens(F.col("line"))).alias("token")).groupBy(bucket.alias("bucket")).count()
+    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
+    listed = every.join(counts, "bucket", "left").select(F.struct("bucket", level.alias("level")).alias("x"))
+    return listed.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.level").alias("levels"))
+
+
+def _ordered(levels: Column) -> Column:
+    """A line's tokens as numbers, rarest first: class of rarity, then 52 bits of the token's hash."""
+    def number(token):
+        h = F.xxhash64(token)
+        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+
+    return F.sort_array(F.transform(tokens(F.col("line")), number))
+
+
+def _least(of: Column) -> Column:
+    return F.ceil(of - 1e-9).cast("int")
+
+
+def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(a, b) of every two different lines whose token sets have a Jaccard likeness of ``threshold`` or more.
+
+    ``lines`` has (l1, l2, line), each line once; a and b are structs (l1, l2), a pair comes once.
+    Two lines that alike share a token among the rarest n - ceil(t n) + 1 of the longer and the
+    rarest n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined. Lengths may differ by
+    the factor t at most, and what is left behind the shared token's places must still reach the
+    overlap that t asks for. Any order of tokens that all lines share keeps this exact; rare ones
+    first keeps the lists short. Likeness is tested on the words themselves.
+    """
+    t = threshold
+    # a table of BUCKETS small numbers, so it may pass through the driver into the plan
+    levels = F.from_json(F.lit(json.dumps(_rarity(lines).first().levels)), "array<int>")
+    n = F.size("keys")
+    prefix = lines.select("l1", _ordered(levels).alias("keys")).where(n >= min_tokens)
+    postings = prefix.select(
+        "l1", n.alias("n"), F.posexplode(F.slice("keys", 1, n - _least(t * n) + 1)).alias("place", "token"))
+
+    def side(s):
+        return postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place")])
+
+    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("l1_a") < F.col("l1_b")))
+    overlap = _least(t / (1 + t) * (F.col("n_a") + F.col("n_b")))
+    left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    a, b = side("a"), side("b")
+    met = a.join(b, (a.token == b.token) & shorter & (F.col("n_a") >= _least(t * F.col("n_b")))
+                 & (F.col("place_a") <= F.col("n_a") - _least(2 * t / (1 + t) * F.col("n_a"))) & (left_over >= overlap))
+    pairs = keep(met.select("l1_a", "l1_b").distinct(), "line-candidates")
+    texts = lines.select("l1", "l2", "line")
+
+    def with_text(df, s):
+        return df.join(texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]), f"l1_{s}")
+
+    both = with_text(with_text(pairs, "a"), "b")
+    x, y = tokens(F.col("line_a")), tokens(F.col("line_b"))
+    compared = both.select("l1_a", "l2_a", "l1_b", "l2_b", F.size(F.array_intersect(x, y)).alias("o"),
+                           (F.size(x) + F.size(y)).alias("sum"))
+    return compared.where(F.col("o") >= t * (F.col("sum") - F.col("o")) - 1e-9).select(
+        F.struct(F.col("l1_a").alias("l1"), F.col("l2_a").alias("l2")).alias("a"),
+        F.struct(F.col("l1_b").alias("l1"), F.col("l2_b").alias("l2")).alias("b"))
+
+
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(doc_id, key, line_no, n_links) of every line with an earlier line that is as like as ``threshold``.
+
+    Earlier means a lesser (doc_id, text key, line number), null ids last. A line's ``n_links`` is
+    the number of other line texts that it is like. Equal lines are one node of the join, with the
+    first place they stand at; lines of under ``min_tokens`` different words are never repeats.
+    """
+    lines = _lines(docs)
+    first = keep(
+        lines.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+        .where(F.size(tokens(F.col("line"))) >= min_tokens),
+        "lines")
+    pairs = keep(similar_lines(first.select("l1", "l2", "line"), threshold, min_tokens), "line-links")
+    ways = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    at = first.select(F.struct("l1", "l2").alias("b"), F.col("first").alias("other"))
+    linked = ways.join(at, "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
+    node = first.select(F.struct("l1", "l2").alias("a"), "l1", "l2", "first", "n").join(linked, "a", "left")
+    cut = node.where((F.col("n") > 1) | (F.col("other") < F.col("first"))).select(
+        "l1", "l2", F.least("first", F.coalesce("other", "first")).alias("cut"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return lines.select("at", "l1", "l2").join(cut, ["l1", "l2"]).where("at > cut").select(
+        "at.doc_id", "at.key", "at.line_no", "n_links")
+
+
+def _removals(docs: DataFrame, threshold: float, min_tokens: int) -> DataFrame:
+    """(its_id, its_key, removed, n_links) of every document with repeats; ``removed`` holds line numbers, in order."""
+    again = repeated_lines(docs, threshold, min_tokens).distinct()  # a row repeated whole is one document
+    return again.groupBy(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).agg(
+        F.sort_array(F.collect_list("line_no")).alias("removed"), F.sum("n_links").alias("n_links"))
+
+
+def line_report(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_links, removed (line numbers from 0, comma-joined) of every row of ``docs``."""
+    slim = docs.select("doc_id", text_key().alias("key"),
+                       F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    gone = _removals(docs, threshold, min_tokens)
+    both = slim.join(gone, slim.doc_id.eqNullSafe(gone.its_id) & (slim.key == gone.its_key), "left")
+    none = F.array().cast("array<int>")
+    removed = F.coalesce("removed", none)
+    return both.select(
+        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+
+
+def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Every row of ``docs`` without its repeated lines; ``n_chars``, where there is one, counts what is left.
+
+    Null and empty texts stay as they are, and so does every other column. All rows of one
+    (doc_id, text) lose the same lines.
+    """
+    name = free_name(docs, "key")
+    keyed = docs.withColumn(name, text_key())
+    gone = _removals(docs, threshold, min_tokens)
+    both = keyed.join(gone, keyed.doc_id.eqNullSafe(gone.its_id) & (keyed[name] == gone.its_key), "left")
+    lines = F.filter(F.split(keyed.text, "\n"), lambda line, i: ~F.array_contains(gone.removed, i))
+    text = F.when(gone.removed.isNull(), keyed.text).otherwise(F.array_join(lines, "\n"))
+    made = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        left = F.when(gone.removed.isNull(), keyed.n_chars).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        made["n_chars"] = left.alias("n_chars")
+    return both.select(*[made.get(c, keyed[c]) for c in docs.columns])

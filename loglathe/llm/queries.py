@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import (
-    decontaminate, mixing, order_minhash, quality, secrets, simhash, token_counts, toxicity,
+    decontaminate, line_dedup, mixing, order_minhash, quality, secrets, simhash, token_counts, toxicity,
 )
 from loglathe.llm.base import documents, fresh_path
 from loglathe.llm.linear import held_out
@@ -89,3 +89,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
