@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import (
-    decontaminate, line_dedup, mixing, order_minhash, quality, secrets, simhash, token_counts, toxicity,
+    decontaminate, line_dedup, mixing, order_minhash, quality, secrets, simhash, suffix_array, token_counts, toxicity,
 )
 from loglathe.llm.base import documents, fresh_path
 from loglathe.llm.linear import held_out
@@ -94,3 +94,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removals(documents(spark, sf_dir)).drop("runs")
