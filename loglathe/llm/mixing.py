@@ -45,9 +45,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEA
         (F.sum("source_size").over(one) - F.coalesce(F.sum("full").over(before), F.lit(0))).cast("double")
         / F.sum("weight").over(after)
     )
-    t = t.withColumn("own", level).withColumn("open", F.col("full").cast("double") >= F.col("own") * F.col("weight"))
-    final = F.min(F.when(F.col("open"), F.col("own"))).over(one)
-    return t.withColumn("final", final).select(
+    # a full source leaves a higher level to the rest, one that isn't full a lower: the highest is L
+    return t.withColumn("own", level).withColumn("final", F.max("own").over(one)).select(
         "source", "source_size",
         F.coalesce(F.least(F.col("full").cast("double"), F.col("final") * F.col("weight")), F.lit(0.0)).alias("target"))
 
@@ -156,7 +155,7 @@ filled AS (
   FROM sources WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
 goals AS (
   SELECT source, source_size, coalesce(least(3.0::DOUBLE * source_size,
-         (SELECT min(own) FROM filled WHERE 3 * source_size >= own * weight) * weight), 0) AS target
+         (SELECT max(own) FROM filled) * weight), 0) AS target
   FROM filled),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM goals),

@@ -32,7 +32,7 @@ class ToxicModel:
 
 
 def fit_nnpu(
-    positive: list, unlabelled: list, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 1e-5,
+    positive: list, unlabelled: list, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 0.25,
     least: int = 4,
 ) -> ToxicModel:
     """Minimise  prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])  with the logistic loss.
@@ -54,7 +54,7 @@ def fit_nnpu(
         slope = np.where(is_p, -p * s / n_p, s / n_u)
         slope = np.where(is_p, p * (s - 1) / n_p, 0) + slope if rest >= 0 else -slope
         out = np.append(x.back(slope), slope.sum())
-        out[:-1] += decay * theta[:-1]
+        out[:-1] += decay / (n_p + n_u) * theta[:-1]
         return out
 
     start = np.zeros((1 << BITS) + 1)
