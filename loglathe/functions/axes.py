@@ -120,8 +120,21 @@ def residual_of(fields: Column, texts: Column) -> Column:
 
 
 # --- HTTP, duration, SQL ---------------------------------------------------
-def _fixed_point(scaled: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.floor(scaled + 0.5) / F.lit(float(10**digits)))
+def _fixed_point(x: Column, digits: int) -> Column:
+    """``x`` with ``digits`` decimals, rounded by its exact binary value, ties upwards.
+
+    k = floor(x * 10^digits) may have to go up by one: if x * 2 * 10^digits >= 2k + 1. That is
+    tested without rounding: 2 * 10^digits is an odd number times a power of two, and x is the
+    sum of two parts short enough for their products with the odd number to be exact.
+    """
+    odd, power = 5**digits, 2.0 ** (digits + 1)
+    high = x.cast("float").cast("double")
+    k = F.floor(x * float(10**digits))
+    edge = (2 * k + 1).cast("double") / power
+    up = (high * float(odd) - edge) + (x - high) * float(odd) >= 0
+    n = k + up.cast("bigint")
+    cents = F.lpad((n % 10**digits).cast("string"), digits, "0")
+    return F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), cents)
 
 
 def fmt_nanos(nanos: Column) -> Column:
@@ -132,8 +145,8 @@ def fmt_nanos(nanos: Column) -> Column:
     ).otherwise(n.cast("string"))
     return (
         F.when(n.isNull() | F.isnan(n) | (n < 0) | (n == float("inf")), "")
-        .when(n >= 6e10, F.concat(_fixed_point(n / 6e9, 1), F.lit("min")))
-        .when(n >= 1e9, F.concat(_fixed_point(n / 1e7, 2), F.lit("s")))
+        .when(n >= 6e10, F.concat(_fixed_point(n / 6e10, 1), F.lit("min")))
+        .when(n >= 1e9, F.concat(_fixed_point(n / 1e9, 2), F.lit("s")))
         .when(n >= 1e6, F.concat(F.floor(n / 1e6 + 0.5).cast("string"), F.lit("ms")))
         .when(n >= 1e3, F.concat(F.floor(n / 1e3 + 0.5).cast("string"), F.lit("µs")))
         .otherwise(F.concat(below, F.lit("ns")))

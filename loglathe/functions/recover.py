@@ -9,11 +9,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglathe.functions import fixed
+from loglathe.functions.fields import parse_object
 
 _KEY = re.compile(r'\s*"((?:[^"\\]|\\.)*)"\s*:\s*', re.S)
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[\[{]|[\]}]|,(?=\s*")', re.S)
@@ -122,3 +123,21 @@ def may_be_unexpanded(value: Column) -> Column:
     """Starts like JSON and has JSON punctuation; the strict check is still to come."""
     start = F.substring(F.regexp_replace(value, r"^\s+", ""), 1, 1)
     return start.isin("{", "[") & (value.contains('":') | value.contains('","'))
+
+
+def recover_fields(records: DataFrame, source: str = "raw") -> DataFrame:
+    """Records whose ``source`` text is an object, whole or damaged: ``fields`` and ``partial``.
+
+    Valid objects are parsed natively; only the others go to the loose reader. Texts in which
+    neither finds an object are left out.
+    """
+    text = F.col(source)
+    # a string that holds JSON again is opened by the reader
+    plain = F.try_parse_json(text).isNotNull() & ~text.rlike(r'"\s*[\[{]')
+    read = records.filter(looks_like_object(text)).withColumn("_plain", plain).withColumn(
+        "_r", recover_text(F.when(~F.col("_plain"), text)))
+    opened = read.withColumns({
+        "partial": F.when(F.col("_plain"), F.lit(False)).otherwise(F.col("_r.partial")),
+        "_text": F.when(F.col("_plain"), text).otherwise(F.col("_r.body")),
+    }).filter("_text IS NOT NULL")
+    return opened.withColumn("fields", parse_object(F.col("_text"))).drop("_text", "_plain", "_r")

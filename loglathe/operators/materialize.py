@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in ``spark.checkpoint.dir``, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master gets a temporary one and a cluster is refused: its
+    executors would each write to a disk of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loglathe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet to the shared folder and read it back.
+    """Write ``df`` as parquet to the shared folder and read it back. Runs a job at once.
 
     A table rather than ``checkpoint()``: later steps still prune columns and push filters,
-    and a lost executor costs a re-read, not a re-parse. Without a shared folder ``df`` is
-    returned as it is.
+    a lost executor costs a re-read, not a re-parse, and Spark knows the table's size when it
+    plans: a small one is broadcast and a large one is not, without a hint.
     """
-    folder = shared_folder(df.sparkSession)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/loglathe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/loglathe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

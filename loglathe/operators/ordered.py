@@ -25,20 +25,21 @@ def running(
     df: DataFrame,
     by: Sequence[str],
     chunk: str,
-    order: str,
+    order: str | Sequence[str],
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
     """Add running sums and maxima in ``order`` within ``by``.
 
-    ``chunk`` is a column that never decreases along ``order`` within ``by`` and whose
+    ``order`` is one column or several. ``chunk`` is a column that never decreases along ``order`` within ``by`` and whose
     groups are bounded. Values must be integer columns: the per-chunk aggregation then
     stays a hash aggregation with map-side combine.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     key = [*by, chunk]
-    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(
+    orders = [order] if isinstance(order, str) else list(order)
+    inside = Window.partitionBy(*key).orderBy(*orders).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -71,13 +72,17 @@ def running(
 def with_rec_no(
     df: DataFrame,
     by: str = "file_id",
-    order: str = "line_no",
+    order: str | Sequence[str] = "line_no",
     name: str = "rec_no",
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Dense 0-based position within ``by``, following a unique integer ``order``."""
+    """Dense 0-based position within ``by``, following a unique integer ``order``.
+
+    ``order`` may be several columns; chunks are cut by the first of them.
+    """
+    first = order if isinstance(order, str) else order[0]
     return running(
-        df.withColumn("_chunk", chunk_of(F.col(order), rows)),
+        df.withColumn("_chunk", chunk_of(F.col(first), rows)),
         [by], "_chunk", order, sums={name: F.lit(1).cast("bigint")},
     ).drop("_chunk")
 

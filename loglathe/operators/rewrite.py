@@ -132,19 +132,21 @@ def bind_sql(records: DataFrame) -> DataFrame:
 
 
 # --- nesting -----------------------------------------------------------------
-def flatten_fields(fields: Column, max_depth: int = 8) -> Column:
+def flatten_fields(fields: Column) -> Column:
     """Nested objects -> dotted keys; arrays stay whole; the later of equal keys wins.
 
-    An object nested deeper than ``max_depth`` is an error, never a silent half result.
+    However deep: a record has at most as many levels as opening braces, and a level that is
+    already flat passes the rest of them through.
     """
-    entries = F.map_entries(fields)
-    for _ in range(max_depth):
-        entries = F.flatten(F.transform(entries, _open_entry))
-    too_deep = F.raise_error(F.lit(f"record nested deeper than {max_depth}; raise max_depth"))
-    return let(entries, lambda all_entries: F.when(
-        F.exists(all_entries, lambda e: e["value"].isNotNull() & is_object(e["value"])),
-        too_deep.cast(FIELDS_TYPE),
-    ).otherwise(last_wins(all_entries)))
+    nested = lambda entries: F.exists(
+        entries, lambda e: e["value"].isNotNull() & is_object(e["value"]))
+    braces = F.length(F.regexp_replace(F.to_json(F.to_variant_object(fields)), r"[^{]", ""))
+    levels = F.sequence(F.lit(1), F.greatest(braces, F.lit(1)))
+    entries = F.aggregate(
+        levels, F.map_entries(fields),
+        lambda all_entries, _: F.when(nested(all_entries), F.flatten(F.transform(all_entries, _open_entry)))
+        .otherwise(all_entries))
+    return let(entries, last_wins)
 
 
 def _open_entry(entry: Column) -> Column:
@@ -158,8 +160,8 @@ def _open_entry(entry: Column) -> Column:
     return F.when(value.isNotNull() & is_object(value), inner).otherwise(F.array(entry))
 
 
-def flatten(records: DataFrame, max_depth: int = 8) -> DataFrame:
-    return records.withColumn("fields", flatten_fields(F.col("fields"), max_depth))
+def flatten(records: DataFrame) -> DataFrame:
+    return records.withColumn("fields", flatten_fields(F.col("fields")))
 
 
 def frames(records: DataFrame, key: str = "frames") -> DataFrame:
@@ -191,3 +193,14 @@ def unescape_sql(json_text: Column) -> Column:
     out = F.replace(out, F.lit("\\n"), F.lit("\n"))
     out = F.replace(out, F.lit("\\t"), F.lit("\t"))
     return F.replace(out, F.lit(guard), F.lit("\\\\"))
+
+
+_SQL_PIECE = r'"(?i:sql|query|statement|query_text)"\s*:\s*"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*"|[^"]+|"'
+_SQL_START = r'^"(?i:sql|query|statement|query_text)"\s*:\s*"'
+
+
+def readable_sql(json_text: Column) -> Column:
+    """``unescape_sql`` in the values of SQL keys (any case) of a JSON text, all else as it is."""
+    pieces = F.regexp_extract_all(json_text, F.lit(_SQL_PIECE), F.lit(0))
+    return F.array_join(F.transform(
+        pieces, lambda p: F.when(p.rlike(_SQL_START), unescape_sql(p)).otherwise(p)), "")

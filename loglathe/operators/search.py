@@ -42,6 +42,25 @@ def hide_sources(records: DataFrame, off: Sequence[str] | DataFrame) -> DataFram
     return records.filter(source_shown(off))
 
 
+#: Prefixes of search words and the arguments of ``search`` they stand for.
+SEARCH_KEYS = {
+    "lvl": "levels", "level": "levels", "src": "srcs", "source": "srcs",
+    "req": "reqs", "req_id": "reqs", "request": "reqs", "trace": "reqs", "corr": "reqs",
+}
+
+
+def parse_query(text: str | None) -> dict[str, list[str]]:
+    """What a user typed -> the arguments of ``search``: ``key:value`` by key, all else as free words."""
+    found: dict[str, list[str]] = {"levels": [], "srcs": [], "reqs": [], "words": []}
+    for word in (text or "").lower().split():
+        key, colon, value = word.partition(":")
+        if colon and value and key in SEARCH_KEYS:
+            found[SEARCH_KEYS[key]].append(value)
+        else:
+            found["words"].append(word)
+    return found
+
+
 def matches(
     levels: Sequence[str] = (),
     srcs: Sequence[str] = (),

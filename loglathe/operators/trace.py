@@ -24,22 +24,28 @@ def trace_many(records: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def trace_of(records: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Traces of anchor records ``(file_id, rec_no)``, tagged ``anchor_file_id, anchor_rec_no``.
+    """The traces that the anchor records ``(file_id, rec_no)`` belong to, each record once.
 
-    An anchor without a request id has no trace. Neighbouring rows are not context.
+    ``anchor_ids`` says which anchor has which request id, so many anchors of one request don't
+    multiply its trace. An anchor without a request id has none. Neighbouring rows are not context.
     """
-    found = join_small(
+    return trace_many(records, anchor_ids(records, anchors))
+
+
+def anchor_ids(records: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``anchor_file_id, anchor_rec_no, req_id`` of every anchor that has a request id."""
+    return join_small(
         records.filter("req_id <> ''"),
-        anchors.select("file_id", "rec_no").distinct(), ["file_id", "rec_no"],
+        anchors.select("file_id", "rec_no").distinct(), ["file_id", "rec_no"], "left_semi",
     ).select(
         F.col("file_id").alias("anchor_file_id"), F.col("rec_no").alias("anchor_rec_no"), "req_id"
     )
-    return join_small(records, found, ["req_id"])
 
 
 def in_order(records: DataFrame, *columns: str) -> DataFrame:
-    """File order, then row order."""
-    return records.orderBy(*(columns or TRACE_ORDER))
+    """Session order of the files where the records know it (``file_ord``), then row order."""
+    known = ("file_ord", "rec_no") if "file_ord" in records.columns else TRACE_ORDER
+    return records.orderBy(*(columns or known))
 
 
 def trace_summary(records: DataFrame) -> DataFrame:

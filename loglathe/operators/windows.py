@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
+from loglathe.operators.materialize import cut
 
 
 def cap(records: DataFrame, n: int = fixed.MAX_RECORDS) -> DataFrame:
@@ -43,16 +44,22 @@ def page(records: DataFrame, offset: int = 0, limit: int = fixed.PREVIEW_MAX) ->
 
 
 def page_window(
-    records: DataFrame, offset: int = 0, limit: int = fixed.PREVIEW_MAX
+    records: DataFrame, offset: int = 0, limit: int = fixed.PREVIEW_MAX, signal: DataFrame | None = None
 ) -> DataFrame:
-    """Per file: ``offset, limit, returned, total_records, has_more``."""
+    """Per file: ``offset, limit, returned, total_records, has_more``, and ``truncated`` with a ``signal``.
+
+    ``signal`` is a ``cap_signal`` of the records before they were capped.
+    """
     offset, limit = check_page(offset, limit)
     total = F.col("total_records")
-    return records.groupBy("file_id").agg(F.count("*").alias("total_records")).select(
+    window = records.groupBy("file_id").agg(F.count("*").alias("total_records")).select(
         "file_id", F.lit(offset).cast("bigint").alias("offset"), F.lit(limit).cast("bigint").alias("limit"),
         F.greatest(F.lit(0), F.least(total - offset, F.lit(limit))).cast("bigint").alias("returned"),
         "total_records", (total > offset + limit).alias("has_more"),
     )
+    if signal is None:
+        return window
+    return window.join(signal.select("file_id", "truncated"), "file_id", "left").fillna(False, ["truncated"])
 
 
 def content_key(records: DataFrame) -> Column:
@@ -63,23 +70,31 @@ def content_key(records: DataFrame) -> Column:
 def dedup(
     records: DataFrame,
     by: str = "file_id",
-    order: str = "rec_no",
+    order: str | Sequence[str] = "rec_no",
     key: Column | Sequence[Column] | None = None,
 ) -> DataFrame:
     """Drop records equal to an earlier one of the same file; the first stays.
 
-    An aggregation, not a window: equal records are reduced where they are read, so a line
-    that makes up a third of a file never meets in one task. Keys are compared in full.
+    Two 64-bit hashes stand for a key (128 bits: no two different keys of a file are expected to
+    share them). Only hashes and places are grouped, with map-side combine, so a line that makes
+    up a third of a file never meets in one task; what comes more than once is written as a table
+    and joined back, broadcast by Spark where it is small. Records are never sorted as a whole.
     """
     if key is None:
         key = content_key(records)
     keys = [key] if isinstance(key, Column) else list(key)
-    names = [f"_k{i}" for i in range(len(keys))]
-    rest = [c for c in records.columns if c != by]
-    return (
-        records.withColumns(dict(zip(names, keys)))
-        .groupBy(by, *names)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-        .select(by, "_first.*")
-        .select(*records.columns)
+    orders = [order] if isinstance(order, str) else list(order)
+    at = F.struct(*orders)
+    hashed = {"_h1": F.xxhash64(*keys), "_h2": F.xxhash64(F.lit(1), *keys)}
+    missing = [F.when(k.isNull(), F.lit(i)) for i, k in enumerate(keys)]     # a null is not the absence of a key
+    hashed = {n: F.xxhash64(h, *missing) for n, h in hashed.items()}
+    places = records.select(F.col(by).alias("_by"), *[c.alias(n) for n, c in hashed.items()], at.alias("_at"))
+    repeats = cut(
+        places.groupBy("_by", "_h1", "_h2").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        .where("_n > 1").drop("_n"), "repeats")
+    keyed = records.withColumns(hashed)
+    again = (
+        keyed[by].eqNullSafe(repeats["_by"]) & (keyed["_h1"] == repeats["_h1"]) & (keyed["_h2"] == repeats["_h2"])
+        & (F.struct(*[keyed[o] for o in orders]) != repeats["_first"])
     )
+    return keyed.join(repeats, again, "left_anti").select(*records.columns)

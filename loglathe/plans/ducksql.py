@@ -41,11 +41,17 @@ def component(x: str) -> str:
     )
 
 
+def fixed_digits(x: str, digits: int) -> str:
+    """printf rounds the exact binary value, ties to even; exact ties are moved off the tie upwards."""
+    exact_tie = f"({x}) * 8 = floor(({x}) * 8) AND ({x}) * {2 * 10**digits} % 2 = 1"
+    return f"printf('%.{digits}f', CASE WHEN {exact_tie} THEN ({x}) + 0.0001 ELSE ({x}) END)"
+
+
 def nanos(n: str) -> str:
     d = f"CAST({n} AS DOUBLE)"
     return (
-        f"CASE WHEN {d} >= 6e10 THEN printf('%.1f', floor({d} / 6e9 + 0.5) / 10.0) || 'min' "
-        f"WHEN {d} >= 1e9 THEN printf('%.2f', floor({d} / 1e7 + 0.5) / 100.0) || 's' "
+        f"CASE WHEN {d} >= 6e10 THEN {fixed_digits(f'{d} / 6e10', 1)} || 'min' "
+        f"WHEN {d} >= 1e9 THEN {fixed_digits(f'{d} / 1e9', 2)} || 's' "
         f"WHEN {d} >= 1e6 THEN CAST(CAST(floor({d} / 1e6 + 0.5) AS BIGINT) AS VARCHAR) || 'ms' "
         f"WHEN {d} >= 1e3 THEN CAST(CAST(floor({d} / 1e3 + 0.5) AS BIGINT) AS VARCHAR) || 'µs' "
         f"ELSE CAST({n} AS VARCHAR) || 'ns' END"

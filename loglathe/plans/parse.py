@@ -1,11 +1,12 @@
-"""Files or lines -> records with axes: the whole chain as one lazy plan."""
+"""Files or lines -> records with axes: the whole chain, cut by written tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglathe.functions.axes import with_axes
@@ -28,7 +29,7 @@ from loglathe.sources.lines import read_lines
 
 @dataclass(frozen=True)
 class Parsed:
-    """Lazy results of one run; nothing is computed until an action asks for it."""
+    """Results of one run. Lines and records are written tables; the reports over them are lazy."""
 
     lines: DataFrame
     formats: DataFrame
@@ -46,19 +47,29 @@ def _records_of(lines: DataFrame, formats: DataFrame) -> DataFrame:
     text = trace_to_record(assemble_multiline(tagged.filter(F.col("format").isin(*TEXT_FORMATS))))
     csv = read_csv_logs(tagged.filter(F.col("format") == "csv"))
     json = read_json_logs(tagged.filter(F.col("format").isin("json", "jsonl")))
-    columns = ["file_id", "line_no", "raw", "fields"]
-    return text.select(*columns).unionByName(csv.select(*columns)).unionByName(json.select(*columns))
+    columns = ["file_id", "line_no", "part", "raw", "fields"]
+    whole = F.lit(0).alias("part")
+    return (
+        text.select("file_id", "line_no", whole, "raw", "fields")
+        .unionByName(csv.select("file_id", "line_no", whole, "raw", "fields"))
+        .unionByName(json.select(*columns))
+    )
 
 
-def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> Parsed:
+def parse_lines(
+    lines: DataFrame, options: ParseOptions = ParseOptions(), files: DataFrame | None = None
+) -> Parsed:
     """``log_lines`` -> :class:`Parsed`.
 
-    The numbered lines and the finished records are each used several times, so both are
-    written to the shared checkpoint folder where the cluster has one.
+    Numbered lines, parsed records and finished records are each used several times and written
+    to the shared folder: parse, write, drop repeats, number, add the axes, write. Axes follow
+    from the fields alone, so they are computed last and never shuffled.
+    ``files`` (``file_id, file_ord, error``) names the files that were asked for, in session
+    order: each gets a row in the report, and ``file_ord`` goes to the records.
     """
     ship(lines.sparkSession)
     lines = cut(lines, "lines")
-    formats = detect_format(lines)
+    formats = cut(detect_format(lines), "formats")
     source = lines
     if options.remove_ansi:
         source = source.withColumn("raw_line", strip_ansi(F.col("raw_line")))
@@ -70,10 +81,16 @@ def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> Par
         records = bind_sql(records)
     if options.strip_k8s:
         records = strip_k8s(records)
-    records = filter_levels(with_axes(records), options.log_levels)
+    order = ["line_no", "part"]
+    records = cut(records, "parsed")
     if options.remove_duplicates:
-        records = dedup(records, order="line_no")
-    records = cut(with_rec_no(records), "records")
+        records = dedup(records, order=order)
+    if options.log_levels:
+        records = filter_levels(with_axes(records, "level"), options.log_levels).drop("level")
+    numbered = with_axes(with_rec_no(records, order=order))
+    if files is not None:
+        numbered = numbered.join(files.select("file_id", "file_ord"), "file_id", "left")
+    records = cut(numbered, "records")
     kept = records if options.cap is None else cap(records, options.cap)
     signal = None if options.cap is None else cap_signal(records, options.cap)
     encodings = None
@@ -81,18 +98,55 @@ def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> Par
         encodings = lines.groupBy("file_id").agg(
             F.max("encoding").alias("encoding"), F.max("fallback").alias("fallback")
         )
+    failed = None if files is None else files.filter("error IS NOT NULL")
+    counted = run_report(lines, kept)
+    if files is not None:
+        counted = counted.join(files.filter("error IS NULL").select("file_id"), "file_id", "full")
     report = full_report(
-        run_report(lines, kept), formats=formats, encodings=encodings, capped=signal,
-        unexpanded=unexpanded_count(kept),
+        counted, formats=formats, encodings=encodings, capped=signal,
+        unexpanded=unexpanded_count(kept), failed=failed,
     )
     return Parsed(lines, formats, kept, report)
 
 
+def requested_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file_id, file_ord, error`` of every file under the paths, empty ones too, in session order.
+
+    Only listed, not read. A path that can't be listed is a row of its own with Spark's error class.
+    """
+    found, lost = None, []
+    for i, path in enumerate(paths):
+        try:
+            listed = spark.read.format("binaryFile").load(path).select(
+                F.col("_metadata.file_path").alias("file_id"), F.lit(i).alias("_path"),
+                F.lit(None).cast("string").alias("error"))
+        except AnalysisException as e:
+            lost.append((path, i, e.getCondition() or "READ_FAILED"))
+            continue
+        found = listed if found is None else found.unionByName(listed)
+    rest = spark.createDataFrame(lost, "file_id string, _path int, error string")
+    every = rest if found is None else found.unionByName(rest)
+    order = Window.partitionBy(F.lit(0)).orderBy("_path", "file_id")  # a row per file
+    return every.groupBy("file_id").agg(F.min("_path").alias("_path"), F.max("error").alias("error")).select(
+        "file_id", (F.row_number().over(order) - 1).alias("file_ord"), "error")
+
+
 def parse_logs(
     spark: SparkSession,
     paths: str | Sequence[str],
     options: ParseOptions = ParseOptions(),
     skip_broken: bool = False,
 ) -> Parsed:
-    """Log files -> :class:`Parsed`. ``skip_broken`` lets the other files go on."""
-    return parse_lines(read_lines(spark, paths, options.encoding, skip_broken), options)
+    """Log files -> :class:`Parsed`, with a report row for every file asked for.
+
+    A path that isn't there is reported as an error and the other files go on. ``skip_broken``
+    also goes past files that turn out to be corrupt; of those Spark keeps what it could read.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = cut(requested_files(spark, paths), "files")
+    lost = {r.file_id for r in files.filter("error IS NOT NULL").collect()}  # at most the given paths
+    there = [p for p in paths if p not in lost]
+    if not there:
+        empty = spark.createDataFrame([], "file_id string, file_name string, file_size bigint, line_no bigint, raw_line string")
+        return parse_lines(empty, options, files)
+    return parse_lines(read_lines(spark, there, options.encoding, skip_broken), options, files)

@@ -305,7 +305,7 @@ def first_errors(logs: DataFrame) -> DataFrame:
 @query("trace_anchor", d.select(A, f""", {FIRST_ERRORS_SQL}, ids AS (
   SELECT anchor_file_id, anchor_rec_no, req_id FROM anchors
   JOIN axes ON file_id = anchor_file_id AND rec_no = anchor_rec_no WHERE req_id <> '')
-SELECT anchor_file_id, anchor_rec_no, axes.file_id, axes.rec_no, req_id, level FROM ids JOIN axes USING (req_id)"""))
+SELECT file_id, rec_no, req_id, level FROM axes WHERE req_id IN (SELECT req_id FROM ids)"""))
 def trace_anchor(spark, sf):
     logs = all_axes(spark, sf, "req_id", "level", "bucket").select("file_id", "rec_no", "req_id", "level", "bucket")
     return trace.trace_of(logs, first_errors(logs)).drop("bucket")

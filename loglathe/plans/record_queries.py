@@ -13,7 +13,7 @@ from loglathe.functions import axes as ax
 from loglathe.functions.axes import with_axes
 from loglathe.functions.fields import parse_object, text
 from loglathe.functions.highlight import highlight
-from loglathe.functions.recover import looks_like_object, recover_text
+from loglathe.functions import recover
 from loglathe.operators import counts, rewrite, search
 from loglathe.operators.multiline import assemble_multiline, trace_columns, trace_to_record
 from loglathe.operators.normalize import normalize_export
@@ -366,13 +366,8 @@ SELECT file_id, rec_no, event_id % 4 = 0 AS partial, k AS key,
   CASE k WHEN 'msg' THEN '"say "hi" now"' WHEN 'n' THEN CAST(user_id AS VARCHAR) WHEN 'o' THEN '{"k":1}' ELSE 'true' END AS value
 FROM composed, (VALUES (0, 'msg'), (0, 'n'), (0, 'o'), (0, 'z'), (1, 'n')) AS t(m, k) WHERE event_id % 4 = m"""))
 def recover_fields(spark, sf):
-    found = composed(spark, sf, BROKEN_TEXT).filter(looks_like_object(F.col("raw"))).withColumn(
-        "_r", recover_text("raw")
-    ).filter("_r.body IS NOT NULL")
-    return unpivot(found.select(
-        "file_id", "rec_no", F.col("_r.partial").alias("partial"),
-        parse_object(F.col("_r.body")).alias("fields"),
-    ), "file_id", "rec_no", "partial")
+    found = recover.recover_fields(composed(spark, sf, BROKEN_TEXT))
+    return unpivot(found.select("file_id", "rec_no", "partial", "fields"), "file_id", "rec_no", "partial")
 
 
 BACK = "chr(92)"

@@ -12,7 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglathe.functions.fields import let
 from loglathe.operators.materialize import cut
 from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
 
@@ -44,46 +43,53 @@ def assemble_csv(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
 
 
 def cells_of(record: Column, sep: str = ",") -> Column:
-    """Cells of one CSV record, with outer quotes removed and doubled quotes undone."""
+    """Cells of one CSV record, with outer quotes removed and doubled quotes undone.
+
+    Every cell is kept: what follows a closing quote belongs to its cell, a quote inside an
+    unquoted cell is a character, and a quote that is never closed is one as well.
+    """
     s = re.escape(sep)
-    cell = rf'\G(?:^|{s})(?:"((?:[^"]|"")*+)"|((?:(?!{s})[^"])[^{s}]*+)?)'
+    cell = rf'\G(?:^|{s})(?:"(?:[^"]|"")*+"[^{s}]*+|[^{s}]*+)'
     whole = F.regexp_extract_all(record, F.lit(cell), F.lit(0))
     return F.transform(whole, lambda c, i: _cell(F.when(i == 0, c).otherwise(F.substr(c, F.lit(2)))))
 
 
+_QUOTED = r'(?s)^"((?:[^"]|"")*+)"(.*)$'
+
+
 def _cell(cell: Column) -> Column:
-    inner = F.substr(cell, F.lit(2), F.length(cell) - 2)
+    inner = F.replace(F.regexp_extract(cell, _QUOTED, 1), F.lit('""'), F.lit('"'))
     return F.when(
-        (F.length(cell) >= 2) & cell.startswith('"') & cell.endswith('"'),
-        F.replace(inner, F.lit('""'), F.lit('"')),
+        cell.rlike(_QUOTED), F.concat(inner, F.regexp_extract(cell, _QUOTED, 2))
     ).otherwise(cell)
 
 
+def _names(header: Column) -> Column:
+    """Names of the columns; one that is empty or was there before is called by its place."""
+    return F.transform(header, lambda c, i: F.when(
+        (c != "") & (F.array_position(header, c) == i + 1), c
+    ).otherwise(F.concat(F.lit("col_"), (i + 1).cast("string"))))
+
+
 def csv_records(records: DataFrame, sep: str = ",") -> DataFrame:
     """Assembled CSV records -> ``fields``; the header row of each file goes."""
-    # One row per file. Spark chooses the join from the table's real size.
-    headers = records.groupBy("file_id").agg(
-        F.min("line_no").alias("_first_line"), F.min_by("raw", "line_no").alias("_header")
-    ).withColumn("_header", cells_of(F.col("_header"), sep))
+    first = records.groupBy("file_id").agg(F.min("line_no").alias("line_no"))
+    # one row per file, written so that Spark plans the joins by its real size
+    headers = cut(records.join(cut(first, "csv-first"), ["file_id", "line_no"], "left_semi").select(
+        "file_id", F.col("line_no").alias("_first_line"), _names(cells_of(F.col("raw"), sep)).alias("_header")
+    ), "csv-headers")
     named = F.transform(
         F.col("_cells"),
         lambda c, i: F.struct(
-            F.coalesce(
-                F.nullif(F.get(F.col("_header"), i), F.lit("")),
-                F.concat(F.lit("col_"), (i + 1).cast("string")),
-            ).alias("key"),
+            F.coalesce(F.get(F.col("_header"), i), F.concat(F.lit("col_"), (i + 1).cast("string"))).alias("key"),
             c.cast("variant").alias("value"),
         ),
     )
-    unique = let(named, lambda pairs: F.filter(
-        pairs,
-        lambda e, i: F.array_position(F.transform(pairs, lambda p: p["key"]), e["key"]) == i + 1,
-    ))
     return (
         records.join(headers, "file_id")
         .filter(F.col("line_no") > F.col("_first_line"))
         .withColumn("_cells", cells_of(F.col("raw"), sep))
-        .withColumn("fields", F.map_from_entries(unique))
+        .withColumn("fields", F.map_from_entries(named))
         .drop("_first_line", "_cells", "_header")
     )
 

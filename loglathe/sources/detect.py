@@ -27,7 +27,8 @@ def detect_format(lines: DataFrame) -> DataFrame:
     """One row per file: ``file_id, format``.
 
     The extension decides where it is known (``file_name``, if that column is there), else
-    the content: trace openers anywhere, then JSON lines, a CSV header line, plain text.
+    the content: JSON lines if they are the most, then trace openers, a CSV header line, plain text.
+    A trace among JSON lines leaves the file JSON.
     A whole-file aggregation with map-side combine; only flags are shuffled.
     """
     line = F.col("raw_line")
@@ -45,10 +46,10 @@ def detect_format(lines: DataFrame) -> DataFrame:
     )
     first = F.coalesce(F.col("first"), F.lit(""))
     content = (
-        F.when(F.col("group"), "exception_group")
+        F.when((F.col("filled") > 0) & (F.col("objects") * 2 > F.col("filled")), "jsonl")
+        .when(F.col("group"), "exception_group")
         .when(F.col("python") & ~first.rlike(CSV_HEADER), "python_traceback")
         .when(F.col("go") & ~first.rlike(CSV_HEADER), "go_panic")
-        .when((F.col("filled") > 0) & (F.col("objects") * 2 > F.col("filled")), "jsonl")
         .when(first.rlike(r"^\s*\[?\s*\{?\s*$") & first.rlike(r"[\[{]"), "json")
         .when((F.col("filled") > 1) & first.rlike(CSV_HEADER), "csv")
         .otherwise("text")

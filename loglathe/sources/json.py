@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions.fields import parse_object, squash_ends
+from loglathe.operators.materialize import cut
 from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 _BETWEEN = r'\G((?:"(?:[^"\\]|\\.)*+"|[^"}]|\}(?!\s*,\s*\{))*+\})\s*,\s*(?=\{)'
-_PARTS = 1 << 20  # pieces per line that keep their order in one integer
+_PARTS = 1 << 20  # pieces per line that keep their order in one integer; more are an error
 
 
 def _braces(line: Column) -> Column:
@@ -25,7 +26,9 @@ def _braces(line: Column) -> Column:
 
 def _pieces(line: Column) -> Column:
     """A line cut at every ``}, {`` outside strings (the comma stays with the second piece)."""
-    return F.split(F.regexp_replace(line, _BETWEEN, "$1\n,"), "\n")
+    pieces = F.split(F.regexp_replace(line, _BETWEEN, "$1\n,"), "\n")
+    return F.when(F.size(pieces) <= _PARTS, pieces).otherwise(
+        F.raise_error(F.lit(f"a line has more than {_PARTS} objects")).cast("array<string>"))
 
 
 def _bare_object(raw: Column) -> Column:
@@ -71,8 +74,7 @@ def line_objects(lines: DataFrame) -> DataFrame:
             F.posexplode(_whole_objects(_pieces(F.col("raw_line")))).alias("_part", "_text"),
         )
         .filter(~F.col("_text").rlike(_SEPARATOR_LINE))
-        .select(*keep, (F.col("line_no") * F.lit(_PARTS) + F.col("_part")).alias("line_no"),
-                _bare_object(F.col("_text")).alias("raw"))
+        .select(*keep, "line_no", F.col("_part").alias("part"), _bare_object(F.col("_text")).alias("raw"))
     )
 
 
@@ -101,7 +103,11 @@ def spread_objects(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
         maxes={"_first": F.when(F.col("_starts"), F.col("_at"))}, inclusive=True,
     )
     joined = join_runs(spread, keep, "_first", "_at", "_text", stride=_PARTS)
-    return single.unionByName(joined).withColumn("raw", _bare_object(F.col("raw")))
+    return single.unionByName(joined).withColumns({
+        "raw": _bare_object(F.col("raw")),
+        "part": F.pmod("line_no", F.lit(_PARTS)).cast("int"),
+        "line_no": F.floor(F.col("line_no") / _PARTS),
+    })
 
 
 def spread_files(lines: DataFrame) -> DataFrame:
@@ -121,14 +127,17 @@ def spread_files(lines: DataFrame) -> DataFrame:
 
 
 def assemble_json(lines: DataFrame, layout: str = "auto", rows: int = CHUNK_ROWS) -> DataFrame:
-    """Lines -> one row per top-level JSON object: ``file_id, file_name?, line_no, raw``."""
+    """Lines -> one row per top-level JSON object: ``file_id, file_name?, line_no, part, raw``.
+
+    ``line_no`` is the line an object starts on, ``part`` its place among those of that line.
+    """
     if layout == "lines":
         return line_objects(lines)
     if layout == "spread":
         return spread_objects(lines, rows)
     if layout != "auto":
         raise ValueError("layout must be auto, lines or spread")
-    spread = spread_files(lines)
+    spread = cut(spread_files(lines), "json-spread")  # a row per file; Spark plans by its real size
     return line_objects(lines.join(spread, "file_id", "left_anti")).unionByName(
         spread_objects(lines.join(spread, "file_id", "left_semi"), rows)
     )
@@ -143,5 +152,5 @@ def json_records(records: DataFrame) -> DataFrame:
 
 
 def read_json_logs(lines: DataFrame, layout: str = "auto", rows: int = CHUNK_ROWS) -> DataFrame:
-    """``log_lines`` of JSON files -> ``file_id, file_name?, line_no, raw, fields, format``."""
+    """``log_lines`` of JSON files -> ``file_id, file_name?, line_no, part, raw, fields, format``."""
     return json_records(assemble_json(lines, layout, rows)).withColumn("format", F.lit("json"))

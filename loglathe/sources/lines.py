@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.functions.charset import canonical, decodable, decode_bytes
-from loglathe.operators.ordered import running
+from loglathe.operators.materialize import cut
 
 
 def scan_text(
@@ -36,9 +36,9 @@ def scan_text(
 
 
 def candidates(encoding: str) -> list[str]:
-    """Encodings to try, in order; ``auto`` means UTF-8, else windows-1251."""
+    """Encodings to try, in order; ``auto`` means UTF-8, else windows-1251. The last one takes any bytes."""
     if encoding == "auto":
-        return ["utf-8", "cp1251", "latin-1"]
+        return ["utf-8", "cp1251"]
     wanted = canonical(encoding)
     return [wanted, *[e for e in map(canonical, fixed.FALLBACK_ENCODINGS) if e != wanted]]
 
@@ -49,7 +49,7 @@ def encoding_per_file(lines: DataFrame, encoding: str = "utf-8", by: str = "file
     ok = lines.groupBy(by).agg(*[
         F.min(decodable(F.col("raw_line"), e)).alias(f"_ok{i}") for i, e in enumerate(names)
     ])
-    chosen: Column = F.coalesce(*[F.when(F.col(f"_ok{i}"), e) for i, e in enumerate(names)])
+    chosen: Column = F.coalesce(*[F.when(F.col(f"_ok{i}"), e) for i, e in enumerate(names)], F.lit(names[-1]))
     return ok.select(by, chosen.alias("encoding"), (chosen != names[0]).alias("fallback"))
 
 
@@ -57,8 +57,8 @@ def decode_lines(lines: DataFrame, encoding: str = "utf-8", by: str = "file_id")
     """Decode ``raw_line`` file by file, adding ``encoding`` and ``fallback``.
 
     Works on lines, since a line feed is one byte in every supported charset; no file is
-    ever held whole. The table of encodings has one row per file, so Spark picks the join
-    from its real size.
+    ever held whole. The table of encodings has one row per file and is written first, so
+    Spark plans the join by its real size.
     """
     names = candidates(encoding)
     decoded = F.col("raw_line")
@@ -66,16 +66,27 @@ def decode_lines(lines: DataFrame, encoding: str = "utf-8", by: str = "file_id")
         if not e.startswith("utf-8"):
             decoded = F.when(F.col("encoding") == e, decode_bytes(F.col("raw_line"), e)).otherwise(decoded)
     return (
-        lines.join(encoding_per_file(lines, encoding, by), by, "left")
+        lines.join(cut(encoding_per_file(lines, encoding, by), "encodings"), by, "left")
         .withColumn("raw_line", decoded)
     )
 
 
 def number_lines(scanned: DataFrame) -> DataFrame:
-    """Add a 0-based ``line_no`` per file to ``scan_text`` rows."""
-    return running(
-        scanned, ["file_id"], "split", "pos", sums={"line_no": F.lit(1).cast("bigint")}
-    ).drop("split", "pos")
+    """Add a 0-based ``line_no`` per file to ``scan_text`` rows.
+
+    ``pos`` goes up by one inside a split, so a line's number is the lines of earlier splits plus
+    its distance from the split's first line. Only a table with a row per split is shuffled; the
+    lines stay where they were read.
+    """
+    splits = scanned.groupBy("file_id", "split").agg(F.min("pos").alias("_from"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")
+    offsets = cut(splits.select("file_id", "split", base.alias("_base")), "splits")
+    return (
+        scanned.join(offsets, ["file_id", "split"])
+        .withColumn("line_no", F.col("pos") + F.col("_base"))
+        .drop("split", "pos", "_base")
+    )
 
 
 def read_lines(

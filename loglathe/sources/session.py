@@ -31,10 +31,12 @@ def inline(spark: SparkSession, text: str, file_id: str = "inline") -> DataFrame
 def session_overview(files: DataFrame, report: DataFrame) -> DataFrame:
     """Per file: name, size, format, errors, status.
 
-    ``files`` has ``file_id, file_name, file_size, format``; a file without a report failed.
+    ``files`` has ``file_id, file_name, file_size, format``; a file without a report, or with an
+    ``error`` in it, failed. An empty file with a report did not.
     """
+    seen = F.when(F.col("error").isNull(), F.col("filtered")) if "error" in report.columns else F.col("filtered")
     return (
-        files.join(report.select("file_id", "filtered", "errors"), "file_id", "left")
+        files.join(report.select("file_id", seen.alias("filtered"), "errors"), "file_id", "left")
         .select(
             "file_id", "file_name", "file_size", "format",
             F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"),

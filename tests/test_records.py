@@ -160,11 +160,14 @@ def test_normalize_is_idempotent_for_plain_exports(spark):
     assert fields_of(normalize_export(once)) == fields_of(once)
 
 
-def test_flatten_refuses_to_lose_depth(spark):
-    deep = records(spark, {"a": {"b": {"c": {"d": 1}}}})
-    assert fields_of(rewrite.flatten(deep)) == [{"a.b.c.d": 1}]
-    with pytest.raises(Exception, match="nested deeper"):
-        rewrite.flatten(deep, max_depth=2).collect()
+def test_flatten_goes_as_deep_as_the_record(spark):
+    nested = {"leaf": 1, "arr": [{"k": 1}]}
+    for i in range(12):
+        nested = {f"n{i}": nested, "side": i}
+    got = fields_of(rewrite.flatten(records(spark, nested, {"flat": "{{{"})))
+    path = ".".join(f"n{i}" for i in reversed(range(12)))
+    assert got[0][f"{path}.leaf"] == 1 and got[0][f"{path}.arr"] == [{"k": 1}] and got[0]["side"] == 11
+    assert got[1] == {"flat": "{{{"}
 
 
 @pytest.mark.parametrize("text,expected", [
