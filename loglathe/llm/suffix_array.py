@@ -95,8 +95,7 @@ def _contexts(texts):
         data = _bytes(text)
         rows = []
         for a, p, q, lead in zip(*(x.tolist() for x in anchors(data)), strict=True):
-            digest = xxhash.xxh3_128_intdigest(data[p:q + LENGTH])
-            rows.append((lead, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), a << 16 | a - q << 8 | a - p))
+            rows.append((lead, *_digest(data[p:q + LENGTH]), a << 16 | a - q << 8 | a - p))
         out.append(rows)
     return [out]
 
@@ -165,7 +164,40 @@ def _classes(order: np.ndarray, lcp: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-_FOUND = "lead long, c1 long, c2 long, offsets array<int>, seams array<struct<d1:bigint,d2:bigint,o:int>>"
+#: Offsets whose strings are compared across boundaries as one string first.
+_BLOCK = 8
+_DIGESTS = [("d1", pa.int64()), ("d2", pa.int64())]
+_SEAM = pa.list_(pa.struct([
+    ("b1", pa.int64()), ("b2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()),
+    ("strings", pa.list_(pa.struct(_DIGESTS)))]))
+_FOUND = (
+    "lead long, c1 long, c2 long, offsets array<int>, "
+    "seams array<struct<b1:bigint,b2:bigint,k1:bigint,k2:bigint,first:int,strings:array<struct<d1:bigint,d2:bigint>>>>"
+)
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(data)
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
+def _seam_blocks(right: bytes, left: bytes, first: int, last: int, seen: set) -> list[dict]:
+    """Strings at offsets first ... last, by blocks of offsets on a fixed grid.
+
+    For each block a digest of all its bytes, one of the core that every string of that place in the
+    grid has, and one of each string.
+    """
+    out = []
+    for at in range(first - first % _BLOCK, last + 1, _BLOCK):
+        lo, hi = max(first, at), min(last, at + _BLOCK - 1)
+        data = left[:hi][::-1] + right[:LENGTH - lo]
+        b1, b2 = _digest(data)
+        if (b1, b2, lo) not in seen:              # equal blocks of one partition repeat each other already
+            seen.add((b1, b2, lo))
+            strings = [_digest(data[hi - o:hi - o + LENGTH]) for o in range(lo, hi + 1)]
+            k1, k2 = _digest(left[:at][::-1] + right[:LENGTH - at - _BLOCK + 1])
+            out.append({"b1": b1, "b2": b2, "k1": k1, "k2": k2, "first": lo, "strings": [{"d1": x, "d2": y} for x, y in strings]})
+    return out
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +205,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``offsets`` are those of strings found here, counted from the string's start to the anchor.
     ``seams`` are digests of strings whose equals may lie in other partitions: those that agree,
-    from the anchor to their end, with the first or the last suffix here.
+    from the anchor to their end, with the first or the last suffix here. Each is told once.
     """
     tables = list(batches)
     if not tables:
@@ -193,23 +225,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         r_class = _classes(r_order, r_lcp, LENGTH - o)
         pair = r_class[held] * (m + 1) + _classes(l_order, l_lcp, o)[held]
-        _, rep, inverse, size = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        _, inverse, size = np.unique(pair, return_inverse=True, return_counts=True)
         again = size[inverse] > 1
         for i in held[again & (n[held] == 1)]:
             offsets[i].append(o)
-        edge = (r_class[held] == r_class[r_order[0]]) | (r_class[held] == r_class[r_order[-1]])
-        is_rep = np.zeros(len(held), bool)
-        is_rep[rep] = True
-        for i in held[edge & is_rep]:
-            d = xxhash.xxh3_128_intdigest(left[i][:o][::-1] + right[i][:LENGTH - o])
-            seams[i].append({"d1": (d >> 64) - (1 << 63), "d2": (d & (1 << 64) - 1) - (1 << 63), "o": o})
+    # bytes shared with the first and with the last suffix, along the order from either end
+    ahead = np.minimum.accumulate(np.append(LENGTH, r_lcp[1:]))
+    behind = np.minimum.accumulate(np.append(r_lcp[1:], LENGTH)[::-1])[::-1]
+    shared = np.empty(m, np.int64)
+    shared[r_order] = np.maximum(ahead, behind)
+    start, seen = np.maximum(low, LENGTH - shared), set()
+    for i in np.flatnonzero(start <= high):
+        seams[i] = _seam_blocks(right[i], left[i], int(start[i]), int(high[i]), seen)
     told = [i for i in range(m) if offsets[i] or seams[i]]
-    seam = pa.list_(pa.struct([("d1", pa.int64()), ("d2", pa.int64()), ("o", pa.int32())]))
     for at in range(0, len(told), 2000):
         some = told[at:at + 2000]
         yield pa.RecordBatch.from_arrays([
             pa.array(lead[some]), pa.array(c1[some]), pa.array(c2[some]),
-            pa.array([offsets[i] for i in some], pa.list_(pa.int32())), pa.array([seams[i] for i in some], seam),
+            pa.array([offsets[i] for i in some], pa.list_(pa.int32())), pa.array([seams[i] for i in some], _SEAM),
         ], names=["lead", "c1", "c2", "offsets", "seams"])
 
 
@@ -224,7 +257,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
        quicksort, to the right and, for the bytes before the anchors, to the left; for each offset,
        strings in one class both ways are equal.
     4. Strings that agree with a partition's first or last suffix are compared across the
-       boundaries by digest, grouped and not gathered.
+       boundaries by digest, grouped and not gathered: first in blocks of neighbouring strings,
+       of which a large group of near copies has few that differ, then, where the core of a block
+       comes again, one by one.
     """
     key = text_key().alias("key")
     body = docs.select("doc_id", key, F.coalesce("text", F.lit("")).alias("text"))
@@ -247,10 +282,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranges = suffixes.repartitionByRange(parts, "suffix", "before")
     told = keep(ranges.mapInArrow(_repeats, _FOUND), "suffix-found")
     seams = told.select("lead", "c1", "c2", F.inline("seams"))
-    across = seams.groupBy("d1", "d2").agg(F.count("*").alias("k")).where("k > 1").select("d1", "d2")
-    one = told.select("lead", "c1", "c2", F.explode("offsets").alias("o")).unionByName(
-        seams.join(across, ["d1", "d2"]).select("lead", "c1", "c2", "o"))
-    some = one.groupBy("lead", "c1", "c2").agg(F.sort_array(F.collect_set("o")).alias("offsets"))
+    block = ["b1", "b2", "first"]
+    blocks = keep(
+        seams.groupBy(*block, "k1", "k2").agg(F.count("*").alias("k"), F.first("strings").alias("strings")), "suffix-seams")
+    last = F.col("first") + F.size("strings") - 1
+    alike = blocks.where("k > 1").select(*block, F.sequence("first", last).alias("offsets"))
+    # strings of different blocks can only be equal if their cores are
+    cores = blocks.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    strings = blocks.join(cores, ["k1", "k2"], "left_semi").select(*block, F.posexplode("strings").alias("i", "s")).select(
+        *block, (F.col("first") + F.col("i")).alias("o"), "s.d1", "s.d2")
+    across = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    some = strings.join(across, ["d1", "d2"], "left_semi").groupBy(*block).agg(F.collect_set("o").alias("offsets"))
+    again = alike.unionByName(some)
+    one = told.select("lead", "c1", "c2", "offsets").unionByName(
+        seams.join(again, block).select("lead", "c1", "c2", "offsets"))
+    some = one.groupBy("lead", "c1", "c2").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("offsets")).where("size(offsets) > 0")
     # equal suffixes repeat all their strings; of the others the offsets are known
     whole = kinds.where("n > 1").select("lead", "c1", "c2", F.lit(None).cast("array<int>").alias("offsets"))
     partial = some.join(kinds.where("n = 1").select("lead", "c1", "c2"), ["lead", "c1", "c2"], "left_semi")
