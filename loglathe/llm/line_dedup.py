@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglathe.llm.base import free_name, keep, text_key
@@ -15,15 +15,20 @@ from loglathe.llm.base import free_name, keep, text_key
 THRESHOLD = 0.8
 #: Lines of fewer different tokens aren't compared: at 0.8 they'd have to be equal, and short ones are so by chance.
 MIN_TOKENS = 5
-#: Rarity is counted in so many buckets of token hashes: a table of fixed size, whatever the vocabulary.
+#: Rarity is counted in so many buckets of word hashes: a table of fixed size, whatever the vocabulary.
 BUCKETS = 1 << 16
-_BLANKS = r"[\x20\x09-\x0D]+"
-_HASH_BITS = 52
+_HASH_BITS = 55
+
+
+def _words(line: Column) -> Column:
+    """Lower-cased words between blanks, tabs and carriage returns; an empty one for each blank too many."""
+    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.split(spaced, " ")
 
 
 def tokens(line: Column) -> Column:
-    """The different words of a line, lower-cased."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), _BLANKS)), "")
+    """The different words of a line."""
+    return F.array_remove(F.array_distinct(_words(line)), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,105 +40,152 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.xxhash64("line").alias("l1"), F.xxhash64("line", F.lit(1)).alias("l2"))
 
 
+def _hashed(line: Column) -> Column:
+    """64-bit hashes of a line's different words."""
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+
+
 def _rarity(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket a class from 0 (no token) to 255, ascending with its number of tokens."""
-    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
-    counts = lines.select(F.explode(tokens(F.col("line"))).alias("token")).groupBy(bucket.alias("bucket")).count()
+    """One row: for each bucket a class from 0 (no word) to 255, ascending with its number of words."""
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = lines.select(F.explode(_words(F.col("line"))).alias("word")).groupBy(bucket.alias("bucket")).count()
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     level = F.least(F.lit(255), F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
     listed = every.join(counts, "bucket", "left").select(F.struct("bucket", level.alias("level")).alias("x"))
     return listed.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.level").alias("levels"))
 
 
-def _ordered(levels: Column) -> Column:
-    """A line's tokens as numbers, rarest first: class of rarity, then 52 bits of the token's hash."""
-    def number(token):
-        h = F.xxhash64(token)
-        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-
-    return F.sort_array(F.transform(tokens(F.col("line")), number))
+def _ordered(hashes: Column, levels: Column) -> Column:
+    """Words as numbers, rarest first: class of rarity, then the hash without its highest bits."""
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
+        F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), _HASH_BITS
+    ).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))))
 
 
 def _least(of: Column) -> Column:
     return F.ceil(of - 1e-9).cast("int")
 
 
-def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(a, b) of every two different lines whose token sets have a Jaccard likeness of ``threshold`` or more.
+def prepared(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(at, l1, l2, n, parity, prefix) of every line of at least ``min_tokens`` different words.
 
-    ``lines`` has (l1, l2, line), each line once; a and b are structs (l1, l2), a pair comes once.
-    Two lines that alike share a token among the rarest n - ceil(t n) + 1 of the longer and the
-    rarest n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined. Lengths may differ by
-    the factor t at most, and what is left behind the shared token's places must still reach the
-    overlap that t asks for. Any order of tokens that all lines share keeps this exact; rare ones
-    first keeps the lists short. Likeness is tested on the words themselves.
+    ``prefix`` holds the rarest n - ceil(t n) + 1 words; ``parity`` has, for each of 64 classes of
+    words, whether the line's number of them is odd.
     """
-    t = threshold
+    lines = _lines(docs)
     # a table of BUCKETS small numbers, so it may pass through the driver into the plan
     levels = F.from_json(F.lit(json.dumps(_rarity(lines).first().levels)), "array<int>")
-    n = F.size("keys")
-    prefix = lines.select("l1", _ordered(levels).alias("keys")).where(n >= min_tokens)
-    postings = prefix.select(
-        "l1", n.alias("n"), F.posexplode(F.slice("keys", 1, n - _least(t * n) + 1)).alias("place", "token"))
+    numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words")).where(
+        F.size("words") >= min_tokens)
+    n = F.size("words")
+    bit = F.expr("aggregate(words, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63 AS INT)))")
+    return numbered.select(
+        "at", "l1", "l2", n.alias("n"), bit.alias("parity"), F.slice("words", 1, n - _least(threshold * n) + 1).alias("prefix"))
+
+
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): pairs of ``l1`` that may be as like as ``threshold``; none that are is missing.
+
+    Two alike lines share a word among the rarest n - ceil(t n) + 1 of the longer and the rarest
+    n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined. Lengths may differ by the
+    factor t at most; what is left behind the shared word's places must still reach the overlap
+    that t asks for; and words that only one line has, at most (1-t)/(1+t) of both lengths, are no
+    fewer than the parities that differ. Any order of words that all lines share keeps this exact;
+    rare ones first keeps the lists short.
+    """
+    t = threshold
+    postings = nodes.select("l1", "n", "parity", F.posexplode("prefix").alias("place", "word")).withColumn(
+        "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
 
-    def side(s):
-        return postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place")])
+    def side(s, keep_all):
+        shorter_prefix = F.col("place") <= F.col("n") - _least(2 * t / (1 + t) * F.col("n"))
+        df = postings if keep_all else postings.where(shorter_prefix)
+        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity")])
 
+    a, b = side("a", False), side("b", True)
     shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("l1_a") < F.col("l1_b")))
-    overlap = _least(t / (1 + t) * (F.col("n_a") + F.col("n_b")))
+    both = F.col("n_a") + F.col("n_b")
     left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    a, b = side("a"), side("b")
-    met = a.join(b, (a.token == b.token) & shorter & (F.col("n_a") >= _least(t * F.col("n_b")))
-                 & (F.col("place_a") <= F.col("n_a") - _least(2 * t / (1 + t) * F.col("n_a"))) & (left_over >= overlap))
-    pairs = keep(met.select("l1_a", "l1_b").distinct(), "line-candidates")
-    texts = lines.select("l1", "l2", "line")
+    odd = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    met = a.join(b, (a.word == b.word) & shorter & (F.col("n_a") >= _least(t * F.col("n_b")))
+                 & (left_over >= _least(t / (1 + t) * both)) & (odd <= (1 - t) / (1 + t) * both + 1e-9))
+    return met.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")).distinct()
 
-    def with_text(df, s):
-        return df.join(texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]), f"l1_{s}")
 
-    both = with_text(with_text(pairs, "a"), "b")
-    x, y = tokens(F.col("line_a")), tokens(F.col("line_b"))
-    compared = both.select("l1_a", "l2_a", "l1_b", "l2_b", F.size(F.array_intersect(x, y)).alias("o"),
-                           (F.size(x) + F.size(y)).alias("sum"))
-    return compared.where(F.col("o") >= t * (F.col("sum") - F.col("o")) - 1e-9).select(
-        F.struct(F.col("l1_a").alias("l1"), F.col("l2_a").alias("l2")).alias("a"),
-        F.struct(F.col("l1_b").alias("l1"), F.col("l2_b").alias("l2")).alias("b"))
+def with_earlier_match(lines: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(l1, l2) of every node that a node with an earlier ``first`` is as like as ``threshold``.
+
+    Candidates are tested on the words themselves, fetched from ``lines`` once. Which of several
+    earlier lines a line repeats makes no difference, so its earliest candidate is tested first,
+    and only a line without a match goes on to the next 8, 64, ... of its candidates, until it has
+    one or has none left. So the texts that travel are about two for each line, however many
+    lines a group of near copies has, and no candidate is passed over.
+    """
+    pairs = keep(candidates(nodes, threshold), "line-candidates")
+    met = keep(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "line-met")
+    texts = keep(
+        lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
+        "line-texts")
+    place = nodes.select("l1", "l2", "first").join(met, "l1", "left_semi")
+
+    def side(df, s, *columns):
+        return df.select(F.col("l1").alias(s), F.col("l2").alias(f"{s}2"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+
+    both = pairs.join(side(place, "a", "first"), "a").join(side(place, "b", "first"), "b")
+    names = ("late", "late2", "early", "early2", "early_first")
+    turned = F.when(F.col("a_first") < F.col("b_first"), F.struct("b", "b2", "a", "a2", "a_first")).otherwise(
+        F.struct(*[F.col(c).alias(d) for c, d in zip(("a", "a2", "b", "b2", "b_first"), ("b", "b2", "a", "a2", "a_first"))]))
+    todo = keep(both.select(turned.alias("t")).select(
+        *[F.col(f"t.{c}").alias(n) for c, n in zip(("b", "b2", "a", "a2", "a_first"), names)]), "line-todo")
+    turn, found = F.row_number().over(Window.partitionBy("late", "late2").orderBy("early_first", "early", "early2")), None
+    most = 1
+    while True:
+        ranked = todo.withColumn("turn", turn)
+        tested = (
+            ranked.where(F.col("turn") <= most).select(*names[:4])
+            .join(side(texts, "late", "line"), ["late", "late2"]).join(side(texts, "early", "line"), ["early", "early2"]))
+        x, y = tokens(F.col("late_line")), tokens(F.col("early_line"))
+        sizes = tested.select("late", "late2", F.size(F.array_intersect(x, y)).alias("o"), (F.size(x) + F.size(y)).alias("sum"))
+        like = F.col("o") >= threshold * (F.col("sum") - F.col("o")) - 1e-9
+        yes = keep(sizes.where(like).select("late", "late2").distinct(), "line-repeats")
+        found = yes if found is None else found.unionAll(yes)
+        todo = keep(ranked.where(F.col("turn") > most).select(*names).join(yes, ["late", "late2"], "left_anti"), "line-todo")
+        if todo.isEmpty():
+            return found.select(F.col("late").alias("l1"), F.col("late2").alias("l2"))
+        most *= 8
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, key, line_no, n_links) of every line with an earlier line that is as like as ``threshold``.
+    """(doc_id, key, line_no) of every line with an earlier line that is as like as ``threshold``.
 
-    Earlier means a lesser (doc_id, text key, line number), null ids last. A line's ``n_links`` is
-    the number of other line texts that it is like. Equal lines are one node of the join, with the
-    first place they stand at; lines of under ``min_tokens`` different words are never repeats.
+    Earlier means a lesser (doc_id, text key, line number), null ids last. Equal lines are one node
+    of the join, with the first place they stand at; all places after it are repeats, and that one
+    is if another line before it is alike. Lines of under ``min_tokens`` different words never are.
     """
-    lines = _lines(docs)
-    first = keep(
-        lines.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-        .where(F.size(tokens(F.col("line"))) >= min_tokens),
-        "lines")
-    pairs = keep(similar_lines(first.select("l1", "l2", "line"), threshold, min_tokens), "line-links")
-    ways = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    at = first.select(F.struct("l1", "l2").alias("b"), F.col("first").alias("other"))
-    linked = ways.join(at, "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
-    node = first.select(F.struct("l1", "l2").alias("a"), "l1", "l2", "first", "n").join(linked, "a", "left")
-    cut = node.where((F.col("n") > 1) | (F.col("other") < F.col("first"))).select(
-        "l1", "l2", F.least("first", F.coalesce("other", "first")).alias("cut"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return lines.select("at", "l1", "l2").join(cut, ["l1", "l2"]).where("at > cut").select(
-        "at.doc_id", "at.key", "at.line_no", "n_links")
+    nodes = keep(
+        prepared(docs, threshold, min_tokens).groupBy("l1", "l2").agg(
+            F.min("at").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
+            F.first("parity").alias("parity"), F.first("prefix").alias("prefix")),
+        "line-nodes")
+    late = with_earlier_match(_lines(docs), nodes, threshold).withColumn("repeats", F.lit(True))
+    cut = keep(
+        nodes.select("l1", "l2", "first", "times").join(late, ["l1", "l2"], "left")
+        .where("times > 1 OR repeats").select("l1", "l2", "first", F.coalesce("repeats", F.lit(False)).alias("repeats")),
+        "line-cuts")
+    return _lines(docs).select("at", "l1", "l2").join(cut, ["l1", "l2"]).where("repeats OR at > first").select(
+        "at.doc_id", "at.key", "at.line_no")
 
 
 def _removals(docs: DataFrame, threshold: float, min_tokens: int) -> DataFrame:
-    """(its_id, its_key, removed, n_links) of every document with repeats; ``removed`` holds line numbers, in order."""
+    """(its_id, its_key, removed) of every document with repeats; ``removed`` holds line numbers, in order."""
     again = repeated_lines(docs, threshold, min_tokens).distinct()  # a row repeated whole is one document
     return again.groupBy(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).agg(
-        F.sort_array(F.collect_list("line_no")).alias("removed"), F.sum("n_links").alias("n_links"))
+        F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, removed (line numbers from 0, comma-joined) of every row of ``docs``."""
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined) of every row of ``docs``."""
     slim = docs.select("doc_id", text_key().alias("key"),
                        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     gone = _removals(docs, threshold, min_tokens)
@@ -142,7 +194,6 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int =
     removed = F.coalesce("removed", none)
     return both.select(
         "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
