@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -112,20 +113,18 @@ def parse_lines(
 def requested_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file_id, file_ord, error`` of every file under the paths, empty ones too, in session order.
 
-    Only listed, not read. A path that can't be listed is a row of its own with Spark's error class.
+    Only listed, not read: the names are those the driver's file index holds for the scan anyway
+    (a scan itself leaves empty files out). A path that can't be listed is a row of its own with
+    Spark's error class.
     """
-    found, lost = None, []
+    listed = []
     for i, path in enumerate(paths):
         try:
-            listed = spark.read.format("binaryFile").load(path).select(
-                F.col("_metadata.file_path").alias("file_id"), F.lit(i).alias("_path"),
-                F.lit(None).cast("string").alias("error"))
+            names = spark.read.text(path).inputFiles()  # file:///x is file:/x in the metadata of scanned rows
+            listed += [(re.sub("^file:///", "file:/", name), i, None) for name in names]
         except AnalysisException as e:
-            lost.append((path, i, e.getCondition() or "READ_FAILED"))
-            continue
-        found = listed if found is None else found.unionByName(listed)
-    rest = spark.createDataFrame(lost, "file_id string, _path int, error string")
-    every = rest if found is None else found.unionByName(rest)
+            listed.append((path, i, e.getCondition() or "READ_FAILED"))
+    every = spark.createDataFrame(listed, "file_id string, _path int, error string")
     order = Window.partitionBy(F.lit(0)).orderBy("_path", "file_id")  # a row per file
     return every.groupBy("file_id").agg(F.min("_path").alias("_path"), F.max("error").alias("error")).select(
         "file_id", (F.row_number().over(order) - 1).alias("file_ord"), "error")

@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import axes as ax
+from loglathe.functions import recover
 from loglathe.functions.axes import with_axes
 from loglathe.functions.fields import parse_object, text
 from loglathe.functions.highlight import highlight
-from loglathe.functions import recover
 from loglathe.operators import counts, rewrite, search
 from loglathe.operators.multiline import assemble_multiline, trace_columns, trace_to_record
 from loglathe.operators.normalize import normalize_export
 from loglathe.operators.ordered import with_rec_no
 from loglathe.operators.report import diagnostics, full_report
 from loglathe.operators.windows import cap, cap_signal
+from loglathe.options import ParseOptions
 from loglathe.plans import ducksql as d
 from loglathe.plans import views
 from loglathe.plans.catalog import query
+from loglathe.plans.parse import parse_lines
 from loglathe.plans.queries import VIEW_SQL, all_axes, json_logs, text_logs
 from loglathe.sources.csv import read_csv_logs
 from loglathe.sources.detect import detect_format
@@ -487,3 +489,25 @@ def export_view(spark, sf):
         with_axes(text_logs(spark, sf), "bucket", "source"), off_buckets=["DEBUG"], off_sources=["cache"]
     )
     return shown.select("file_id", "rec_no", F.to_json("fields").alias("line"))
+
+
+# --- the whole chain --------------------------------------------------------------------
+def parsed_text(spark, sf):
+    logs = text_logs(spark, sf)
+    lines = logs.select("file_id", F.col("rec_no").alias("line_no"), F.col("raw").alias("raw_line"))
+    return parse_lines(lines, ParseOptions(remove_duplicates=False))
+
+
+@query("parse_records", d.select(d.TEXT_ONLY, "SELECT file_id, rec_no, level, bucket, source, req_id, ts_text, line FROM axes"))
+def parse_records(spark, sf):
+    return parsed_text(spark, sf).records.select(
+        "file_id", "rec_no", "level", "bucket", "source", "req_id", "ts_text", "line")
+
+
+@query("parse_report", d.select(d.TEXT_ONLY, """
+SELECT file_id, 'text' AS format, count(*) AS total_lines, count(*) AS filtered,
+  count(*) FILTER (WHERE level IN ('ERROR','FATAL','CRITICAL')) AS errors,
+  count(*) FILTER (WHERE level IN ('WARN','WARNING')) AS warnings, 'ok' AS status FROM axes GROUP BY file_id"""))
+def parse_report(spark, sf):
+    return parsed_text(spark, sf).report.select(
+        "file_id", "format", "total_lines", "filtered", "errors", "warnings", "status")
