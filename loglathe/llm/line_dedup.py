@@ -16,8 +16,14 @@ THRESHOLD = 0.8
 #: Lines of fewer different tokens aren't compared: at 0.8 they'd have to be equal, and short ones are so by chance.
 MIN_TOKENS = 5
 #: Rarity is counted in so many buckets of word hashes: a table of fixed size, whatever the vocabulary.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 _HASH_BITS = 55
+#: Class of rarity of a bucket that counted one word in all: no other line has that word.
+_ALONE = 8
+#: So many of its rarest words name the groups whose heads a line is tested against first.
+NAMES = 3
+#: A group has so many heads: the earliest line of each class of line hashes.
+HEADS = 8
 
 
 def _words(line: Column) -> Column:
@@ -67,8 +73,8 @@ def _least(of: Column) -> Column:
     return F.ceil(of - 1e-9).cast("int")
 
 
-def prepared(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(at, l1, l2, n, parity, prefix) of every line of at least ``min_tokens`` different words.
+def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(at, l1, l2, n, parity, prefix) of every line.
 
     ``prefix`` holds the rarest n - ceil(t n) + 1 words; ``parity`` has, for each of 64 classes of
     words, whether the line's number of them is odd.
@@ -76,45 +82,80 @@ def prepared(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MI
     lines = _lines(docs)
     # a table of BUCKETS small numbers, so it may pass through the driver into the plan
     levels = F.from_json(F.lit(json.dumps(_rarity(lines).first().levels)), "array<int>")
-    numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words")).where(
-        F.size("words") >= min_tokens)
+    numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words"))
     n = F.size("words")
     bit = F.expr("aggregate(words, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63 AS INT)))")
     return numbered.select(
         "at", "l1", "l2", n.alias("n"), bit.alias("parity"), F.slice("words", 1, n - _least(threshold * n) + 1).alias("prefix"))
 
 
+def _may_be_alike(x, y, threshold: float) -> Column:
+    """Length and parity filter of two rows given as functions from a name to a column.
+
+    Lengths may differ by the factor t at most, and words that only one line has, at most
+    (1-t)/(1+t) of both lengths, are no fewer than the parities that differ.
+    """
+    both = x("n") + y("n")
+    odd = F.bit_count(x("parity").bitwiseXOR(y("parity")))
+    return (F.least(x("n"), y("n")) >= _least(threshold * F.greatest(x("n"), y("n")))) & (
+        odd <= (1 - threshold) / (1 + threshold) * both + 1e-9)
+
+
+def _shared(word: Column) -> Column:
+    """Whether other lines may have the word."""
+    return F.shiftright(word, _HASH_BITS) > _ALONE
+
+
+def head_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): each line with the heads of each group that its rarest shared words name.
+
+    At most ``NAMES`` times ``HEADS`` pairs a line, however large the group. A line that is like
+    an earlier head needs no other match; the rest go through ``candidates``.
+    """
+    named = nodes.select("l1", "n", "parity", "first", F.explode(
+        F.slice(F.filter("prefix", _shared), 1, NAMES)).alias("word"))
+    heads = named.groupBy("word", F.pmod("l1", F.lit(HEADS))).agg(F.min(F.struct("first", "l1", "n", "parity")).alias("head")).select("word", "head")
+    met = named.join(heads, "word").where(
+        (F.col("l1") != F.col("head.l1")) & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
+    return met.select(F.col("l1").alias("a"), F.col("head.l1").alias("b")).distinct()
+
+
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of ``l1`` that may be as like as ``threshold``; none that are is missing.
+    """(a, b): pairs of ``l1``, at least one of them ``todo``, that may be as like as ``threshold``; none that are is missing.
 
     Two alike lines share a word among the rarest n - ceil(t n) + 1 of the longer and the rarest
-    n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined. Lengths may differ by the
-    factor t at most; what is left behind the shared word's places must still reach the overlap
-    that t asks for; and words that only one line has, at most (1-t)/(1+t) of both lengths, are no
-    fewer than the parities that differ. Any order of words that all lines share keeps this exact;
-    rare ones first keeps the lists short.
+    n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined, without words that only one
+    line has. What is left behind the shared word's places must still reach the overlap that t
+    asks for, and the pair must pass ``_may_be_alike``. Any order of words that all lines share
+    keeps this exact; rare ones first keeps the lists short.
     """
     t = threshold
-    postings = nodes.select("l1", "n", "parity", F.posexplode("prefix").alias("place", "word")).withColumn(
+    postings = nodes.select("l1", "n", "parity", "todo", F.posexplode("prefix").alias("place", "word")).where(
+        _shared(F.col("word"))).withColumn(
         "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
 
-    def side(s, keep_all):
-        shorter_prefix = F.col("place") <= F.col("n") - _least(2 * t / (1 + t) * F.col("n"))
-        df = postings if keep_all else postings.where(shorter_prefix)
-        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity")])
+    def side(s, df):
+        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity", "todo")])
 
-    a, b = side("a", False), side("b", True)
+    def of(s):
+        return lambda c: F.col(f"{c}_{s}")
+
+    def in_short_prefix(s):
+        return F.col(f"place_{s}") <= F.col(f"n_{s}") - _least(2 * t / (1 + t) * F.col(f"n_{s}"))
+
+    a, b = side("a", postings.where("todo")), side("b", postings)
     shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("l1_a") < F.col("l1_b")))
-    both = F.col("n_a") + F.col("n_b")
     left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    odd = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
-    met = a.join(b, (a.word == b.word) & shorter & (F.col("n_a") >= _least(t * F.col("n_b")))
-                 & (left_over >= _least(t / (1 + t) * both)) & (odd <= (1 - t) / (1 + t) * both + 1e-9))
+    met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b"))
+                 & (~F.col("todo_b") | (F.col("l1_a") < F.col("l1_b")))
+                 & ((shorter & in_short_prefix("a")) | (~shorter & in_short_prefix("b")))
+                 & (left_over >= _least(t / (1 + t) * (F.col("n_a") + F.col("n_b"))))
+                 & _may_be_alike(of("a"), of("b"), t))
     return met.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")).distinct()
 
 
-def with_earlier_match(lines: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(l1, l2) of every node that a node with an earlier ``first`` is as like as ``threshold``.
+def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(l1, l2) of every node that is as like as ``threshold`` to one with an earlier ``first`` that it forms a pair with.
 
     Candidates are tested on the words themselves, fetched from ``lines`` once. Which of several
     earlier lines a line repeats makes no difference, so its earliest candidate is tested first,
@@ -122,7 +163,7 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, threshold: float = TH
     one or has none left. So the texts that travel are about two for each line, however many
     lines a group of near copies has, and no candidate is passed over.
     """
-    pairs = keep(candidates(nodes, threshold), "line-candidates")
+    pairs = keep(pairs, "line-candidates")
     met = keep(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "line-met")
     texts = keep(
         lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
@@ -164,11 +205,15 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: in
     is if another line before it is alike. Lines of under ``min_tokens`` different words never are.
     """
     nodes = keep(
-        prepared(docs, threshold, min_tokens).groupBy("l1", "l2").agg(
+        prepared(docs, threshold).groupBy("l1", "l2").agg(
             F.min("at").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
-            F.first("parity").alias("parity"), F.first("prefix").alias("prefix")),
+            F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).where(F.col("n") >= min_tokens),
         "line-nodes")
-    late = with_earlier_match(_lines(docs), nodes, threshold).withColumn("repeats", F.lit(True))
+    lines = _lines(docs)
+    early = keep(with_earlier_match(lines, nodes, head_pairs(nodes, threshold), threshold).withColumn("done", F.lit(True)), "line-heads")
+    open_ = nodes.join(early, ["l1", "l2"], "left").withColumn("todo", F.col("done").isNull())
+    late = early.select("l1", "l2").unionAll(
+        with_earlier_match(lines, nodes, candidates(open_, threshold), threshold)).distinct().withColumn("repeats", F.lit(True))
     cut = keep(
         nodes.select("l1", "l2", "first", "times").join(late, ["l1", "l2"], "left")
         .where("times > 1 OR repeats").select("l1", "l2", "first", F.coalesce("repeats", F.lit(False)).alias("repeats")),
