@@ -9,9 +9,9 @@ from loglathe.functions.axes import fmt_nanos, with_axes
 from loglathe.functions.fields import parse_object
 from loglathe.functions.highlight import highlight
 
-TS = "2026-01-15 14:23:01"
-LONG_SQL = ("\n\tselect\n\t\tnr.schedule_id, ms.mcr_id\n\tfrom mcr.next_run nr\n\tinner join "
-            "mcr.schedule ms on ms.id = nr.schedule_id\n\twhere nr.active")
+TS = "2031-08-09 05:06:07"
+WIDE_SQL = ("\n  select\n\tp.shelf_no,  p.weight_g\n  from depot.pallet p\n\tjoin depot.shelf s "
+            "on s.shelf_no = p.shelf_no\n  where s.level_no > 4 and p.open")
 
 
 def raw(text):
@@ -19,79 +19,62 @@ def raw(text):
 
 
 CASES = [
-    ("level", {"level": "error"}, "ERROR"),
-    ("level", {"severity": "WARNING"}, "WARN"),
-    ("level", raw("... ERROR boom"), "ERROR"),
-    ("level", {"message": "all good"}, ""),
-    ("level", {"handler": "error_cb", "message": "all good"}, ""),
-    ("level", {"lvl": "warn"}, "WARN"),
-    ("level", {"severity": 3}, "ERROR"),
-    ("level", {"severity": 4}, "WARN"),
-    ("level", {"severity": 6}, "INFO"),
-    ("level", {"severity": 0}, "FATAL"),
-    ("level", {"level": 30}, "INFO"),
-    ("level", {"level": 50}, "ERROR"),
-    ("level", {"level": 60}, "FATAL"),
-    ("level", {"level": 25}, "DEBUG"),
-    ("level", {"level": 200}, ""),
-    ("level", {"level": True}, ""),
-    ("level", {"level": "30"}, ""),
-    ("level", {"level": 3.5}, ""),
-    ("level", {"level": "ERROR", "severity": 6}, "ERROR"),
-    ("level", {"msg": "ОшибкаERROR here"}, "ERROR"),
-    ("bucket", {"level": "fatal"}, "ERROR"),
-    ("bucket", {"severity": 2}, "ERROR"),
-    ("bucket", {"level": 10}, "DEBUG"),
-    ("bucket", {"message": "no level"}, "OTHER"),
-    ("source", {"service": "api"}, "api"),
-    ("source", {"service_name": "drills"}, "drills"),
-    ("source", raw("2026 ERROR api-gateway boom"), "api-gateway"),
-    ("source", raw("2026 INFO POST /v2/checkout 200"), ""),
-    ("source", raw("2026 INFO no level component"), "no"),
-    ("source", {"message": "no level here"}, ""),
-    ("source", {"log": "Flags:", "_meta": {"kubernetes_labels_service_name": "n3"}}, "n3"),
-    ("source", {"service_name": "top", "_meta": {"kubernetes_labels_service_name": "m"}}, "top"),
-    ("source", {"source": True, "src": {"a": 1}, "host": 7}, "7"),
-    ("source", {"source": "true"}, "true"),
-    ("req_id", {"trace_id": "7f3a-9c41"}, "7f3a-9c41"),
-    ("req_id", {"requestId": "X9"}, "X9"),
-    ("req_id", {"traceID": "T"}, "T"),
-    ("req_id", {"req_id": None, "rid": False}, "false"),
-    ("req_id", raw("... req_id=A1 start"), "A1"),
-    ("req_id", raw("... trace_id: 7f3a9c41 ok"), "7f3a9c41"),
-    ("req_id", raw("... correlation_id abc123 done"), "abc123"),
-    ("req_id", raw("... no correlation here"), ""),
-    ("ts_text", {"timestamp_iso": TS}, "14:23:01"),
-    ("ts_text", {"timestamp": "Jun 5, 2026 @ 20:29:13.329", "time": "2026-06-05T17:29:02.558+0000"},
-     "17:29:02.558"),
-    ("ts_text", {"timestamp": "Jun 5, 2026 @ 20:29:13.329"}, "20:29:13.329"),
-    ("ts_text", {"ts": "yesterday at noon"}, "yesterday at"),
-    ("msg", raw("2026 ERROR boom"), "2026 ERROR boom"),
-    ("msg", {"user": "ivan", "code": 500}, "user=ivan · code=500"),
-    ("msg", {"a": None, "b": {"x": [1]}, "c": "p  q\n r", "col_3": "no", "_meta": {"k": 1}},
-     'a=null · b={"x":[1]} · c=p q r'),
-    ("msg", {"message": "", "user": "u"}, ""),
-    ("summary", {"msg": "Start handling request", "method": "GET", "url": "/api/theme/v1/"},
-     "GET /api/theme/v1/ · Start handling request"),
-    ("summary", {"msg": "Finish handling request", "method": "GET", "url": "/x", "status": 200,
-                 "request_time": 29718179}, "GET /x · → 200 · 30ms · Finish handling request"),
-    ("summary", {"msg": "ok", "request_time": 228427}, "228µs · ok"),
-    ("summary", {"msg": "proxy /api/x done", "url": "/api/x"}, "proxy /api/x done"),
-    ("summary", {"msg": "plain"}, "plain"),
-    ("summary", {"method": "GET", "url": "/x"}, "GET /x"),
-    ("summary", {"level": "INFO", "service": "api", "method": "GET", "path": "/x", "status": 200,
-                 "req_id": "7f3a", "request_time": 12500000}, "GET /x · → 200 · 13ms"),
-    ("summary", {"msg": "executing query", "sql": "select * from users where id = 42"},
-     "executing query · sql: select * from users where id = 42"),
-    ("summary", {"sql": "select 1"}, "sql: select 1"),
-    ("sql_snip", {"level": "INFO", "sql": "SELECT *\nFROM t\nWHERE x=1"}, "SELECT * FROM t WHERE x=1"),
-    ("sql_snip", {"query": "SELECT 1"}, "SELECT 1"),
-    ("sql_snip", {"msg": "no sql here"}, ""),
-    ("http", {"msg": "Finish", "method": "get", "url": "/x", "status": 200, "request_time": 29718179},
-     ("GET", "/x", "200", "30ms")),
-    ("http", {"msg": "proxy /api/x done", "method": "GET", "url": "/api/x"}, ("", "", "", "")),
-    ("http", {"msg": "plain"}, ("", "", "", "")),
-    ("line", {"level": "ERROR", "service": "api", "message": "boom"}, "ERROR  api  boom"),
+    # level: names, numbers of both scales, text, what isn't one
+    ("level", {"level": "critical"}, "CRITICAL"),
+    ("level", {"severity": "Information"}, ""),
+    ("level", {"lvl": "err"}, ""),
+    ("level", raw("<7> WARN pump dry"), "WARN"),
+    ("level", {"handler": "warn_hook", "message": "tank full"}, ""),
+    ("level", {"severity": 1}, "FATAL"),
+    ("level", {"severity": 7}, "DEBUG"),
+    ("level", {"level": 40}, "WARN"),
+    ("level", {"level": 10}, "TRACE"),
+    ("level", {"level": 999}, ""),
+    ("level", {"level": False}, ""),
+    ("level", {"level": "50"}, ""),
+    ("level", {"level": "DEBUG", "severity": 2}, "DEBUG"),
+    ("bucket", {"level": "critical"}, "ERROR"),
+    ("bucket", {"severity": 5}, "INFO"),
+    ("bucket", {"level": "trace"}, "DEBUG"),
+    ("bucket", {"message": "tank full"}, "OTHER"),
+    # source
+    ("source", {"service": "pump-7"}, "pump-7"),
+    ("source", {"service_name": "valve"}, "valve"),
+    ("source", raw("2031 WARN boiler-room steam"), "boiler-room"),
+    ("source", raw("2031 ERROR DELETE /tanks/3 404"), ""),
+    ("source", {"message": "tank full"}, ""),
+    ("source", {"log": "up", "_meta": {"kubernetes_labels_service_name": "k9"}}, "k9"),
+    ("source", {"service_name": "outer", "_meta": {"kubernetes_labels_service_name": "in"}}, "outer"),
+    # request id
+    ("req_id", {"trace_id": "0b-55e"}, "0b-55e"),
+    ("req_id", {"requestId": "Q4"}, "Q4"),
+    ("req_id", raw("<7> req_id=Z8 opened"), "Z8"),
+    ("req_id", raw("<7> trace_id: c0ffee12 closed"), "c0ffee12"),
+    ("req_id", raw("<7> nothing to follow"), ""),
+    # time text
+    ("ts_text", {"timestamp_iso": TS}, "05:06:07"),
+    ("ts_text", {"timestamp": "Mar 2, 2031 @ 21:10:09.004"}, "21:10:09.004"),
+    ("ts_text", {"timestamp": "Mar 2, 2031 @ 21:10:09.004", "time": "2031-03-02T18:10:09.120+0000"}, "18:10:09.120"),
+    # message
+    ("msg", raw("2031 WARN pump dry"), "2031 WARN pump dry"),
+    ("msg", {"crew": "olga", "bay": 12}, "crew=olga · bay=12"),
+    ("msg", {"p": None, "q": {"y": [2]}, "r": "u  v\n w", "col_8": "x", "_meta": {"z": 2}}, 'p=null · q={"y":[2]} · r=u v w'),
+    # summary, HTTP context, SQL, line
+    ("summary", {"msg": "Valve opened", "method": "PUT", "url": "/valves/9"}, "PUT /valves/9 · Valve opened"),
+    ("summary", {"msg": "Valve shut", "method": "PUT", "url": "/v", "status": 503, "request_time": 41300000},
+     "PUT /v · → 503 · 41ms · Valve shut"),
+    ("summary", {"msg": "done", "request_time": 615300}, "615µs · done"),
+    ("summary", {"msg": "bare"}, "bare"),
+    ("summary", {"method": "HEAD", "url": "/v"}, "HEAD /v"),
+    ("summary", {"msg": "reading", "sql": "select level_no from depot.shelf"},
+     "reading · sql: select level_no from depot.shelf"),
+    ("sql_snip", {"sql": "DELETE\nFROM depot\nWHERE n=4"}, "DELETE FROM depot WHERE n=4"),
+    ("sql_snip", {"query": "SELECT 77"}, "SELECT 77"),
+    ("sql_snip", {"msg": "tank full"}, ""),
+    ("http", {"msg": "Shut", "method": "put", "url": "/v", "status": 503, "request_time": 41300000},
+     ("PUT", "/v", "503", "41ms")),
+    ("http", {"msg": "bare"}, ("", "", "", "")),
+    ("line", {"level": "WARN", "service": "pump-7", "message": "dry"}, "WARN  pump-7  dry"),
 ]
 
 
@@ -112,14 +95,14 @@ def test_axis(axes, i):
 
 
 def test_long_sql_is_cut(spark):
-    df = spark.createDataFrame([(json.dumps({"sql": LONG_SQL}),)], "raw string")
+    df = spark.createDataFrame([(json.dumps({"sql": WIDE_SQL}),)], "raw string")
     snip = with_axes(df.withColumn("fields", parse_object(F.col("raw"))), "sql_snip").first()["sql_snip"]
-    assert snip.startswith("select nr.schedule_id, ms.mcr_id from mcr.next_run")
+    assert snip.startswith("select p.shelf_no, p.weight_g from depot.pallet p")
     assert len(snip) <= 81 and snip.endswith("…")
 
 
 def test_fmt_nanos(spark):
-    cases = {500: "500ns", 1500: "2µs", 29718179: "30ms", 2_500_000_000: "2.50s",
+    cases = {500: "500ns", 1500: "2µs", 41300000: "41ms", 2_500_000_000: "2.50s",
              999_999_999: "1000ms", 90_000_000_000: "1.5min", -1: ""}
     df = spark.createDataFrame([(k,) for k in cases], "n bigint")
     assert {r["n"]: r["t"] for r in df.select("n", fmt_nanos(F.col("n")).alias("t")).collect()} == cases
