@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import (
-    decontaminate, line_dedup, mixing, order_minhash, quality, secrets, simhash, suffix_array, token_counts, toxicity,
+    decontaminate, exact_dedup, hard_negatives, line_dedup, mixing, order_minhash, prefix_trie, quality, secrets, simhash,
+    suffix_array, token_counts, toxicity,
 )
 from loglathe.llm.base import documents, fresh_path
 from loglathe.llm.linear import held_out
@@ -99,3 +100,56 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.removals(documents(spark, sf_dir)).drop("runs")
+
+
+@query("op11_conversation_prefix_trie")
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations as ``prefix_trie.rebuilt`` rebuilds them."""
+    return prefix_trie.trie(prefix_trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+NEGATIVES_SQL = r"""
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+         CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM valid a JOIN valid r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+   AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negative_mining", NEGATIVES_SQL)
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are rows whose id is divisible by 100; where it is divisible by 7, the label is the next of ten."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+EXACT_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(t) AS text_sha256
+FROM plain WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its text."""
+    return exact_dedup.classes(documents(spark, sf_dir))
