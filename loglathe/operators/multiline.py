@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.functions.axes import has_level_word, level_word
-from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
+from loglathe.operators.ordered import CHUNK_ROWS, MAX_LINES, chunk_of, join_runs, running
 
 # Line classes.
 OTHER, LOG, PANIC, PY, GO, GROUP, GROUP_HEAD, INDENT, CALL, BLANK, RAISED = range(11)
@@ -44,6 +44,7 @@ def line_class(line: Column) -> Column:
         .when(line.rlike(PANIC_TITLE), PANIC)
         .when(line.rlike(GO_CALL), CALL)
         .when(line.rlike(RAISED_LINE) & ~level_first, RAISED)
+        .when(F.startswith(line, F.lit("{")) & line.rlike(r"\}\s*$"), OTHER)  # a JSON line heads no trace
         .when(has_level_word(line), LOG)
         .otherwise(OTHER)
     )
@@ -104,37 +105,47 @@ def _with_groups(lines: DataFrame, rows: int) -> DataFrame:
         .when(cls.isin(INDENT, CALL) & (anchor == GO), _first_line(F.col("_anchor")))
         .when(cls.isin(RAISED, GROUP_HEAD, CALL) & (solid == PY), _first_line(F.col("_solid")))
     )
+    # what the record's opener is, told to each of its lines
+    told = (
+        F.when(cls.isin(PY, GO, GROUP), cls)
+        .when((cls == INDENT) & solid.isin(PY, GROUP), solid)
+        .when(cls.isin(INDENT, CALL) & (anchor == GO), GO)
+        .when(cls.isin(RAISED, GROUP_HEAD, CALL) & (solid == PY), PY)
+    )
     return (
-        tracked.filter(cls != BLANK)
+        tracked.withColumn("_told", told).filter(cls != BLANK)
         .withColumn("gid", F.coalesce(opener, no))
         .withColumn("multi", opener.isNotNull() | F.col("_head"))
         .drop("_solid", "_anchor", "_offset", "_head", "_chunk")
     )
 
 
-def assemble_multiline(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``log_lines`` -> one row per record: ``file_id, file_name?, line_no, kind, raw``.
+def assemble_multiline(lines: DataFrame, rows: int = CHUNK_ROWS, max_lines: int = MAX_LINES) -> DataFrame:
+    """``log_lines`` -> one row per record: ``file_id, file_name?, line_no, cont, kind, raw``.
 
     ``kind`` is python_traceback, go_panic, exception_group or text. Single lines pass
-    through; only lines of real multi-line records are shuffled once more to be joined.
+    through; only lines of real multi-line records are shuffled once more to be joined. A record
+    of more than ``max_lines`` lines goes on in rows with the same ``line_no`` and ``kind`` and ``cont`` from 1 up.
     """
     keep = [c for c in ("file_id", "file_name") if c in lines.columns]
     grouped = _with_groups(lines.select(*keep, "line_no", "raw_line"), rows)
     single = grouped.filter(~F.col("multi")).select(
-        *keep, "line_no", F.lit("text").alias("kind"), F.col("raw_line").alias("raw")
-    )
-    kind = (
-        F.when(F.max((F.col("cls") == GROUP).cast("int")) == 1, "exception_group")
-        .when(F.max((F.col("cls") == GO).cast("int")) == 1, "go_panic")
-        .otherwise("python_traceback")
+        *keep, "line_no", F.lit(0).alias("cont"), F.lit("text").alias("kind"), F.col("raw_line").alias("raw")
     )
+    told = F.max("_told")
+    kind = F.when(told == GROUP, "exception_group").when(told == GO, "go_panic").otherwise("python_traceback")
     joined = join_runs(
-        grouped.filter("multi"), keep, "gid", "line_no", "raw_line",
+        grouped.filter("multi"), keep, "gid", "line_no", "raw_line", max_lines=max_lines,
         extra={"kind": kind},
     )
     return single.unionByName(joined)
 
 
+def continuations(assembled: DataFrame) -> DataFrame:
+    """The further rows of records of very many lines: ``file_id, line_no, cont, raw``."""
+    return assembled.filter("cont > 0").select("file_id", "line_no", "cont", "raw")
+
+
 # --- one record's text -> its fields -----------------------------------------
 _FRAME = r'(?m)^[ \t|]*File "([^"]*)", line (\d+), in (.*)$'
 _SUB_RAISED = r"(?m)^\s*\|\s?([A-Za-z_][\w.]*): (.*)$"
@@ -236,6 +247,8 @@ _PARTS = ("level", "type", "message", "method", "url", "goroutine", "frames",
 
 def trace_to_record(records: DataFrame) -> DataFrame:
     """Assembled text records -> ``fields``: named parts of a trace, or a plain line's fields."""
+    if "cont" in records.columns:
+        records = records.filter("cont = 0").drop("cont")
     traced = trace_columns(records)
     entries = F.array(
         F.struct(F.lit("timestamp_iso").alias("key"),
@@ -256,6 +269,6 @@ def _to_variant(key: str, value: Column) -> Column:
 
 
 __all__ = [
-    "assemble_multiline", "frames_of", "line_class", "sub_exceptions_of",
+    "assemble_multiline", "continuations", "frames_of", "line_class", "sub_exceptions_of",
     "text_fields_of", "text_record", "text_timestamp", "trace_columns", "trace_to_record",
 ]

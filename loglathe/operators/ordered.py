@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65_536
+#: Lines of one record that are put together in one row.
+MAX_LINES = 100_000
 
 
 def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
@@ -87,6 +89,40 @@ def with_rec_no(
     ).drop("_chunk")
 
 
+def running_state(
+    df: DataFrame, by: Sequence[str], chunk: str, order: str, from_zero: Column, from_one: Column, name: str = "_state",
+) -> DataFrame:
+    """Add the state (0 or 1) before each row of a two-state machine that starts each ``by`` in 0.
+
+    ``from_zero`` and ``from_one`` are the states (booleans) a row leads to from either. A row is thus one
+    of four functions, and functions compose associatively: what counts is the last row that leads
+    to one state from both, and how often the state was swapped since. Both are running values.
+    ``order`` must leave two bits of a bigint free.
+    """
+    swap = (from_zero & ~from_one).cast("bigint")
+    swapped = running(df, by, chunk, order, sums={"_swaps": swap})
+    after = F.pmod(F.col("_swaps") + swap, F.lit(2))
+    settled = F.when(from_zero == from_one, F.col(order) * 4 + from_zero.cast("bigint") * 2 + after)
+    both = running(swapped, by, chunk, order, maxes={"_settled": settled})
+    since = lambda c: F.pmod(c, F.lit(2))
+    value = since(F.shiftright("_settled", 1) + F.col("_settled") + F.col("_swaps"))
+    return both.withColumn(name, F.coalesce(value, since(F.col("_swaps")))).drop("_swaps", "_settled")
+
+
+def running_depth(
+    df: DataFrame, by: Sequence[str], chunk: str, order: str | Sequence[str], total: Column, least: Column, name: str = "_depth",
+) -> DataFrame:
+    """Add the depth before each row, never below zero, of rows that go up and down.
+
+    A row is (``total``, ``least``): how far it ends above its start, and the lowest it gets on the way
+    (at most 0). Depth that would fall below zero stays at zero, so it is the plain sum less the
+    lowest plain depth so far.
+    """
+    summed = running(df, by, chunk, order, sums={"_sum": total})
+    low = running(summed, by, chunk, order, maxes={"_deepest": -(F.col("_sum") + least)})
+    return low.withColumn(name, F.col("_sum") + F.greatest(F.lit(0).cast("bigint"), F.col("_deepest"))).drop("_sum", "_deepest")
+
+
 def join_runs(
     df: DataFrame,
     keep: Sequence[str],
@@ -94,24 +130,23 @@ def join_runs(
     order: str,
     text: str,
     stride: int = 1,
-    max_lines: int = 100_000,
+    max_lines: int = MAX_LINES,
     extra: Mapping[str, Column] | None = None,
+    separator: str = "\n",
 ) -> DataFrame:
-    """Lines that share ``(file_id, first)`` -> one row ``keep, line_no, raw`` (+ extras).
+    """Lines that share ``(file_id, first)`` -> rows ``keep, line_no, cont, raw`` (+ extras).
 
-    ``first`` is the ``order`` of the run's first line; ``stride`` is the step of ``order``
-    from one line to the next. A record is bounded by nature, a damaged file (a quote or a
-    brace never closed) is not: such a run becomes several rows of ``max_lines`` lines each,
-    so nothing is lost and no task collects a whole file.
+    ``first`` is the ``order`` of the run's first line and becomes ``line_no``; ``stride`` is the step
+    of ``order`` from one line to the next. A run of more than ``max_lines`` lines has further
+    rows of that many lines each, told apart by ``cont`` (0 for the first): they belong to the
+    same record, nothing is lost, and no task collects more than that at once.
     """
-    part = F.floor((F.col(order) - F.col(first)) / F.lit(stride * max_lines))
+    part = F.floor((F.col(order) - F.col(first)) / F.lit(stride * max_lines)).cast("int")
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return (
-        df.groupBy(*keep, first, part.alias("_part"))
+        df.groupBy(*keep, F.col(first).alias("line_no"), part.alias("cont"))
         .agg(
-            F.min(order).alias("line_no"),
-            F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("raw"),
+            F.array_join(F.transform(lines, lambda s: s["t"]), separator).alias("raw"),
             *[c.alias(n) for n, c in (extra or {}).items()],
         )
-        .drop(first, "_part")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,19 +24,25 @@ from loglathe.operators.windows import cap, cap_signal, dedup
 from loglathe.options import ParseOptions
 from loglathe.ship import ship
 from loglathe.sources.csv import read_csv_logs
-from loglathe.sources.detect import TEXT_FORMATS, detect_format
+from loglathe.sources.detect import OBJECT_LINE, TEXT_FORMATS, detect_format
 from loglathe.sources.json import read_json_logs
-from loglathe.sources.lines import read_lines
+from loglathe.sources.lines import read_files
+from loglathe.sources.streams import CODECS
 
 
 @dataclass(frozen=True)
 class Parsed:
-    """Results of one run. Lines and records are written tables; the reports over them are lazy."""
+    """Results of one run. Lines and records are written tables; the reports over them are lazy.
+
+    ``continuations`` (``file_id, line_no, part, cont, raw``) has what very long records go on with: their
+    ``raw`` ends after a fixed number of lines, and ``line_no`` and ``part`` say which record goes on.
+    """
 
     lines: DataFrame
     formats: DataFrame
     records: DataFrame
     report: DataFrame
+    continuations: DataFrame
 
     @property
     def diagnostics(self) -> DataFrame:
@@ -43,18 +50,28 @@ class Parsed:
 
 
 def _records_of(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Each file goes through the reader of its format; formats has one row per file."""
-    tagged = lines.join(formats, "file_id")
-    text = trace_to_record(assemble_multiline(tagged.filter(F.col("format").isin(*TEXT_FORMATS))))
+    """Each file goes through the reader of its format; formats has one row per file.
+
+    A mixed file has lines of its own that are JSON objects besides other lines. It is read as text, where a
+    line of JSON ends a trace like any other line; then its JSON lines go on to the JSON reader.
+    """
+    tagged = lines.join(formats.select("file_id", "format", "mixed"), "file_id")
+    columns = ["file_id", "line_no", "part", "cont", "raw", "fields"]
+    whole, nothing = F.lit(0).alias("part"), F.from_json(F.lit("{}"), "map<string,variant>")
+    text = assemble_multiline(tagged.filter(F.col("format").isin(*TEXT_FORMATS) & ~F.col("mixed")))
+    parts = [text]
+    if not formats.filter("mixed").isEmpty():
+        mixed = cut(assemble_multiline(tagged.filter("mixed")), "mixed")
+        is_json = (F.col("kind") == "text") & F.col("raw").rlike(OBJECT_LINE)
+        parts = [text.unionByName(mixed.filter(~is_json))]
+        parts.append(read_json_logs(mixed.filter(is_json).withColumnRenamed("raw", "raw_line"), layout="lines"))
     csv = read_csv_logs(tagged.filter(F.col("format") == "csv"))
-    json = read_json_logs(tagged.filter(F.col("format").isin("json", "jsonl")))
-    columns = ["file_id", "line_no", "part", "raw", "fields"]
-    whole = F.lit(0).alias("part")
-    return (
-        text.select("file_id", "line_no", whole, "raw", "fields")
-        .unionByName(csv.select("file_id", "line_no", whole, "raw", "fields"))
-        .unionByName(json.select(*columns))
-    )
+    json = read_json_logs(tagged.filter(F.col("format").isin("json", "jsonl") & ~F.col("mixed")))
+    records = [trace_to_record(parts[0]).select("file_id", "line_no", whole, F.lit(0).alias("cont"), "raw", "fields")]
+    records += [df.select(columns) for df in (*parts[1:], json)]
+    records.append(csv.select("file_id", "line_no", whole, "cont", "raw", "fields"))
+    further = parts[0].filter("cont > 0").select("file_id", "line_no", whole, "cont", "raw", nothing.alias("fields"))
+    return reduce(DataFrame.unionByName, [*records, further])
 
 
 def parse_lines(
@@ -83,7 +100,8 @@ def parse_lines(
     if options.strip_k8s:
         records = strip_k8s(records)
     order = ["line_no", "part"]
-    records = cut(records, "parsed")
+    parsed = cut(records, "parsed")
+    records, further = parsed.filter("cont = 0").drop("cont"), parsed.filter("cont > 0").drop("fields")
     if options.remove_duplicates:
         records = dedup(records, order=order)
     if options.log_levels:
@@ -96,9 +114,7 @@ def parse_lines(
     signal = None if options.cap is None else cap_signal(records, options.cap)
     encodings = None
     if "encoding" in lines.columns:
-        encodings = lines.groupBy("file_id").agg(
-            F.max("encoding").alias("encoding"), F.max("fallback").alias("fallback")
-        )
+        encodings = lines.select("file_id", "encoding", "fallback").distinct()  # one row for each file, without a sort
     failed = None if files is None else files.filter("error IS NOT NULL")
     counted = run_report(lines, kept)
     if files is not None:
@@ -107,7 +123,7 @@ def parse_lines(
         counted, formats=formats, encodings=encodings, capped=signal,
         unexpanded=unexpanded_count(kept), failed=failed,
     )
-    return Parsed(lines, formats, kept, report)
+    return Parsed(lines, formats, kept, report, further)
 
 
 def requested_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -134,18 +150,24 @@ def parse_logs(
     spark: SparkSession,
     paths: str | Sequence[str],
     options: ParseOptions = ParseOptions(),
-    skip_broken: bool = False,
+    keep_partial: bool = False,
+    codecs: Mapping[str, str] = CODECS,
 ) -> Parsed:
     """Log files -> :class:`Parsed`, with a report row for every file asked for.
 
-    A path that isn't there is reported as an error and the other files go on. ``skip_broken``
-    also goes past files that turn out to be corrupt; of those Spark keeps what it could read.
+    A path that isn't there, and a file that can't be read to its end, is reported as an error; the
+    other files go on. A broken file has no records, or with ``keep_partial`` those before the damage;
+    its status is ``error`` either way. ``codecs`` says by the end of a name how a file is packed.
     """
+    ship(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = cut(requested_files(spark, paths), "files")
-    lost = {r.file_id for r in files.filter("error IS NOT NULL").collect()}  # at most the given paths
-    there = [p for p in paths if p not in lost]
-    if not there:
-        empty = spark.createDataFrame([], "file_id string, file_name string, file_size bigint, line_no bigint, raw_line string")
-        return parse_lines(empty, options, files)
-    return parse_lines(read_lines(spark, there, options.encoding, skip_broken), options, files)
+    there = [r.file_id for r in files.filter("error IS NULL").select("file_id").collect()]  # the names listed just now
+    lines, broken = read_files(spark, there, options.encoding, dict(codecs))
+    broken = cut(broken, "broken-files")
+    if not broken.isEmpty():
+        files = cut(files.join(broken.withColumnRenamed("error", "_error"), "file_id", "left").select(
+            "file_id", "file_ord", F.coalesce("error", "_error").alias("error")), "files")
+        if not keep_partial:
+            lines = lines.join(broken.select("file_id"), "file_id", "left_anti")
+    return parse_lines(lines, options, files)

@@ -173,7 +173,7 @@ SELECT 'f' || CAST(event_id % 3 AS VARCHAR) AS file_id,
        CASE event_id % 3 WHEN 0 THEN 'exception_group' WHEN 1 THEN 'jsonl' ELSE 'csv' END AS format
 FROM events GROUP BY event_id % 3""")
 def detect(spark, sf):
-    return detect_format(event_lines(spark, sf, MIXED_TEXT))
+    return detect_format(event_lines(spark, sf, MIXED_TEXT)).select("file_id", "format")
 
 
 # --- assembly --------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """JSON logs: one object per line, arrays, or objects spread over many lines.
 
 A JSON string cannot hold a raw line break, so how deep a line goes is known from the line
-alone and the running depth finds spread-out records without reading a file whole.
+alone, as the pair (how far up, how low on the way), and the running depth finds spread-out
+records without reading a file whole.
 """
 
 from __future__ import annotations
@@ -11,24 +12,38 @@ from pyspark.sql import functions as F
 
 from loglathe.functions.fields import parse_object, squash_ends
 from loglathe.operators.materialize import cut
-from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running
+from loglathe.operators.ordered import CHUNK_ROWS, chunk_of, join_runs, running, running_depth, with_rec_no
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 _BETWEEN = r'\G((?:"(?:[^"\\]|\\.)*+"|[^"}]|\}(?!\s*,\s*\{))*+\})\s*,\s*(?=\{)'
-_PARTS = 1 << 20  # pieces per line that keep their order in one integer; more are an error
+
+
+def _bare(line: Column) -> Column:
+    """The braces of a line that are not in strings."""
+    return F.regexp_replace(F.regexp_replace(line, _STRING, ""), "[^{}]", "")
 
 
 def _braces(line: Column) -> Column:
-    bare = F.regexp_replace(line, _STRING, "")
-    up, down = (F.length(F.regexp_replace(bare, f"[^{c}]", "")) for c in "{}")
-    return (up - down).cast("bigint")
+    bare = _bare(line)
+    return (2 * F.length(F.replace(bare, F.lit("}"), F.lit(""))) - F.length(bare)).cast("bigint")
+
+
+def _lowest(line: Column) -> Column:
+    """How far below its start a line's depth goes on the way; 0 where it doesn't."""
+    def step(acc, brace):
+        depth = acc["depth"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"))
+
+    bare = F.regexp_replace(_bare(line), r"\{\}", "")
+    walked = F.aggregate(
+        F.split(bare, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), step, lambda acc: acc["low"])
+    closing = -F.length(bare)
+    return F.when(bare.rlike(r"^\{*$"), 0).when(bare.rlike(r"^\}+$"), closing).otherwise(walked).cast("bigint")
 
 
 def _pieces(line: Column) -> Column:
     """A line cut at every ``}, {`` outside strings (the comma stays with the second piece)."""
-    pieces = F.split(F.regexp_replace(line, _BETWEEN, "$1\n,"), "\n")
-    return F.when(F.size(pieces) <= _PARTS, pieces).otherwise(
-        F.raise_error(F.lit(f"a line has more than {_PARTS} objects")).cast("array<string>"))
+    return F.split(F.regexp_replace(line, _BETWEEN, "$1\n,"), "\n")
 
 
 def _bare_object(raw: Column) -> Column:
@@ -74,40 +89,78 @@ def line_objects(lines: DataFrame) -> DataFrame:
             F.posexplode(_whole_objects(_pieces(F.col("raw_line")))).alias("_part", "_text"),
         )
         .filter(~F.col("_text").rlike(_SEPARATOR_LINE))
-        .select(*keep, "line_no", F.col("_part").alias("part"), _bare_object(F.col("_text")).alias("raw"))
+        .select(*keep, "line_no", F.col("_part").alias("part"), F.lit(0).alias("cont"), _bare_object(F.col("_text")).alias("raw"))
     )
 
 
+def _tracked(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Pieces with ``_open`` (an object goes on after it) and, for objects of several pieces, the ``_first`` of them.
+
+    Depth never falls below zero, so a brace too many closes nothing but itself.
+    """
+    deep = running_depth(pieces, by, "_chunk", "_at", F.col("_total"), F.col("_low"))
+    depth = F.col("_depth")
+    after = depth + F.col("_total") + F.greatest(F.lit(0), -(depth + F.col("_low")))
+    flagged = deep.withColumns({"_starts": depth == 0, "_open": after > 0}).filter(
+        ~(F.col("_starts") & F.col("_text").rlike(_SEPARATOR_LINE))).drop("_depth")
+    kind = F.lit(None).cast("bigint")
+    single = flagged.filter("_starts AND NOT _open").withColumns({"_first": kind, "_line": kind, "_base": kind})
+    starts = lambda c: F.when(F.col("_starts"), c)
+    several = running(
+        flagged.filter("NOT _starts OR _open"), by, "_chunk", "_at", inclusive=True,
+        maxes={"_first": starts(F.col("_at")), "_line": starts(F.col("line_no")),
+               "_base": starts(F.col("_at") - F.col("_part"))})
+    return single.unionByName(several)
+
+
+_OPENING = r"^([ \t]*)\{"
+_MEMBER = r'^([ \t]*)"'
+
+
 def spread_objects(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Objects may run over many lines (pretty-printed files)."""
+    """Objects may run over many lines (pretty-printed files).
+
+    An object that is never closed would take in what comes after it. Where an object has a line inside that
+    opens another at the indentation of the file's outermost objects, and has no end or is in a file that
+    indents members deeper than that, such lines start afresh, so only the damaged object differs.
+    """
     keep = [c for c in ("file_id", "file_name") if c in lines.columns]
-    deep = _braces(F.col("_text"))
-    placed = lines.select(
-        *keep, "line_no", F.posexplode(_pieces(F.col("raw_line"))).alias("_part", "_text")
-    ).withColumns({
-        "_at": F.col("line_no") * F.lit(_PARTS) + F.col("_part"),
-        "_chunk": chunk_of(F.col("line_no"), rows),
-    })
-    tracked = running(
-        placed,
-        ["file_id"], "_chunk", "_at", sums={"_depth": deep},
-    )
-    flagged = tracked.withColumns({
-        "_starts": F.col("_depth") <= 0, "_open": F.col("_depth") + deep > 0,
-    }).filter(~(F.col("_starts") & F.col("_text").rlike(_SEPARATOR_LINE)))
-    single = flagged.filter("_starts AND NOT _open").select(
-        *keep, F.col("_at").alias("line_no"), F.col("_text").alias("raw")
-    )
-    spread = running(
-        flagged.filter("NOT _starts OR _open"), ["file_id"], "_chunk", "_at",
-        maxes={"_first": F.when(F.col("_starts"), F.col("_at"))}, inclusive=True,
-    )
-    joined = join_runs(spread, keep, "_first", "_at", "_text", stride=_PARTS)
-    return single.unionByName(joined).withColumns({
-        "raw": _bare_object(F.col("raw")),
-        "part": F.pmod("line_no", F.lit(_PARTS)).cast("int"),
-        "line_no": F.floor(F.col("line_no") / _PARTS),
+    cut_lines = lines.select(
+        *keep, "line_no", F.posexplode(_pieces(F.col("raw_line"))).alias("_part", "_text"))
+    opens = (F.col("_part") == 0) & F.col("_text").rlike(_OPENING)
+    placed = with_rec_no(cut_lines, order=["line_no", "_part"], name="_at", rows=rows).withColumns({
+        "_chunk": chunk_of(F.col("line_no"), rows), "_total": _braces(F.col("_text")), "_low": _lowest(F.col("_text")),
+        "_indent": F.when(opens, F.length(F.regexp_extract("_text", _OPENING, 1))),
     })
+    # written, so that the patterns above run once
+    first = cut(_tracked(placed, ["file_id"]), "json-pieces")
+    # one row per file: how far its outermost objects, and its members, are indented
+    styles = cut(first.groupBy("file_id").agg(
+        F.min("_indent").alias("_outer"), F.min(F.when(F.col("_text").rlike(_MEMBER), F.length(F.regexp_extract("_text", _MEMBER, 1)))).alias("_inner")
+    ), "json-indents")
+    # an object is damaged that has an outermost opening inside, and no end or a file that indents what is inside
+    outermost = (F.col("_indent") == F.col("_outer")) & (F.col("_at") > F.col("_first"))
+    damaged = cut(first.filter("_first IS NOT NULL").join(styles, "file_id").groupBy("file_id", "_first").agg(
+        F.min(F.col("_open").cast("int")).alias("_endless"), F.count_if(outermost).alias("_n"), F.max(F.col("_inner") > F.col("_outer")).alias("_indented"),
+    ).filter("_n > 0 AND (_endless = 1 OR _indented)").groupBy("file_id").agg(F.min("_first").alias("_from")), "json-damaged")
+    if damaged.isEmpty():
+        tracked = first
+    else:
+        fresh = (F.col("_indent") == F.col("_outer")) & (F.col("_at") > F.col("_from"))
+        parted = cut(running(
+            first.join(damaged, "file_id").join(styles, "file_id").withColumn("_fresh", F.coalesce(fresh, F.lit(False)).cast("bigint")),
+            ["file_id"], "_chunk", "_at", sums={"_seg": F.col("_fresh")}, inclusive=True,
+        ).drop("_fresh", "_from", "_outer", "_inner", "_first", "_line", "_base", "_starts", "_open"), "json-parts")
+        tracked = first.join(damaged, "file_id", "left_anti").unionByName(
+            _tracked(parted, ["file_id", "_seg"]).drop("_seg"))
+    single = tracked.filter("_first IS NULL").select(
+        *keep, "line_no", F.col("_part").alias("part"), F.lit(0).alias("cont"), F.col("_text").alias("raw"))
+    joined = join_runs(
+        tracked.filter("_first IS NOT NULL").drop("line_no"), keep, "_first", "_at", "_text",
+        extra={"_line": F.max("_line"), "_base": F.max("_base")})
+    return single.unionByName(joined.select(
+        *keep, F.col("_line").alias("line_no"), (F.col("line_no") - F.col("_base")).cast("int").alias("part"), "cont", "raw")
+    ).withColumn("raw", F.when(F.col("cont") == 0, _bare_object(F.col("raw"))).otherwise(F.col("raw")))
 
 
 def spread_files(lines: DataFrame) -> DataFrame:
@@ -127,9 +180,10 @@ def spread_files(lines: DataFrame) -> DataFrame:
 
 
 def assemble_json(lines: DataFrame, layout: str = "auto", rows: int = CHUNK_ROWS) -> DataFrame:
-    """Lines -> one row per top-level JSON object: ``file_id, file_name?, line_no, part, raw``.
+    """Lines -> one row per top-level JSON object: ``file_id, file_name?, line_no, part, cont, raw``.
 
-    ``line_no`` is the line an object starts on, ``part`` its place among those of that line.
+    ``line_no`` is the line an object starts on, ``part`` its place among those of that line, and
+    ``cont`` tells the rows of an object of very many lines apart.
     """
     if layout == "lines":
         return line_objects(lines)
