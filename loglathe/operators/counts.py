@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.operators.search import bucket_shown, matches, source_shown, unexpanded_candidates, with_unexpanded
+from loglathe.operators.materialize import cut
 from loglathe.operators.sizes import join_small
 
 
@@ -71,13 +72,18 @@ def facets(
     cells = records.groupBy("bucket", "source").agg(
         F.count_if(matches(**query)).alias("hits")
     )
+    return facets_of_cells(cells, off_buckets, off_sources)
+
+
+def facets_of_cells(cells: DataFrame, off_buckets: Sequence[str] = (), off_sources: Sequence[str] = ()) -> DataFrame:
+    """Both facets as sums of cells ``bucket, source, hits``."""
     entries = F.array(
         F.struct(F.lit("bucket").alias("facet"), F.col("bucket").alias("name"),
                  F.when(source_shown(off_sources), F.col("hits")).otherwise(0).alias("hits")),
         F.struct(F.lit("source").alias("facet"), F.col("source").alias("name"),
                  F.when(bucket_shown(off_buckets), F.col("hits")).otherwise(0).alias("hits")),
     )
-    empty = _all_buckets(records).select(
+    empty = _all_buckets(cells).select(
         F.lit("bucket").alias("facet"), F.col("bucket").alias("name"),
         F.lit(0).cast("bigint").alias("hits"),
     )
@@ -120,17 +126,16 @@ def file_totals(records: DataFrame) -> DataFrame:
 
 
 def level_histogram(
-    records: DataFrame, bucket: str, bins: int = fixed.HISTOGRAM_BINS
+    records: DataFrame, bucket: str, bins: int = fixed.HISTOGRAM_BINS, totals: DataFrame | None = None,
 ) -> DataFrame:
     """Where in each file the records of one bucket lie: ``file_id, bin, n``, zeros kept.
 
     Bins are equal shares of row positions, which ``ntile`` would not give. ``rec_no`` must be
-    the dense 0-based position.
+    the dense 0-based position. ``totals`` (``file_id, total``) can be counted before the axes are there,
+    so that those are computed once.
     """
-    totals = file_totals(records)
-    placed = join_small(
-        records.filter(F.col("bucket") == bucket).select("file_id", "rec_no"), totals, ["file_id"]
-    )
+    totals = cut(file_totals(records) if totals is None else totals, "file-totals")  # a row per file
+    placed = records.filter(F.col("bucket") == bucket).select("file_id", "rec_no").join(totals, "file_id")
     counted = placed.groupBy(
         "file_id", position_bin(F.col("rec_no"), F.col("total"), bins).alias("bin")
     ).agg(F.count("*").alias("n"))

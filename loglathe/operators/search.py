@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
+from loglathe.functions.axes import with_axes
 from loglathe.functions.fields import is_string, text
 from loglathe.functions.recover import any_not_json, may_be_unexpanded
 from loglathe.operators.sizes import join_small
@@ -105,6 +106,41 @@ def view(
     return records.filter(bucket_shown(off_buckets) & source_shown(off_sources) & matches(**query))
 
 
+def find(
+    records: DataFrame,
+    *wanted: str,
+    off_buckets: Sequence[str] = (),
+    off_sources: Sequence[str] = (),
+    **query: Sequence[str],
+) -> DataFrame:
+    """``view`` over records that have no axes yet; what is found gets the ``wanted`` ones.
+
+    Tests on level, bucket, source and request id come first and compute those axes alone; only records
+    that pass them get the rest.
+    """
+    words = query.pop("words", ())
+    cheap = [a for a, used in (
+        ("level", query.get("levels")), ("bucket", off_buckets), ("source", off_sources or query.get("srcs")),
+        ("req_id", query.get("reqs"))) if used]
+    if cheap:
+        records = view(with_axes(records, *cheap), off_buckets, off_sources, **query)
+    axes = dict.fromkeys([*wanted, *(["line"] if words else [])])
+    if not axes:
+        return records
+    return records_with(records, *axes).filter(matches(words=words)).drop(*[a for a in axes if a not in wanted])
+
+
+def records_with(records: DataFrame, *wanted: str) -> DataFrame:
+    """``with_axes`` for axes that the records don't have yet."""
+    lacking = [a for a in wanted if a not in records.columns]
+    held = [a for a in wanted if a in records.columns]
+    if not lacking:
+        return records
+    # axes that are there already keep their values under other names meanwhile
+    aside = records.withColumnsRenamed({a: f"_{a}_" for a in held})
+    return with_axes(aside, *lacking).withColumnsRenamed({f"_{a}_": a for a in held})
+
+
 def with_unexpanded(records: DataFrame) -> DataFrame:
     """Add ``unexpanded``: a string field looks like JSON but does not parse.
 

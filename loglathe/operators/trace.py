@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglathe.functions.axes import with_axes
+from loglathe.operators.materialize import cut
+from loglathe.operators.search import records_with
 from loglathe.operators.sizes import join_small
 
 TRACE_ORDER = ("file_id", "rec_no")
@@ -17,6 +20,15 @@ def trace(records: DataFrame, req_id: str) -> DataFrame:
     return records.filter((F.col("req_id") == req_id) & (F.col("req_id") != ""))
 
 
+def find_trace(records: DataFrame, req_id: str, *wanted: str) -> DataFrame:
+    """``trace`` over records that have no axes yet: only the records found get the ``wanted`` ones.
+
+    What is found is written, so that putting it in order doesn't look for it twice.
+    """
+    found = trace(with_axes(records, "req_id"), req_id)
+    return in_order(cut(records_with(found, *wanted), "trace"))
+
+
 def trace_many(records: DataFrame, ids: DataFrame) -> DataFrame:
     """All records of any request id in ``ids`` (column ``req_id``)."""
     wanted = ids.select("req_id").filter("req_id <> ''").distinct()

@@ -175,14 +175,14 @@ SEARCH_SQL = """level IN ('ERROR', 'WARN') AND (contains(lower(source), 'api') O
 
 @query("search", d.select(A, f"SELECT file_id, rec_no, line FROM axes WHERE {SEARCH_SQL}"))
 def search_all(spark, sf):
-    return search.search(
-        all_axes(spark, sf, "level", "source", "line"), levels=["error", "warn"], srcs=["API", "work"], words=["r1", "Error"]
+    return search.find(
+        all_logs(spark, sf), "line", levels=["error", "warn"], srcs=["API", "work"], words=["r1", "Error"]
     ).select("file_id", "rec_no", "line")
 
 
 @query("search_req", d.select(A, "SELECT file_id, rec_no, line FROM axes WHERE lower(req_id) = 'r7'"))
 def search_req(spark, sf):
-    return search.pivot_req(all_axes(spark, sf, "req_id", "line"), "R7").select("file_id", "rec_no", "line")
+    return search.find(all_logs(spark, sf), "line", reqs=["R7"]).select("file_id", "rec_no", "line")
 
 
 VIEW_SQL = "bucket <> 'DEBUG' AND source <> 'cache' AND contains(lower(line), 'r2')"
@@ -190,8 +190,8 @@ VIEW_SQL = "bucket <> 'DEBUG' AND source <> 'cache' AND contains(lower(line), 'r
 
 @query("view", d.select(A, f"SELECT file_id, rec_no, line FROM axes WHERE {VIEW_SQL}"))
 def view(spark, sf):
-    return search.view(
-        all_axes(spark, sf, "bucket", "source", "line"), off_buckets=["DEBUG"], off_sources=["cache"], words=["r2"]
+    return search.find(
+        all_logs(spark, sf), "line", off_buckets=["DEBUG"], off_sources=["cache"], words=["r2"]
     ).select("file_id", "rec_no", "line")
 
 
@@ -273,7 +273,7 @@ SELECT t.file_id, CAST(b.bin AS INT) AS bin, count(p.bin) AS n
 FROM totals t CROSS JOIN range(20) AS b(bin) LEFT JOIN placed p ON p.file_id = t.file_id AND p.bin = b.bin
 GROUP BY t.file_id, b.bin"""))
 def histogram(spark, sf):
-    return counts.level_histogram(all_axes(spark, sf, "bucket"), "ERROR")
+    return counts.level_histogram(all_axes(spark, sf, "bucket"), "ERROR", totals=counts.file_totals(all_logs(spark, sf)))
 
 
 @query("histogram_bin", d.select(A, """, totals AS (SELECT file_id, count(*) AS total FROM axes GROUP BY file_id),
@@ -291,7 +291,7 @@ def histogram_bin(spark, sf):
 # --- traces and bookmarks --------------------------------------------------------
 @query("trace_one", d.select(A, "SELECT file_id, rec_no, line FROM axes WHERE req_id = 'r8'"))
 def trace_one(spark, sf):
-    return trace.in_order(trace.trace(all_axes(spark, sf, "req_id", "line"), "r8")).select("file_id", "rec_no", "line")
+    return trace.find_trace(all_logs(spark, sf), "r8", "line").select("file_id", "rec_no", "line")
 
 
 FIRST_ERRORS_SQL = """anchors AS (
