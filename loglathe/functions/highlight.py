@@ -8,61 +8,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPANS = "array<struct<s:int,e:int>>"
+from loglathe.functions.fields import let
 
-
-def term_spans(value: Column, term: str) -> Column:
-    """Spans of a term, case-insensitive, left to right without self-overlap."""
-    size = len(term)
-    # Splitting at the term is that scan; the pieces' lengths give the positions.
-    literal = "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", term, flags=re.ASCII)
-    pieces = F.split(value, literal, -1)
-    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
-    scan = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, n: F.struct(
-            (acc["at"] + n + size).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + n).alias("s"), (acc["at"] + n + size).alias("e")
-            )).alias("out"),
-        ),
-    )
-    return scan["out"]
+#: Characters to mark hits with; the first two that no term has are used.
+_MARKS = [chr(0xE000 + i) for i in range(64)]
 
 
-def _merge(spans: Column) -> Column:
-    """Sorted spans -> touching and overlapping ones joined."""
-    def step(acc, span):
-        last = F.element_at(acc, -1)
-        joined = F.array_append(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.struct(last["s"].alias("s"), F.greatest(last["e"], span["e"]).alias("e")),
-        )
-        return (
-            F.when((F.size(acc) > 0) & (span["s"] <= last["e"]), joined)
-            .otherwise(F.array_append(acc, span))
-        )
-    return F.aggregate(spans, F.array().cast(_SPANS), step)
+def _marked(value: Column, term: str, mark: str) -> Column:
+    """The text with every character of a term's hits replaced by the mark: case-insensitive, left to
+    right, without self-overlap. Case folding keeps the number of characters, so places stay."""
+    literal = "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", term, flags=re.ASCII)
+    return F.regexp_replace(value, literal, mark * len(term))
 
 
 def highlight(value: Column, terms: Sequence[str]) -> Column:
-    """Segments covering the whole text; adjacent hits form one segment."""
+    """Segments covering the whole text; adjacent and overlapping hits of any terms form one segment.
+
+    Every step is one pass over the characters: a mask for each term, the characters that any mask
+    hits, the places where that changes, and the text between those places.
+    """
     terms = [t for t in terms if t]
-    whole = F.array(F.struct(value.alias("t"), F.lit(False).alias("hit")))
     if not terms:
-        return whole
-    merged = _merge(F.array_sort(F.concat(*[term_spans(value, t) for t in terms])))
-    edges = F.concat(
-        F.array(F.lit(0)),
-        F.flatten(F.transform(merged, lambda s: F.array(s["s"], s["e"]))),
-        F.array(F.length(value)),
-    )
-    segments = F.transform(
-        F.sequence(F.lit(0), F.size(edges) - 2),
-        lambda i: F.struct(
-            F.substr(value, F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)).alias("t"),
-            (i % 2 == 1).alias("hit"),
-        ),
-    )
+        return F.array(F.struct(value.alias("t"), F.lit(False).alias("hit")))
+    mark, other = [m for m in _MARKS if not any(m in t for t in terms)][:2]
+    plain = F.translate(value, mark, other)
+    masks = F.array(*[F.split(_marked(plain, t, mark), "") for t in terms])
+
+    def between(chars: Column, hits: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: F.struct(
+            F.array_join(F.slice(chars, s + 1, F.coalesce(F.get(starts, k + 1), F.size(chars)) - s), "").alias("t"),
+            F.get(hits, s).alias("hit")))
+
+    def changes(hits: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(hits) - 1), lambda i: (i == 0) | (F.get(hits, i) != F.get(hits, i - 1)))
+
+    segments = let(F.split(value, ""), lambda chars: let(
+        let(masks, lambda all_: F.transform(
+            chars, lambda _, i: F.exists(all_, lambda m: F.get(m, i) == mark))),
+        lambda hits: let(changes(hits), lambda starts: between(chars, hits, starts))))
     return F.filter(segments, lambda s: s["t"] != "")

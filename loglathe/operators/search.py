@@ -115,19 +115,19 @@ def find(
 ) -> DataFrame:
     """``view`` over records that have no axes yet; what is found gets the ``wanted`` ones.
 
-    Tests on level, bucket, source and request id come first and compute those axes alone; only records
-    that pass them get the rest.
+    A request id leaves few records, so it is looked for first, with that axis alone, and only what it
+    leaves gets the others. Switches, levels and sources leave many; taking them first would
+    compute what they share with the line twice, so they are tested next to the words.
     """
-    words = query.pop("words", ())
-    cheap = [a for a, used in (
-        ("level", query.get("levels")), ("bucket", off_buckets), ("source", off_sources or query.get("srcs")),
-        ("req_id", query.get("reqs"))) if used]
-    if cheap:
-        records = view(with_axes(records, *cheap), off_buckets, off_sources, **query)
-    axes = dict.fromkeys([*wanted, *(["line"] if words else [])])
-    if not axes:
-        return records
-    return records_with(records, *axes).filter(matches(words=words)).drop(*[a for a in axes if a not in wanted])
+    reqs = query.pop("reqs", ())
+    if reqs:
+        records = with_axes(records, "req_id").filter(matches(reqs=reqs))
+    needed = {
+        "level": query.get("levels"), "bucket": off_buckets, "source": off_sources or query.get("srcs"),
+        "line": query.get("words")}
+    axes = dict.fromkeys([*wanted, *(a for a, used in needed.items() if used)])
+    found = view(records_with(records, *axes) if axes else records, off_buckets, off_sources, **query)
+    return found.drop(*[a for a in (*axes, "req_id") if a not in wanted])
 
 
 def records_with(records: DataFrame, *wanted: str) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglathe.operators.rewrite import flatten
+from loglathe.operators.rewrite import flatten, readable_sql
 
 VERSION = "1"
 
@@ -23,15 +23,18 @@ def write_ndjson(
     flat: bool = False,
     per_file: bool = False,
     mode: str = "errorifexists",
+    readable: bool = False,
 ) -> None:
     """Write ``fields`` of every record as one JSON line; nulls are kept.
 
     ``per_file`` makes a ``file_id=…`` folder per input. Rows are not repartitioned by file:
-    a file holding a third of all rows is still written by many tasks.
+    a file holding a third of all rows is still written by many tasks. ``readable`` writes line breaks and
+    tabs of SQL values as such: text for people, whose records end at the next line that begins with ``{``.
     """
     if flat:
         records = flatten(records)
-    line = F.to_json(F.col("fields"), {"ignoreNullFields": "false"}).alias("value")
+    line = F.to_json(F.col("fields"), {"ignoreNullFields": "false"})
+    line = (readable_sql(line) if readable else line).alias("value")
     out = records.select(*(["file_id"] if per_file else []), line)
     writer = out.write.mode(mode)
     if per_file:
@@ -75,7 +78,8 @@ def export(
     gzip: bool = False,
     flat: bool = False,
     per_file: bool = False,
+    readable: bool = False,
 ) -> None:
     """``path/records`` and ``path/meta``."""
-    write_ndjson(records, f"{path}/records", gzip=gzip, flat=flat, per_file=per_file)
+    write_ndjson(records, f"{path}/records", gzip=gzip, flat=flat, per_file=per_file, readable=readable)
     write_metadata(export_counts(records, total), f"{path}/meta", filtered=filtered)

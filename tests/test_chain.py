@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglathe.functions.axes import fmt_nanos
+from loglathe.functions.fields import parse_object
+from loglathe.functions.highlight import highlight
 from loglathe.functions.recover import recover_fields
 from loglathe.operators import rewrite, search, trace, windows
 from loglathe.options import ParseOptions
 from loglathe.plans.parse import parse_lines, parse_logs
+from loglathe.sinks.ndjson import export
 from loglathe.sources.csv import cells_of, read_csv_logs
 from loglathe.sources.json import read_json_logs
 from loglathe.sources.session import inline
@@ -125,3 +128,32 @@ def test_bookmarked_records(spark):
     r = spark.range(5).selectExpr("'f' AS file_id", "id AS rec_no")
     marks = spark.createDataFrame([(1, "f", 3), (2, "f", 3), (3, "gone", 1)], "seq int, file_id string, rec_no bigint")
     assert [x["rec_no"] for x in trace.bookmarked(r, marks).collect()] == [3]
+
+
+def test_hits_without_end_are_marked_in_one_pass(spark):
+    df = spark.range(1).select(F.repeat(F.lit("ab x"), 100_000).alias("t"))
+    parts = df.select(highlight(F.col("t"), ["AB", "b", "zz"]).alias("h")).first().h
+    assert len(parts) == 200_000 and all(p.hit == (p.t == "ab") for p in parts)
+    odd = spark.createDataFrame([("a\ue000b\U0001F600Ab",), ("",), ("aAa",)], "t string")
+    got = [[tuple(p) for p in r.h] for r in odd.select(highlight(F.col("t"), ["ab", "\U0001F600", "aa"]).alias("h")).collect()]
+    assert got == [[("a\ue000b", False), ("\U0001F600Ab", True)], [], [("aA", True), ("a", False)]]
+
+
+def test_found_by_id_before_the_line_is_made(spark):
+    lines = [f"2031-02-03 04:05:06 INFO gate req_id=K{i % 5} n{i}" for i in range(50)]
+    records = parse_lines(inline(spark, "\n".join(lines)), ParseOptions(remove_duplicates=False)).records
+    bare = records.select("file_id", "rec_no", "fields")
+    got = search.find(bare, "line", reqs=["k3"], words=["N1"])
+    assert sorted(r.rec_no for r in got.collect()) == [13, 18] and got.columns == ["file_id", "rec_no", "fields", "line"]
+    found = trace.find_trace(bare, "K3", "line").collect()
+    assert [r.rec_no for r in found] == list(range(3, 50, 5)) and "K3" in found[0].line
+
+
+def test_sql_for_people(spark, tmp_path):
+    rows = ['{"sql":"select 1,\\n\\t2","msg":"a\\nb"}', '{"QUERY":"x\\\\n","n":null}']
+    df = spark.createDataFrame([("f", r) for r in rows], "file_id string, raw string").select("file_id", parse_object(F.col("raw")).alias("fields"))
+    export(df.coalesce(1), str(tmp_path / "o"), readable=True)
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "o/records")).collect())
+    back = [x.replace("\n", "\\n").replace("\t", "\\t") for x in text.strip().split("\n{")]
+    assert [json.loads(x if x.startswith("{") else "{" + x) for x in back] == [json.loads(r) for r in rows]
+    assert "select 1,\n\t2" in text and "a\\nb" in text
