@@ -10,16 +10,18 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglathe.llm.base import free_name, keep, text_key
+from loglathe.llm.base import free_name, keep, release, text_key
 
 THRESHOLD = 0.8
-#: Lines of fewer different tokens aren't compared: at 0.8 they'd have to be equal, and short ones are so by chance.
-MIN_TOKENS = 5
+#: Lines of fewer different tokens are left alone: only blank lines are.
+MIN_TOKENS = 1
 #: Rarity is counted in so many buckets of word hashes: a table of fixed size, whatever the vocabulary.
 BUCKETS = 1 << 18
 _HASH_BITS = 55
 #: Class of rarity of a bucket that counted one word in all: no other line has that word.
 _ALONE = 8
+#: Classes of words for the test of pairs before their texts are fetched.
+WIDE = 256
 #: So many of its rarest words name the groups whose heads a line is tested against first.
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
@@ -74,10 +76,10 @@ def _least(of: Column) -> Column:
 
 
 def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(at, l1, l2, n, parity, prefix) of every line.
+    """(at, l1, l2, n, parity, wide, prefix) of every line.
 
     ``prefix`` holds the rarest n - ceil(t n) + 1 words; ``parity`` has, for each of 64 classes of
-    words, whether the line's number of them is odd.
+    words, whether the line's number of them is odd, and ``wide`` the same for ``WIDE`` classes more.
     """
     lines = _lines(docs)
     # a table of BUCKETS small numbers, so it may pass through the driver into the plan
@@ -85,8 +87,12 @@ def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words"))
     n = F.size("words")
     bit = F.expr("aggregate(words, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63 AS INT)))")
+    # classes by other bits of the hash, 64 to a number
+    wide = F.array(*[F.expr(
+        f"aggregate(filter(words, w -> (shiftright(w, 6) & {WIDE // 64 - 1}) = {i}), 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(shiftright(w, 16) & 63 AS INT)))")
+        for i in range(WIDE // 64)])
     return numbered.select(
-        "at", "l1", "l2", n.alias("n"), bit.alias("parity"), F.slice("words", 1, n - _least(threshold * n) + 1).alias("prefix"))
+        "at", "l1", "l2", n.alias("n"), bit.alias("parity"), wide.alias("wide"), F.slice("words", 1, n - _least(threshold * n) + 1).alias("prefix"))
 
 
 def _may_be_alike(x, y, threshold: float) -> Column:
@@ -95,10 +101,19 @@ def _may_be_alike(x, y, threshold: float) -> Column:
     Lengths may differ by the factor t at most, and words that only one line has, at most
     (1-t)/(1+t) of both lengths, are no fewer than the parities that differ.
     """
-    both = x("n") + y("n")
     odd = F.bit_count(x("parity").bitwiseXOR(y("parity")))
     return (F.least(x("n"), y("n")) >= _least(threshold * F.greatest(x("n"), y("n")))) & (
-        odd <= (1 - threshold) / (1 + threshold) * both + 1e-9)
+        odd <= _apart(x("n") + y("n"), threshold))
+
+
+def _apart(both: Column, threshold: float) -> Column:
+    """At most so many words are in only one of two alike lines with ``both`` words together."""
+    return (1 - threshold) / (1 + threshold) * both + 1e-9
+
+
+def _odd_words(a: str, b: str) -> Column:
+    """Classes of words whose parities differ; each needs a word that only one of both lines has."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def _shared(word: Column) -> Column:
@@ -163,22 +178,23 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
     one or has none left. So the texts that travel are about two for each line, however many
     lines a group of near copies has, and no candidate is passed over.
     """
-    pairs = keep(pairs, "line-candidates")
-    met = keep(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "line-met")
-    texts = keep(
-        lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
-        "line-texts")
-    place = nodes.select("l1", "l2", "first").join(met, "l1", "left_semi")
+    place = nodes.select("l1", "l2", "first", "n", "wide")
 
     def side(df, s, *columns):
         return df.select(F.col("l1").alias(s), F.col("l2").alias(f"{s}2"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
 
-    both = pairs.join(side(place, "a", "first"), "a").join(side(place, "b", "first"), "b")
+    facts = ("first", "n", "wide")
+    both = pairs.join(side(place, "a", *facts), "a").join(side(place, "b", *facts), "b").where(
+        _odd_words("a_wide", "b_wide") <= _apart(F.col("a_n") + F.col("b_n"), threshold))
     names = ("late", "late2", "early", "early2", "early_first")
     turned = F.when(F.col("a_first") < F.col("b_first"), F.struct("b", "b2", "a", "a2", "a_first")).otherwise(
         F.struct(*[F.col(c).alias(d) for c, d in zip(("a", "a2", "b", "b2", "b_first"), ("b", "b2", "a", "a2", "a_first"))]))
     todo = keep(both.select(turned.alias("t")).select(
         *[F.col(f"t.{c}").alias(n) for c, n in zip(("b", "b2", "a", "a2", "a_first"), names)]), "line-todo")
+    met = todo.select(F.col("late").alias("l1")).union(todo.select("early")).distinct()
+    texts = keep(
+        lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
+        "line-texts")
     turn, found = F.row_number().over(Window.partitionBy("late", "late2").orderBy("early_first", "early", "early2")), None
     most = 1
     while True:
@@ -191,8 +207,11 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
         like = F.col("o") >= threshold * (F.col("sum") - F.col("o")) - 1e-9
         yes = keep(sizes.where(like).select("late", "late2").distinct(), "line-repeats")
         found = yes if found is None else found.unionAll(yes)
-        todo = keep(ranked.where(F.col("turn") > most).select(*names).join(yes, ["late", "late2"], "left_anti"), "line-todo")
+        rest = keep(ranked.where(F.col("turn") > most).select(*names).join(yes, ["late", "late2"], "left_anti"), "line-todo")
+        release(todo)
+        todo = rest
         if todo.isEmpty():
+            release(todo, texts)
             return found.select(F.col("late").alias("l1"), F.col("late2").alias("l2"))
         most *= 8
 
@@ -207,7 +226,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: in
     nodes = keep(
         prepared(docs, threshold).groupBy("l1", "l2").agg(
             F.min("at").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
-            F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).where(F.col("n") >= min_tokens),
+            F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).where(F.col("n") >= min_tokens),
         "line-nodes")
     lines = _lines(docs)
     early = keep(with_earlier_match(lines, nodes, head_pairs(nodes, threshold), threshold).withColumn("done", F.lit(True)), "line-heads")
@@ -218,6 +237,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: in
         nodes.select("l1", "l2", "first", "times").join(late, ["l1", "l2"], "left")
         .where("times > 1 OR repeats").select("l1", "l2", "first", F.coalesce("repeats", F.lit(False)).alias("repeats")),
         "line-cuts")
+    release(nodes, early)
     return _lines(docs).select("at", "l1", "l2").join(cut, ["l1", "l2"]).where("repeats OR at > first").select(
         "at.doc_id", "at.key", "at.line_no")
 
@@ -252,7 +272,10 @@ def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_token
     keyed = docs.withColumn(name, text_key())
     gone = _removals(docs, threshold, min_tokens)
     both = keyed.join(gone, keyed.doc_id.eqNullSafe(gone.its_id) & (keyed[name] == gone.its_key), "left")
-    lines = F.filter(F.split(keyed.text, "\n"), lambda line, i: ~F.array_contains(gone.removed, i))
+    lines = F.split(keyed.text, "\n")
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    # numbers that stay, by a set of those that go: linear in the lines of a text
+    lines = F.transform(F.array_except(every, gone.removed), lambda i: F.get(lines, i))
     text = F.when(gone.removed.isNull(), keyed.text).otherwise(F.array_join(lines, "\n"))
     made = {"text": text.alias("text")}
     if "n_chars" in docs.columns:

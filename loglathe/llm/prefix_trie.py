@@ -113,10 +113,7 @@ def _burst(seqs: DataFrame, container: int) -> tuple[list[DataFrame], list[DataF
     Containers have key, depth (turns of the prefix they hang at), under (the key of the head above
     them, null at the top) and ``at_end``: whether they are just the sequence that ends at that head.
     """
-    active = seqs.select(
-        "*", F.lit("").alias("key"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("under"),
-        F.lit(False).alias("at_end"))
-    settled, heads = [], []
+    active, settled, heads = seqs, [], []
     while True:
         sizes = active.groupBy("key").agg(
             F.count("*").alias("k"), F.sum(F.size("ids") - F.col("depth")).alias("below"),
@@ -134,7 +131,7 @@ def _burst(seqs: DataFrame, container: int) -> tuple[list[DataFrame], list[DataF
         marked = join_small(active, over.select("key", "cut", "head"), ["key"], "left", spread="seq")
         ends = F.size("ids") == F.col("cut")
         moved = keep(marked.select(
-            *seqs.columns,
+            *[c for c in seqs.columns if c not in ("key", "depth", "under", "at_end")],
             F.when(F.col("cut").isNull(), F.col("key")).when(ends, F.concat(F.lit("end of "), F.col("head")))
             .otherwise(_prefix(F.col("ids"), F.col("cut") + 1)).alias("key"),
             F.coalesce(F.when(ends, F.col("cut")).otherwise(F.col("cut") + 1), F.col("depth")).alias("depth"),
@@ -268,7 +265,10 @@ def trie(convs: DataFrame, container: int = CONTAINER) -> DataFrame:
     subtree, (n_convs - 1) times the code points of the node's last text) and ends_sha256 (members
     that end here, ascending, joined by commas). Without conversations there is no root and no row.
     """
-    seqs = keep(_distinct(convs), "trie-distinct")
+    # all in one container at first; its columns are written, so that joins on them stay joins by key
+    seqs = keep(_distinct(convs).select(
+        "*", F.lit("").alias("key"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("under"),
+        F.lit(False).alias("at_end")), "trie-distinct")
     settled, heads = _burst(seqs, container)
     containers = settled[0]
     for more in settled[1:]:

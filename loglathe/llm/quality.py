@@ -73,8 +73,8 @@ def fit_ordinal(
     return OrdinalModel(theta[:d], cuts_of(theta))
 
 
-def train(docs: DataFrame, ratings: DataFrame) -> OrdinalModel:
-    """Fit on ``ratings`` (doc_id, grade 0 ... K) outside the held-out fold, at most ``MAX_RATED`` of them.
+def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED) -> OrdinalModel:
+    """Fit on ``ratings`` (doc_id, grade 0 ... K) outside the held-out fold, at most ``max_rated`` of them.
 
     Several ratings of one document count as their lowest; null grades are no ratings. Only the
     whole text is an input.
@@ -83,7 +83,7 @@ def train(docs: DataFrame, ratings: DataFrame) -> OrdinalModel:
         ratings.where(~held_out() & F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     )
-    found = sampled_features(docs, first_by_hash(marks, MAX_RATED), word_and_shape_ids)
+    found = sampled_features(docs, first_by_hash(marks, max_rated), word_and_shape_ids)
     return fit_ordinal([x for _, x in found], [r.grade for r, _ in found])
 
 

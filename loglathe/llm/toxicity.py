@@ -14,7 +14,7 @@ from loglathe.llm.linear import (
 )
 
 #: Bounds of the samples that a classifier is fitted on; scoring covers every row.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_PRIOR = 4_000, 8_000, 100_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 
 
 @dataclass(frozen=True)
@@ -96,11 +96,14 @@ def fit_placed(positive: list, unlabelled: list, prior: float, **how) -> ToxicMo
     return ToxicModel(model.weights, -_limit(raw(p_rest), raw(u_rest), prior), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+def train(
+    docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
+) -> ToxicModel:
     """Fit on confirmed toxic documents and unlabelled text, both outside the held-out fold.
 
-    The class prior is the share of toxic ones among labelled rows outside that fold (a bounded
-    sample of ``MAX_PRIOR``); labels have no other use than that and naming the positives.
+    The class prior is the share of toxic ones among all labelled rows outside that fold; labels have no
+    other use than that and naming the positives. The model is fitted on at most ``max_positive`` and
+    ``max_unlabelled`` documents, the first by a hash of their ids.
     Features are the words of whole texts; no other column is read. A document that is labelled
     twice counts as toxic if any row says so; null labels are no labels.
     """
@@ -108,10 +111,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    n, toxic = first_by_hash(marks, MAX_PRIOR).agg(F.count("*"), F.sum("toxic")).first()
+    n, toxic = marks.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(0.5, ((toxic or 0) + 1) / (n + 10))
-    named = first_by_hash(marks.where("toxic = 1").select("doc_id"), MAX_POSITIVE)
-    other = first_by_hash(docs.where(~held_out()).select("doc_id").distinct(), MAX_UNLABELLED)
+    named = first_by_hash(marks.where("toxic = 1").select("doc_id"), max_positive)
+    other = first_by_hash(docs.where(~held_out()).select("doc_id").distinct(), max_unlabelled)
     positive = [x for _, x in sampled_features(docs, named, word_ids)]
     unlabelled = [x for _, x in sampled_features(docs, other, word_ids)]
     return fit_placed(positive, unlabelled, prior)

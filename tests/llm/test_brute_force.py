@@ -67,7 +67,7 @@ def test_anchors_cover_every_start():
     assert all(p <= a <= p + 136 for a, f, l in zip(place, first, last) for p in (f, l))
 
 
-def line_removals(rows, t=0.8, least=5):
+def line_removals(rows, t=0.8, least=1):
     places = []
     for doc_id, text in rows:
         for i, line in enumerate(text.split("\n")):
@@ -82,12 +82,14 @@ def line_removals(rows, t=0.8, least=5):
 
 
 def test_line_dedup(spark):
-    rows = [r[:2] for r in ROWS]
+    short = ["aa bb cc dd", "aa bb cc dd ee", "dd cc bb aa", "zz", "ZZ", "aa bb cc", "", "cc bb  aa\taa", "aa bb", "yy"]
+    docs = [*ROWS, (700, "\n".join(short), "en", "s", 0), (701, "\n".join(short[::-1]) + "\nnew line", "en", "s", 0)]
+    rows = [r[:2] for r in docs]
     want = line_removals(rows)
-    got = line_dedup.line_report(frame(spark, ROWS)).collect()
+    got = line_dedup.line_report(frame(spark, docs)).collect()
     assert {r.doc_id: r.removed for r in got if r.removed} == {d: ",".join(map(str, x)) for d, x in want.items()}
-    assert want
-    kept = {r.doc_id: r for r in line_dedup.drop_repeated_lines(frame(spark, ROWS)).collect()}
+    assert want[700] == [1, 2, 4, 7] and want[701] == list(range(10))[:3] + list(range(4, 10))
+    kept = {r.doc_id: r for r in line_dedup.drop_repeated_lines(frame(spark, docs)).collect()}
     for doc_id, text in rows:
         lines = [x for i, x in enumerate(text.split("\n")) if i not in want.get(doc_id, ())]
         assert kept[doc_id].text == "\n".join(lines) and kept[doc_id].n_chars == len("\n".join(lines))
