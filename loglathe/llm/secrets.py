@@ -20,16 +20,16 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Letters, digits and the signs of base64 and of tokens, between other characters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Letters, digits and the signs of base64 and of tokens, also several runs of them with single dots between.
+CANDIDATE = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST = 16
 #: Known digests (MD5, SHA-1, SHA-2 in hexadecimal) and identifiers: they look random and are public.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+"                                       # numbers, dates, rules of dashes
-    r"|[A-Za-z]+(?:[-_/+=][A-Za-z]+)*"                    # words, joined words, paths
-    r"|[A-Za-z]+[-_/]?[0-9]{1,4})"                        # a name with a short number
+    r"|[0-9+/_=-]+)"                                      # numbers, dates, rules of dashes
 )
 #: Below this many characters for each token a string counts as random. English words have four and more.
 MIN_RATIO = 2.0
@@ -53,11 +53,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, n_tokens, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, int]]:
-    """Candidates with under ``min_ratio`` characters for each token, known digests and identifiers left out."""
+    """Candidates with under ``min_ratio`` characters for each token.
+
+    Known digests and identifiers are left out, as a whole or between dots; what is left must have
+    ``LEAST`` characters. Whether a name of letters is one is for the vocabulary to tell.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if not KNOWN.fullmatch(word) and len(word) < min_ratio * n_tokens(word):
+        rest = [part for part in m[0].split(".") if not KNOWN.fullmatch(part)]
+        n = sum(map(len, rest))
+        if n >= LEAST and n < min_ratio * sum(map(n_tokens, rest)):
             found.append((m.start(), 3, m.end()))
     return found
 
