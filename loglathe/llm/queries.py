@@ -51,20 +51,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTAINED_SQL = r"""
 WITH texts AS (
-  SELECT 0 AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
-  UNION ALL SELECT 1, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+  SELECT 0 AS side, row_number() OVER () AS row_no, doc_id AS id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), item_id, text
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
 worded AS (
-  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT side, row_no, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') AS w FROM texts),
+widths AS (SELECT DISTINCT least(5, len(w)) AS k FROM worded WHERE side = 1 AND len(w) > 0),
 cut AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM worded WHERE len(w) > 0),
-sizes AS (SELECT id, count(*) AS n FROM cut WHERE side = 1 GROUP BY id),
+  SELECT DISTINCT side, row_no, id, k,
+         unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM worded JOIN widths ON k <= len(w) AND (side = 0 OR k = least(5, len(w)))),
+sizes AS (SELECT row_no, count(*) AS n FROM cut WHERE side = 1 GROUP BY row_no),
 shared AS (
-  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM cut d JOIN cut b ON d.side = 0 AND b.side = 1 AND d.s = b.s
-  GROUP BY ALL)
-SELECT doc_id, item_id, k AS n_shared, n AS n_shingles, k / n AS containment
-FROM shared JOIN sizes ON sizes.id = item_id WHERE k >= 0.8 * n - 1e-9
+  SELECT d.id AS doc_id, d.row_no, b.id AS item_id, b.row_no AS item_no, count(*) AS c
+  FROM cut d JOIN cut b ON d.side = 0 AND b.side = 1 AND d.k = b.k AND d.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, c AS n_shared, n AS n_shingles, c / n AS containment
+FROM shared JOIN sizes ON sizes.row_no = item_no WHERE c >= 0.8 * n - 1e-9
 """
 
 
