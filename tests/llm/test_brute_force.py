@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
+import string
 import zlib
 
 import public_tokenizers
@@ -95,6 +97,25 @@ def test_line_dedup(spark):
         assert kept[doc_id].text == "\n".join(lines) and kept[doc_id].n_chars == len("\n".join(lines))
 
 
+def test_groups_of_near_copies(spark):
+    """Lines of a group are found though their rarest words are their own; the first one meets none of them."""
+    rng = random.Random(11)
+    base = [f"g{i}x" for i in range(30)]
+    lines = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            own[rng.randrange(30)] = f"e{rng.randrange(40)}y"
+        lines.append(" ".join(own))
+    docs = [(i // 3 if i % 7 else None, "\n".join(lines[i:i + 2]), "en", "s", 0) for i in range(0, 150, 2)]
+    rows = sorted(((d, x) for d, x, *_ in docs), key=lambda r: (r[0] is None, r[0] or 0))
+    same_id = collections.Counter(r[0] for r in rows)
+    rows = [r for r in rows if same_id[r[0]] == 1]              # places of one id's texts are in the order of hashes
+    want = line_removals(rows)
+    got = line_dedup.line_report(frame(spark, [(*r, "en", "s", 0) for r in rows])).collect()
+    assert {r.doc_id: r.removed for r in got if r.removed} == {d: ",".join(map(str, x)) for d, x in want.items()} and want
+
+
 def slow_simhash(text):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
     if not words:
@@ -142,19 +163,39 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == 44
 
 
+def item_shingles(text, width):
+    words = decontaminate.words_of(text or "")
+    return {b" ".join(words[i:i + width]) for i in range(len(words) - width + 1)}
+
+
 def test_contained(spark):
     items = [(i, " ".join(text.split()[2:2 + 8 + i])) for i, (_, text, *_) in enumerate(ROWS[:12])]
-    items.append((99, "nothing of this stands in any of these documents"))
+    items += [(99, "nothing of this stands in any of these documents"), (20, "Alpha beta\tgamma"), (21, "beta"), (22, "delta alpha"),
+              (23, None), (24, " "), (25, "alpha beta gamma"), (25, "gamma delta")]
+    docs = [*ROWS, (800, "long one: alpha  beta gamma delta, and more words", "en", "s", 0), (801, "Beta", "en", "s", 0),
+            (802, "alpha betagamma", "en", "s", 0), (803, None, "en", "s", 0), (804, "alpha beta gamma delta", "en", "s", 0)]
     got = decontaminate.contained(
-        frame(spark, ROWS), spark.createDataFrame(items, "item_id long, text string"), size=4).collect()
-    want = {}
+        frame(spark, docs), spark.createDataFrame([*items, (None, "beta")], "item_id long, text string"), size=4).collect()
+    want = []
     for item_id, text in items:
-        own = set(decontaminate.shingles(text))
-        for doc_id, body, *_ in ROWS:
-            shared = len(own & set(decontaminate.shingles(body)))
+        width = min(5, len(decontaminate.words_of(text or "")))
+        own = item_shingles(text, width) if width else set()
+        for doc_id, body, *_ in docs:
+            shared = len(own & item_shingles(body, width))
             if own and shared >= 0.8 * len(own):
-                want[doc_id, item_id] = (shared, len(own))
-    assert {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in got} == want and want
+                want.append((doc_id, item_id, shared, len(own)))
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got) == sorted(want)
+    assert {(800, 20), (800, 21), (801, 21), (800, 25), (804, 25)} <= {w[:2] for w in want} and (802, 21) not in {w[:2] for w in want}
+    kept = decontaminate.drop_contaminated(
+        frame(spark, docs, True), spark.createDataFrame(items, "item_id long, text string"), size=4).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({d for d, *_ in docs} - {w[0] for w in want})
+
+
+def test_blocks_by_characters(spark):
+    items = spark.createDataFrame([(i, f"word{i} " * 10) for i in range(40)], "item_id long, text string")
+    parts = list(decontaminate.blocks(items, chars=1000))
+    assert len(parts) > 2 and sum(len(x.items) for x in parts) == 40
+    assert [x.items for x in decontaminate.blocks(items.limit(0))] == [[]]
 
 
 @settings(max_examples=80, deadline=None)
@@ -165,7 +206,11 @@ def test_sketch_never_misses(n, data):
     index = decontaminate.Index([(1, " ".join(words))])
     own = decontaminate.shingles(" ".join(words))
     lacking = set(data.draw(st.permutations(own))[:n - -(-8 * n // 10)])
-    assert any(s not in lacking for s in index.minima)
+    minima = index.tables[5][decontaminate.size_class(len(own))]
+    assert any(s not in lacking for s in minima)
+    left = [s for s in own if s not in lacking]
+    if len(left) >= 5:                                          # a class too large for the document is never the item's
+        assert len(left) >= 0.8 * 2 ** decontaminate.size_class(len(own)) - 1e-9
 
 
 def test_mix(spark):
@@ -238,6 +283,43 @@ def test_secrets(spark):
     assert set(row.base_spans.split(",")) <= set(row.spans.split(","))
 
 
+def slow_random(text, n_tokens, ratio):
+    signs = set(string.ascii_letters + string.digits + "+/_=-")
+    found, start = [], None
+    for i in range(len(text) + 1):
+        inside = i < len(text) and (text[i] in signs or (
+            text[i] == "." and start is not None and i + 1 < len(text) and text[i + 1] in signs and text[i - 1] in signs))
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            rest = [p for p in text[start:i].split(".") if not secrets.KNOWN.fullmatch(p)]
+            if len("".join(rest)) >= 16 and len("".join(rest)) < ratio * sum(map(n_tokens, rest)):
+                found.append((start, 3, i))
+            start = None
+    return found
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["kQzJhVxW", "qPbNmTzRvKdLsXgF", "9Tb", ".", "..", " ", "=", "0123456789abcdef" * 2, "20240101", "ordinary", "é", "-", "\n", "Zx7"]), max_size=12))
+def test_random_spans(parts):
+    text = "".join(parts)
+    for ratio in (1.5, 2.0, 30.0):
+        def n_tokens(word):
+            return 1 + len(word) * 2 // 3
+        assert secrets.random_spans(text, n_tokens, ratio) == slow_random(text, n_tokens, ratio)
+
+
+def test_letters_alone_can_be_random(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    text = ("key kQzJhVxWqPbNmTzRvKdLsXgF, jwt eyJhbGciOi9Qz2.kQ8Jx2VbNmTzR4vKd.LsXgFq7WpZ2cYt then internationalization "
+            f"some/path/to/directory file-{'a1' * 16}.txt {'a1' * 32}.sha 10.20.30.40.50.60.70")
+    row = secrets.scan_secrets(frame(spark, [(1, text, "en", "s", 0)]), path).first()
+    found = [text[int(a):int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "random"]
+    assert found[:2] == ["kQzJhVxWqPbNmTzRvKdLsXgF", "eyJhbGciOi9Qz2.kQ8Jx2VbNmTzR4vKd.LsXgFq7WpZ2cYt"]
+    assert not any("internation" in x or "path" in x or x.endswith(".sha") or x.startswith("10.") for x in found)
+
+
 SLOW = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
