@@ -22,7 +22,7 @@ _HASH_BITS = 55
 _ALONE = 8
 #: Classes of words for the test of pairs before their texts are fetched.
 WIDE = 256
-#: So many of its rarest words name the groups whose heads a line is tested against first.
+#: So many words name the groups whose heads a line is tested against first.
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
 HEADS = 8
@@ -121,36 +121,48 @@ def _shared(word: Column) -> Column:
     return F.shiftright(word, _HASH_BITS) > _ALONE
 
 
+def _names(shared: Column) -> Column:
+    """Words that name a line's groups: the rarest, and those of the least hashes among the rarest.
+
+    Near copies differ in rare words, so a name by rarity alone is often one that the group doesn't share.
+    """
+    hashed = F.sort_array(F.transform(shared, lambda w: F.struct(F.hash(w).alias("h"), w.alias("w"))))
+    return F.array_distinct(F.concat(F.slice(shared, 1, 1), F.slice(F.transform(hashed, lambda x: x.w), 1, NAMES - 1)))
+
+
 def head_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): each line with the heads of each group that its rarest shared words name.
+    """(late, early): each line with the earlier heads of each group that its ``_names`` name.
 
     At most ``NAMES`` times ``HEADS`` pairs a line, however large the group. A line that is like
     an earlier head needs no other match; the rest go through ``candidates``.
     """
-    named = nodes.select("l1", "n", "parity", "first", F.explode(
-        F.slice(F.filter("prefix", _shared), 1, NAMES)).alias("word"))
+    named = nodes.select("l1", "n", "parity", "first", F.explode(_names(F.filter("prefix", _shared))).alias("word"))
     heads = named.groupBy("word", F.pmod("l1", F.lit(HEADS))).agg(F.min(F.struct("first", "l1", "n", "parity")).alias("head")).select("word", "head")
     met = named.join(heads, "word").where(
-        (F.col("l1") != F.col("head.l1")) & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
-    return met.select(F.col("l1").alias("a"), F.col("head.l1").alias("b")).distinct()
+        (F.col("head.first") < F.col("first")) & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
+    return met.select(F.col("l1").alias("late"), F.col("head.l1").alias("early")).distinct()
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of ``l1``, at least one of them ``todo``, that may be as like as ``threshold``; none that are is missing.
+    """(late, early): pairs of ``l1`` that may be as like as ``threshold``, the later line ``todo``; none that are is missing.
 
     Two alike lines share a word among the rarest n - ceil(t n) + 1 of the longer and the rarest
     n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined, without words that only one
     line has. What is left behind the shared word's places must still reach the overlap that t
     asks for, and the pair must pass ``_may_be_alike``. Any order of words that all lines share
     keeps this exact; rare ones first keeps the lists short.
+
+    A pair tells something about its later line only, so lines that already have a match are met
+    as earlier ones, never as later ones: the first line of a group of near copies meets none of
+    them. Postings carry the document for that; lines of one document are put in order afterwards.
     """
     t = threshold
-    postings = nodes.select("l1", "n", "parity", "todo", F.posexplode("prefix").alias("place", "word")).where(
+    postings = nodes.select("l1", "n", "parity", "todo", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("place", "word")).where(
         _shared(F.col("word"))).withColumn(
         "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
 
     def side(s, df):
-        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity", "todo")])
+        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity", "doc")])
 
     def of(s):
         return lambda c: F.col(f"{c}_{s}")
@@ -162,15 +174,15 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("l1_a") < F.col("l1_b")))
     left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b"))
-                 & (~F.col("todo_b") | (F.col("l1_a") < F.col("l1_b")))
+                 & (F.col("doc_a").isNull() | (F.col("doc_b") <= F.col("doc_a")))    # null ids are last
                  & ((shorter & in_short_prefix("a")) | (~shorter & in_short_prefix("b")))
                  & (left_over >= _least(t / (1 + t) * (F.col("n_a") + F.col("n_b"))))
                  & _may_be_alike(of("a"), of("b"), t))
-    return met.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")).distinct()
+    return met.select(F.col("l1_a").alias("late"), F.col("l1_b").alias("early")).distinct()
 
 
 def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(l1, l2) of every node that is as like as ``threshold`` to one with an earlier ``first`` that it forms a pair with.
+    """(l1, l2) of every ``late`` node of ``pairs`` that is as like as ``threshold`` to an ``early`` one before it.
 
     Candidates are tested on the words themselves, fetched from ``lines`` once. Which of several
     earlier lines a line repeats makes no difference, so its earliest candidate is tested first,
@@ -184,13 +196,12 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
         return df.select(F.col("l1").alias(s), F.col("l2").alias(f"{s}2"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
 
     facts = ("first", "n", "wide")
-    both = pairs.join(side(place, "a", *facts), "a").join(side(place, "b", *facts), "b").where(
-        _odd_words("a_wide", "b_wide") <= _apart(F.col("a_n") + F.col("b_n"), threshold))
     names = ("late", "late2", "early", "early2", "early_first")
-    turned = F.when(F.col("a_first") < F.col("b_first"), F.struct("b", "b2", "a", "a2", "a_first")).otherwise(
-        F.struct(*[F.col(c).alias(d) for c, d in zip(("a", "a2", "b", "b2", "b_first"), ("b", "b2", "a", "a2", "a_first"))]))
-    todo = keep(both.select(turned.alias("t")).select(
-        *[F.col(f"t.{c}").alias(n) for c, n in zip(("b", "b2", "a", "a2", "a_first"), names)]), "line-todo")
+    todo = keep(
+        pairs.join(side(place, "late", *facts), "late").join(side(place, "early", *facts), "early").where(
+            (F.col("early_first") < F.col("late_first"))
+            & (_odd_words("late_wide", "early_wide") <= _apart(F.col("late_n") + F.col("early_n"), threshold))).select(*names),
+        "line-todo")
     met = todo.select(F.col("late").alias("l1")).union(todo.select("early")).distinct()
     texts = keep(
         lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
