@@ -157,26 +157,30 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     them. Postings carry the document for that; lines of one document are put in order afterwards.
     """
     t = threshold
-    postings = nodes.select("l1", "n", "parity", "todo", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("place", "word")).where(
+    tag = F.shiftleft("n", 1) + F.col("todo").cast("int")
+    postings = nodes.select("l1", tag.alias("tag"), "parity", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("place", "word")).where(
         _shared(F.col("word"))).withColumn(
         "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
 
-    def side(s, df):
-        return df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "n", "place", "parity", "doc")])
+    def side(s):
+        return postings.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "tag", "place", "parity", "doc")])
 
     def of(s):
-        return lambda c: F.col(f"{c}_{s}")
+        return lambda c: F.shiftright(f"tag_{s}", 1) if c == "n" else F.col(f"{c}_{s}")
 
     def in_short_prefix(s):
-        return F.col(f"place_{s}") <= F.col(f"n_{s}") - _least(2 * t / (1 + t) * F.col(f"n_{s}"))
-
-    a, b = side("a", postings.where("todo")), side("b", postings)
-    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("l1_a") < F.col("l1_b")))
-    left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b"))
+        return F.col(f"place_{s}") <= of(s)("n") - _least(2 * t / (1 + t) * of(s)("n"))
+
+    a, b, n_a, n_b = side("a"), side("b"), of("a")("n"), of("b")("n")
+    # Both sides are the same rows and columns, so Spark shuffles them once. A test of ``todo`` on one side alone
+    # would be pushed below that shuffle and make it two; as part of the pair (tags are above 0) it stays in the join.
+    late = F.col("tag_a").bitwiseAND(F.lit(1)) * F.col("tag_b") > 0
+    shorter = (n_a < n_b) | ((n_a == n_b) & (F.col("l1_a") < F.col("l1_b")))
+    left_over = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
+    met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b")) & late
                  & (F.col("doc_a").isNull() | (F.col("doc_b") <= F.col("doc_a")))    # null ids are last
                  & ((shorter & in_short_prefix("a")) | (~shorter & in_short_prefix("b")))
-                 & (left_over >= _least(t / (1 + t) * (F.col("n_a") + F.col("n_b"))))
+                 & (left_over >= _least(t / (1 + t) * (n_a + n_b)))
                  & _may_be_alike(of("a"), of("b"), t))
     return met.select(F.col("l1_a").alias("late"), F.col("l1_b").alias("early")).distinct()
 

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loglathe.llm import (
     components, decontaminate, line_dedup, mixing, order_minhash, secrets, simhash, suffix_array, token_counts,
@@ -363,3 +364,18 @@ def test_order_counts_in_fingerprints():
 def test_kmers_are_numbered_by_occurrence():
     once, twice = order_minhash.numbered_kmers("abcdefghijklm"), order_minhash.numbered_kmers("abcdefghijklm" * 3)
     assert len(set(twice.tolist())) == len(twice) and twice[0] == once[0]
+
+
+def test_candidates_shuffle_postings_once(spark, tmp_path):
+    """Both sides of the join of postings read one shuffle, whether or not lines are done already."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3} same words here") for i in range(60)], "doc_id long, text string")
+    nodes = line_dedup.prepared(docs).withColumnRenamed("at", "first").withColumn("todo", F.col("first.doc_id") % 2 == 0)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = line_dedup.candidates(spark.read.parquet(str(tmp_path / "nodes")))
+        found = pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found and "ReusedExchange" in plan
