@@ -22,6 +22,8 @@ _HASH_BITS = 55
 _ALONE = 8
 #: Classes of words for the test of pairs before their texts are fetched.
 WIDE = 256
+#: Lines of so many words take these classes to the join of postings: beyond it, 64 classes are too few to tell lines apart.
+LONG = 96
 #: So many words name the groups whose heads a line is tested against first.
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
@@ -149,7 +151,7 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Two alike lines share a word among the rarest n - ceil(t n) + 1 of the longer and the rarest
     n - ceil(2t/(1+t) n) + 1 of the shorter; only these are joined, without words that only one
     line has. What is left behind the shared word's places must still reach the overlap that t
-    asks for, and the pair must pass ``_may_be_alike``. Any order of words that all lines share
+    asks for, and the pair must pass ``_may_be_alike``, by all classes where both lines are ``LONG``. Any order of words that all lines share
     keeps this exact; rare ones first keeps the lists short.
 
     A pair tells something about its later line only, so lines that already have a match are met
@@ -158,12 +160,14 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     t = threshold
     tag = F.shiftleft("n", 1) + F.col("todo").cast("int")
-    postings = nodes.select("l1", tag.alias("tag"), "parity", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("place", "word")).where(
+    postings = nodes.select(
+        "l1", tag.alias("tag"), "parity", F.when(F.col("n") >= LONG, F.col("wide")).alias("wide"), F.col("first.doc_id").alias("doc"),
+        F.posexplode("prefix").alias("place", "word")).where(
         _shared(F.col("word"))).withColumn(
         "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
 
     def side(s):
-        return postings.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "tag", "place", "parity", "doc")])
+        return postings.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "tag", "place", "parity", "wide", "doc")])
 
     def of(s):
         return lambda c: F.shiftright(f"tag_{s}", 1) if c == "n" else F.col(f"{c}_{s}")
@@ -177,11 +181,13 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     late = F.col("tag_a").bitwiseAND(F.lit(1)) * F.col("tag_b") > 0
     shorter = (n_a < n_b) | ((n_a == n_b) & (F.col("l1_a") < F.col("l1_b")))
     left_over = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
+    odd = [F.bit_count(F.get("wide_a", F.lit(i)).bitwiseXOR(F.get("wide_b", F.lit(i)))) for i in range(WIDE // 64)]
     met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b")) & late
                  & (F.col("doc_a").isNull() | (F.col("doc_b") <= F.col("doc_a")))    # null ids are last
                  & ((shorter & in_short_prefix("a")) | (~shorter & in_short_prefix("b")))
                  & (left_over >= _least(t / (1 + t) * (n_a + n_b)))
-                 & _may_be_alike(of("a"), of("b"), t))
+                 & _may_be_alike(of("a"), of("b"), t)
+                 & (F.coalesce(sum(odd[1:], odd[0]), F.lit(0)) <= _apart(n_a + n_b, t)))
     return met.select(F.col("l1_a").alias("late"), F.col("l1_b").alias("early")).distinct()
 
 

@@ -379,3 +379,23 @@ def test_candidates_shuffle_postings_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found and "ReusedExchange" in plan
+
+
+def test_long_lines_meet_only_near_copies(spark):
+    """Long lines that share rare words are told apart in the join; those about the threshold are all met."""
+    rng, rows, made = random.Random(8), [], []
+    for i in range(40):
+        base = rng.sample(range(4000), rng.randrange(90, 400))
+        made.append((i, base))
+        for share in (0.03, 0.1, 0.2):
+            other = [w if rng.random() > share else rng.randrange(4000) for w in base]
+            made.append((len(made) + 1000, other))
+    rows = [(i, " ".join(f"w{w}" for w in ws)) for i, ws in made]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = line_dedup.prepared(docs).withColumnRenamed("at", "first").withColumn("todo", F.lit(True))
+    by_hash = {r.l1: r.first.doc_id for r in nodes.select("l1", "first").collect()}
+    met = {(by_hash[r.late], by_hash[r.early]) for r in line_dedup.candidates(nodes).collect()}
+    sets = {i: set(ws) for i, ws in made}
+    alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert alike <= met and len(alike) > 40
+    assert len(met) < 4 * 40 * 6     # pairs within the groups of four at most
