@@ -1,6 +1,8 @@
 """A session kept in a folder, with small tables that answer questions without reading its records.
 
-Records lie in one directory for each chunk of a file's rows. Next to them are
+Records lie in one directory for each part of a file's rows. A part is one chunk up to the 64th chunk of
+a file, and twice as many chunks each time the file doubles from there, so directories grow with the logarithm of
+a file's rows while none holds more than a 32nd of it. Next to the records are
 
 * ``ids``: for every request id the chunks it occurs in, dealt into slots by a hash of the id;
 * ``grams``: for every chunk a bitmap of the three-letter pieces of its lines;
@@ -10,7 +12,7 @@ Records lie in one directory for each chunk of a file's rows. Next to them are
 
 Each is written once for the files of an ``add`` and merged when read, so a further file, or one taken away,
 changes answers without a look at the records of the others. Questions about records first find their
-chunks and then read only those directories (dynamic partition pruning), with the exact test after it.
+chunks and then read only the directories these lie in (dynamic partition pruning), with the exact test after it.
 """
 
 from __future__ import annotations
@@ -24,16 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglathe.functions import fixed
+from loglathe.functions.fields import let
 from loglathe.operators import counts
 from loglathe.operators.search import bucket_shown, matches, source_shown
 
-#: Records of one file in one directory.
+#: Records of one file in one chunk, and at most in one file of a directory.
 CHUNK = 1 << 20
+#: A file has twice as many directories of one chunk, and as many for each further doubling.
+PARTS = 32
 #: Directories that request ids are dealt into.
 SLOTS = 64
 #: Bits of a chunk's bitmap, kept in words of 64.
 GRAM_BITS = 1 << 17
 PLACE = ["load", "file_id", "chunk"]
+DIRECTORY = ["load", "file_id", "part"]
 _TABLES = {
     "ids": "req_id string, file_id string, chunk bigint, n bigint, load string, slot int",
     "grams": "file_id string, chunk bigint, word int, bits bigint, load string",
@@ -45,10 +51,17 @@ _TABLES = {
 
 def grams_of(line: Column) -> Column:
     """The different pieces of three characters of a text, lower-cased."""
-    chars = F.split(F.lower(line), "")
-    return F.array_distinct(F.transform(
+    # let: a lambda would split the text again for each of its characters
+    return let(F.split(F.lower(line), ""), lambda chars: F.array_distinct(F.transform(
         F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 2, F.lit(0))),
-        lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2))))
+        lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))))
+
+
+def part_of(chunk: Column) -> Column:
+    """The directory of a chunk: goes up with the chunk, by one for every chunk at first and ever slower later."""
+    doublings = F.greatest(F.lit(0), F.length(F.bin(chunk)) - PARTS.bit_length())
+    width = F.pow(F.lit(2.0), doublings).cast("bigint")
+    return F.when(chunk.isNotNull(), doublings * PARTS + F.floor(chunk / width)).cast("bigint")
 
 
 def _bit_of(gram: Column) -> Column:
@@ -72,8 +85,9 @@ class Stored:
         """Store the records (with all axes and a dense ``rec_no``) of one or more files not yet in the session."""
         load = uuid.uuid4().hex
         chunk = F.floor(F.col("rec_no") / self.chunk_rows).cast("bigint")
-        records.withColumn("load", F.lit(load)).withColumn("chunk", chunk).repartition("file_id", "chunk").sortWithinPartitions(
-            "file_id", "chunk", "rec_no").write.partitionBy(*PLACE).mode("append").parquet(f"{self.folder}/records")
+        placed = records.withColumn("load", F.lit(load)).withColumn("chunk", chunk).withColumn("part", part_of(F.col("chunk")))
+        placed.repartition("file_id", "part", F.floor(F.col("rec_no") / CHUNK)).sortWithinPartitions(
+            "file_id", "part", "rec_no").write.partitionBy(*DIRECTORY).mode("append").parquet(f"{self.folder}/records")
         held = self._all_records().filter(F.col("load") == load)
         place = ["file_id", "chunk"]
         self._append("ids", held.filter("req_id <> ''").groupBy("req_id", *place).agg(F.count("*").alias("n")).withColumn(
@@ -100,7 +114,7 @@ class Stored:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _all_records(self) -> DataFrame:
-        path, kinds = f"{self.folder}/records", {"load": T.StringType(), "file_id": T.StringType(), "chunk": T.LongType()}
+        path, kinds = f"{self.folder}/records", {"load": T.StringType(), "file_id": T.StringType(), "part": T.LongType()}
         found = self.spark.read.parquet(path).schema       # names of files that look like numbers stay names
         schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
         return self.spark.read.schema(schema).parquet(path)
@@ -117,14 +131,15 @@ class Stored:
 
     @property
     def records(self) -> DataFrame:
-        return self._alive(self._all_records()).drop("load", "chunk")
+        return self._alive(self._all_records()).drop("load", "part", "chunk")
 
     def _at(self, places: DataFrame) -> DataFrame:
-        """Records of some chunks; the other directories are not opened.
+        """Records of some chunks; directories without any of them are not opened.
 
         The places are one row for each ``chunk_rows`` records at most, so they are broadcast.
         """
-        return self._all_records().join(F.broadcast(places.select(*PLACE)), PLACE, "left_semi").drop("load", "chunk")
+        places = places.select(*PLACE, part_of(F.col("chunk")).alias("part"))
+        return self._all_records().join(F.broadcast(places), [*PLACE, "part"], "left_semi").drop("load", "part", "chunk")
 
     # --- one request id -------------------------------------------------------------
     def places_of(self, req_id: str) -> DataFrame:
@@ -215,9 +230,9 @@ class Stored:
 
     def page(self, offset: int, limit: int) -> DataFrame:
         """Rows ``offset`` to ``offset + limit`` of each file, from the chunks they lie in."""
-        between = F.col("chunk").between(offset // self.chunk_rows, (offset + limit - 1) // self.chunk_rows)
-        rows = self._alive(self._all_records().filter(between))
-        return rows.filter((F.col("rec_no") >= offset) & (F.col("rec_no") < offset + limit)).drop("load", "chunk")
+        low, high = (part_of(F.lit(n // self.chunk_rows)) for n in (offset, offset + limit - 1))
+        rows = self._alive(self._all_records().filter(F.col("part").between(low, high)))
+        return rows.filter((F.col("rec_no") >= offset) & (F.col("rec_no") < offset + limit)).drop("load", "part", "chunk")
 
     def select(self, bucket: str, rank: int) -> DataFrame:
         """The record of ``bucket`` with ``rank`` (from 0) others of it before it, in each file that has one."""
@@ -226,6 +241,6 @@ class Stored:
             Window.partitionBy("load", "file_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         place = per.withColumn("before", before).filter((F.col("before") <= rank) & (F.col("before") + F.col("n") > rank))
         chunk = self._all_records().filter(F.col("bucket") == bucket).join(
-            F.broadcast(place.select(*PLACE, "before")), PLACE)
+            F.broadcast(place.select(*PLACE, part_of(F.col("chunk")).alias("part"), "before")), [*PLACE, "part"])
         at = F.row_number().over(Window.partitionBy(*PLACE).orderBy("rec_no")) - 1 + F.col("before")
-        return chunk.withColumn("_at", at).filter(F.col("_at") == rank).drop("_at", "before", "load", "chunk")
+        return chunk.withColumn("_at", at).filter(F.col("_at") == rank).drop("_at", "before", "load", "part", "chunk")
