@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglathe.operators.materialize import cut
+
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
@@ -22,13 +24,14 @@ def join_small(
 ) -> DataFrame:
     """Equi-join with a side that is expected to be small.
 
-    The expected-small side is counted up to ``max_rows + 1`` rows (a limit of that size,
-    so the check itself is bounded). If it fits it is broadcast; otherwise every row of it
+    The expected-small side is written first, so what it is made from is read once, not for
+    its count and again for the join. If it has at most ``max_rows`` rows it is broadcast; otherwise every row of it
     is copied ``salts`` times and the big side is spread over the copies by ``spread``, so
     that one hot key becomes ``salts`` reduce groups. Both ways give the same rows.
     ``how`` may be inner, left, left_semi or left_anti (the big side is the left side).
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    small = cut(small, "small")
+    if small.count() <= max_rows:
         return big.join(F.broadcast(small), list(on), how)
     salted = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -9,6 +9,7 @@ from loglathe.functions import axes as ax
 from loglathe.functions import fixed
 from loglathe.functions.axes import with_axes
 from loglathe.operators import counts, search, trace, windows
+from loglathe.operators.materialize import cut
 from loglathe.operators.multiline import text_record
 from loglathe.operators.ordered import with_rec_no
 from loglathe.plans import ducksql as d
@@ -40,6 +41,11 @@ def all_axes(spark: SparkSession, sf: str, *wanted: str) -> DataFrame:
     return with_axes(all_logs(spark, sf), *wanted)
 
 
+def kept_axes(spark: SparkSession, sf: str, *wanted: str) -> DataFrame:
+    """Places and axes of all records, written so that queries that look at them several times compute them once."""
+    return cut(all_axes(spark, sf, *wanted).select("file_id", "rec_no", *wanted), "axes")
+
+
 # --- axes --------------------------------------------------------------------
 @query("level_of", d.select(A, "SELECT file_id, rec_no, level FROM axes"))
 def level_of(spark, sf):
@@ -162,7 +168,7 @@ def hide_sources(spark, sf):
 SELECT file_id, rec_no, source FROM axes
 WHERE source NOT IN (SELECT source FROM logged WHERE bad * 5 < n)"""))
 def hide_sources_table(spark, sf):
-    logs = all_axes(spark, sf, "source", "bucket")
+    logs = kept_axes(spark, sf, "source", "bucket")
     quiet = logs.groupBy("source").agg(
         F.count("*").alias("n"), F.count_if(F.col("bucket") == "ERROR").alias("bad")
     ).filter("bad * 5 < n")
@@ -281,7 +287,7 @@ chosen AS (SELECT file_id, max(rec_no) AS rec_no FROM axes WHERE bucket = 'ERROR
 SELECT file_id, rec_no, CAST(least(19, floor(CAST(rec_no AS DOUBLE) / CAST(total AS DOUBLE) * 20)) AS INT) AS bin
 FROM chosen JOIN totals USING (file_id)"""))
 def histogram_bin(spark, sf):
-    logs = all_axes(spark, sf, "bucket", "source")
+    logs = kept_axes(spark, sf, "bucket", "source")
     chosen = logs.filter("bucket = 'ERROR'").groupBy("file_id", "source").agg(
         F.max("rec_no").alias("rec_no")
     ).select("file_id", "rec_no")
@@ -307,7 +313,7 @@ def first_errors(logs: DataFrame) -> DataFrame:
   JOIN axes ON file_id = anchor_file_id AND rec_no = anchor_rec_no WHERE req_id <> '')
 SELECT file_id, rec_no, req_id, level FROM axes WHERE req_id IN (SELECT req_id FROM ids)"""))
 def trace_anchor(spark, sf):
-    logs = all_axes(spark, sf, "req_id", "level", "bucket").select("file_id", "rec_no", "req_id", "level", "bucket")
+    logs = kept_axes(spark, sf, "req_id", "level", "bucket")
     return trace.trace_of(logs, first_errors(logs)).drop("bucket")
 
 
@@ -315,7 +321,7 @@ def trace_anchor(spark, sf):
 SELECT file_id, rec_no, req_id FROM axes WHERE req_id <> '' AND req_id IN (
   SELECT req_id FROM axes WHERE level IN ('FATAL', 'CRITICAL'))"""))
 def trace_many(spark, sf):
-    logs = all_axes(spark, sf, "req_id", "level").select("file_id", "rec_no", "req_id", "level")
+    logs = kept_axes(spark, sf, "req_id", "level")
     worst = logs.filter(F.col("level").isin("FATAL", "CRITICAL")).select("req_id")
     return trace.trace_many(logs, worst).drop("level")
 
@@ -341,7 +347,7 @@ SELECT seq, m.file_id, CASE WHEN a.rec_no IS NULL THEN '—' ELSE CAST(m.rec_no
        a.level, a.summary, m.file_id || '.log' AS file_name
 FROM marks m LEFT JOIN axes a ON a.file_id = m.file_id AND a.rec_no = m.rec_no"""))
 def bookmarks(spark, sf):
-    logs = all_axes(spark, sf, "bucket", "source", "level", "summary").select("file_id", "rec_no", "bucket", "source", "level", "summary")
+    logs = kept_axes(spark, sf, "bucket", "source", "level", "summary")
     files = logs.select("file_id").distinct().withColumn(
         "file_name", F.concat("file_id", F.lit(".log"))
     )
@@ -353,13 +359,13 @@ def bookmarks(spark, sf):
 @query("bookmarks_anti", d.select(A, f""", {MARKS_SQL}
 SELECT seq, file_id, rec_no FROM marks WHERE file_id NOT IN ('f1', 'j0')"""))
 def bookmarks_anti(spark, sf):
-    return trace.drop_file(last_errors(all_axes(spark, sf, "bucket", "source")), ["f1", "j0"])
+    return trace.drop_file(last_errors(kept_axes(spark, sf, "bucket", "source")), ["f1", "j0"])
 
 
 @query("bookmark_summary", d.select(A, f""", {MARKS_SQL}
 SELECT count(*) AS marks, count(DISTINCT file_id) AS files FROM marks"""))
 def bookmark_summary(spark, sf):
-    return trace.bookmark_summary(last_errors(all_axes(spark, sf, "bucket", "source"))).select(
+    return trace.bookmark_summary(last_errors(kept_axes(spark, sf, "bucket", "source"))).select(
         F.col("marks").cast("bigint").alias("marks"), "files"
     )
 
