@@ -110,19 +110,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table in one task of per-record work.
+TASK_ROWS = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-record work when the input has fewer splits than there are cores.
+    """Use all cores for per-record work, in tasks of about ``TASK_ROWS`` rows, when the input has fewer splits.
 
-    Large inputs have more splits than cores and pass through without a shuffle.
+    A split of a table of short rows holds millions of them, so splits alone bound no task. The rows are
+    counted from the file's footers. Inputs with enough splits pass through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = max(cores, -(-df.count() // TASK_ROWS))
+    return df.repartition(wanted) if splits < wanted else df
 
 
 def spark_view(spark: SparkSession, sf_dir: str, view: dict[str, str], name: str = "events") -> DataFrame:
-    return spread(table(spark, sf_dir, name).selectExpr(
+    """The view over a table; rows are dealt to tasks before texts are made of them, while they are short."""
+    return spread(table(spark, sf_dir, name)).selectExpr(
         *[f"{_in(e, SPARK)} AS {alias}" for alias, e in view.items()]
-    ))
+    )
 
 
 def duck_view(alias: str, view: dict[str, str], name: str = "events") -> str:
