@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import fixed
 from loglathe.functions.axes import has_level_word, level_word
+from loglathe.operators.materialize import cut
 from loglathe.operators.ordered import CHUNK_ROWS, MAX_LINES, chunk_of, join_runs, running
 
 # Line classes.
@@ -86,9 +87,10 @@ def _with_groups(lines: DataFrame, rows: int) -> DataFrame:
     )
     opened = spread.withColumn("_offset", offset)
     ahead, ahead2 = F.lead("_offset", 1).over(w), F.lead("_offset", 2).over(w)
-    heads = opened.withColumn(
+    # written, so that lines are classed once and not for each of the steps below
+    heads = cut(opened.withColumn(
         "_head", F.coalesce(ahead == 1, F.lit(False)) | F.coalesce(ahead2 == 2, F.lit(False))
-    ).filter("_own").drop("_own")
+    ).filter("_own").drop("_own"), "line-classes")
 
     pack = no * _PACK + cls * _OFFSETS + F.col("_offset")
     tracked = running(
@@ -128,7 +130,7 @@ def assemble_multiline(lines: DataFrame, rows: int = CHUNK_ROWS, max_lines: int
     of more than ``max_lines`` lines goes on in rows with the same ``line_no`` and ``kind`` and ``cont`` from 1 up.
     """
     keep = [c for c in ("file_id", "file_name") if c in lines.columns]
-    grouped = _with_groups(lines.select(*keep, "line_no", "raw_line"), rows)
+    grouped = cut(_with_groups(lines.select(*keep, "line_no", "raw_line"), rows), "line-groups")
     single = grouped.filter(~F.col("multi")).select(
         *keep, "line_no", F.lit(0).alias("cont"), F.lit("text").alias("kind"), F.col("raw_line").alias("raw")
     )
