@@ -101,8 +101,8 @@ def _tracked(pieces: DataFrame, by: list[str]) -> DataFrame:
     deep = running_depth(pieces, by, "_chunk", "_at", F.col("_total"), F.col("_low"))
     depth = F.col("_depth")
     after = depth + F.col("_total") + F.greatest(F.lit(0), -(depth + F.col("_low")))
-    flagged = deep.withColumns({"_starts": depth == 0, "_open": after > 0}).filter(
-        ~(F.col("_starts") & F.col("_text").rlike(_SEPARATOR_LINE))).drop("_depth")
+    flagged = cut(deep.withColumns({"_starts": depth == 0, "_open": after > 0}).filter(
+        ~(F.col("_starts") & F.col("_text").rlike(_SEPARATOR_LINE))).drop("_depth"), "json-depths")
     kind = F.lit(None).cast("bigint")
     single = flagged.filter("_starts AND NOT _open").withColumns({"_first": kind, "_line": kind, "_base": kind})
     starts = lambda c: F.when(F.col("_starts"), c)
@@ -128,11 +128,13 @@ def spread_objects(lines: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     cut_lines = lines.select(
         *keep, "line_no", F.posexplode(_pieces(F.col("raw_line"))).alias("_part", "_text"))
     opens = (F.col("_part") == 0) & F.col("_text").rlike(_OPENING)
-    placed = with_rec_no(cut_lines, order=["line_no", "_part"], name="_at", rows=rows).withColumns({
-        "_chunk": chunk_of(F.col("line_no"), rows), "_total": _braces(F.col("_text")), "_low": _lowest(F.col("_text")),
+    # written, so that the patterns run once; every running value reads its input twice
+    patterned = cut(cut_lines.withColumns({
+        "_total": _braces(F.col("_text")), "_low": _lowest(F.col("_text")),
         "_indent": F.when(opens, F.length(F.regexp_extract("_text", _OPENING, 1))),
-    })
-    # written, so that the patterns above run once
+    }), "json-patterns")
+    placed = cut(with_rec_no(patterned, order=["line_no", "_part"], name="_at", rows=rows).withColumn(
+        "_chunk", chunk_of(F.col("line_no"), rows)), "json-places")
     first = cut(_tracked(placed, ["file_id"]), "json-pieces")
     # one row per file: how far its outermost objects, and its members, are indented
     styles = cut(first.groupBy("file_id").agg(
