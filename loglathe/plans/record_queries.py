@@ -25,7 +25,7 @@ from loglathe.plans import ducksql as d
 from loglathe.plans import views
 from loglathe.plans.catalog import query
 from loglathe.plans.parse import parse_lines
-from loglathe.plans.queries import VIEW_SQL, all_axes, json_logs, text_logs
+from loglathe.plans.queries import VIEW_SQL, all_axes, all_logs, json_logs, text_logs
 from loglathe.sources.csv import read_csv_logs
 from loglathe.sources.detect import detect_format
 from loglathe.sources.json import read_json_logs
@@ -448,8 +448,9 @@ FROM (SELECT file_id, rec_no, raw FROM log_text UNION ALL SELECT file_id, rec_no
 JOIN (SELECT file_id, rec_no, level FROM axes) USING (file_id, rec_no) GROUP BY file_id
 UNION ALL SELECT 'gone', 'gone.log', CAST(0 AS BIGINT), NULL, CAST(0 AS BIGINT), 'error' """))
 def overview(spark, sf):
-    logs = all_axes(spark, sf, "level").select("file_id", "rec_no", "raw", "level")
-    lines = logs.select("file_id", F.col("rec_no").alias("line_no"), F.col("raw").alias("raw_line"))
+    # lines without the axes, which three looks at the lines would compute again
+    lines = all_logs(spark, sf).select("file_id", F.col("rec_no").alias("line_no"), F.col("raw").alias("raw_line"))
+    logs = all_axes(spark, sf, "level").select("file_id", "rec_no", "level")
     files = lines.groupBy("file_id").agg(
         F.sum(F.octet_length("raw_line") + 1).cast("bigint").alias("file_size")
     ).unionByName(spark.createDataFrame([("gone", 0)], "file_id string, file_size bigint")).withColumn(
@@ -469,12 +470,13 @@ UNION ALL SELECT file_id, CASE WHEN total > 1000 THEN 2 ELSE 1 END, 'warn', 'PAR
 FROM n JOIN broken USING (file_id)
 UNION ALL SELECT 'gone', 0, 'error', 'FileNotFound', 'input could not be read or parsed'"""))
 def diagnosed(spark, sf):
-    logs = with_axes(text_logs(spark, sf), "level").select("file_id", "rec_no", "raw", "level")
-    lines = logs.select("file_id", F.col("rec_no").alias("line_no"), F.col("raw").alias("raw_line"))
+    plain = text_logs(spark, sf)
+    lines = plain.select("file_id", F.col("rec_no").alias("line_no"), F.col("raw").alias("raw_line"))
+    logs = with_axes(plain, "level").select("file_id", "rec_no", "level")
     failed = spark.createDataFrame([("gone", "FileNotFound")], "file_id string, error string")
     report = full_report(
         counts.run_report(lines, cap(logs, 1000)), formats=detect_format(lines),
-        capped=cap_signal(logs, 1000), unexpanded=counts.unexpanded_count(payload_records(spark, sf)),
+        capped=cap_signal(plain, 1000), unexpanded=counts.unexpanded_count(payload_records(spark, sf)),
         failed=failed,
     )
     return diagnostics(report)
