@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from loglathe.llm.base import column_batches, keep
 
 CACHE = "version string, digest binary, n_tokens long"
+#: A byte-level tokenizer ends a piece at each of these places, whatever stands before and after them: before a blank or
+#: line break behind a visible ASCII sign, and between an ASCII letter and a full stop or comma.
+CUTS = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
+#: A task remembers counts of so many pieces, none of more characters than ``LONGEST``.
+REMEMBERED, LONGEST = 1 << 18, 48
 
 
 def version_of(tokenizer_path: str) -> str:
@@ -33,7 +39,41 @@ def encoder(tokenizer_path: str):
     model = Tokenizer.from_file(tokenizer_path)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [[len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]]
+
+    def whole(texts: list[str]) -> list[int]:
+        return [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return (lambda texts: [by_pieces(texts)]) if (by_pieces := _by_pieces(model, whole)) else lambda texts: [whole(texts)]
+
+
+def _by_pieces(model, whole):
+    """Counts of texts as sums over what ``CUTS`` leaves, each different piece encoded once; None for other layouts.
+
+    Nothing may look across a cut, so it is for byte-level BPE with its usual pattern and without a
+    normaliser or dropout. Texts with a special string in them are encoded whole.
+    """
+    from tokenizers import models, pre_tokenizers
+
+    split, bpe = model.pre_tokenizer, model.model
+    if model.normalizer or not isinstance(split, pre_tokenizers.ByteLevel) or not isinstance(bpe, models.BPE) \
+            or split.add_prefix_space or not split.use_regex or bpe.dropout:
+        return None
+    special = [x.content for x in model.get_added_tokens_decoder().values()]
+    known: dict[str, int] = {}
+
+    def counts(texts: list[str]) -> list[int]:
+        pieces = [[x] if any(s in x for s in special) else CUTS.split(x) for x in texts]
+        new = list(set().union(*pieces) - known.keys())
+        known.update(zip(new, whole(new), strict=True))
+        found = [sum(map(known.__getitem__, p)) for p in pieces]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del known[piece]
+        if len(known) > REMEMBERED:
+            known.clear()
+        return found
+
+    return counts
 
 
 def _local(tokenizer_path: str) -> str:

@@ -263,6 +263,38 @@ def test_token_counts_and_cache(spark):
     assert token_counts.count_tokens(frame(spark, [(1, "new", "en", "s", 0)]), path, cache).first().n_tokens == 77
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """Sums over pieces are the library's counts of whole texts, odd blanks, signs and special strings included."""
+    import tokenizers
+
+    path, asked, random_ = public_tokenizers.path("byte_bpe_50k.json"), [], random.Random(5)
+    plain = tokenizers.Tokenizer.from_file(path)
+
+    class Counted:
+        def __init__(self, model):
+            self.inner = model
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    class Library:
+        from_file = staticmethod(lambda p: Counted(plain))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Library)
+    signs = ["a", "B", "don't", "'s", "'", ".", ",", "...", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x1d", "\x85", "\u00a0", "\u3000", "\u200b",
+             "é", "e\u0301", "東", "7", "12", "-", "=", "<|endoftext|>", "<|endoftext", "|>", "🙂", "\x00"]
+    texts = ["", " ", ". x", *("".join(random_.choices(signs, k=random_.randrange(1, 30))) for _ in range(3000))]
+    count = token_counts.encoder(path)
+    assert count(texts) == [[len(plain.encode(x, add_special_tokens=False).ids) for x in texts]]
+    asked.clear()
+    assert count(["one word. Another, word", "one word. one word", "one word"]) == [[6, 5, 2]]
+    assert set(asked) <= {"one", " word", ".", " Another", ",", " one"} and len(asked) == len(set(asked))
+
+
 def test_pieces_of_other_tokenizers(spark):
     import sentencepiece
 
