@@ -5,6 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,10 @@ _HASH_BITS = 55
 _ALONE = 8
 #: Classes of words for the test of pairs before their texts are fetched.
 WIDE = 256
-#: Lines of so many words take these classes to the join of postings: beyond it, 64 classes are too few to tell lines apart.
+#: Lines of so many words have these classes: beyond it, 64 classes are too few to tell lines apart.
 LONG = 96
+#: The join of postings goes by so many parts of all words, one after the other, so that their shuffles don't add up on disk.
+PASSES = 3
 #: So many words name the groups whose heads a line is tested against first.
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
@@ -56,11 +59,12 @@ def _hashed(line: Column) -> Column:
     return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
-def _rarity(lines: DataFrame) -> DataFrame:
+def _rarity(docs: DataFrame) -> DataFrame:
     """One row: for each bucket a class from 0 (no word) to 255, ascending with its number of words."""
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counts = lines.select(F.explode(_words(F.col("line"))).alias("word")).groupBy(bucket.alias("bucket")).count()
-    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    words = _words(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))   # those of all lines
+    counts = docs.select(F.explode(words).alias("word")).groupBy(bucket.alias("bucket")).count()
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     level = F.least(F.lit(255), F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
     listed = every.join(counts, "bucket", "left").select(F.struct("bucket", level.alias("level")).alias("x"))
     return listed.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.level").alias("levels"))
@@ -78,14 +82,15 @@ def _least(of: Column) -> Column:
 
 
 def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(at, l1, l2, n, parity, wide, prefix) of every line.
+    """(at, l1, l2, n, parity, wide, alone, prefix) of every line.
 
-    ``prefix`` holds the rarest n - ceil(t n) + 1 words; ``parity`` has, for each of 64 classes of
-    words, whether the line's number of them is odd, and ``wide`` the same for ``WIDE`` classes more.
+    Of the rarest n - ceil(t n) + 1 words, the first ``alone`` are in no other line; ``prefix`` holds 31 bits of the hash
+    of each of the rest (words that meet by chance are told apart later). ``parity`` has, for each of 64 classes of
+    words, whether the line's number of them is odd, and ``wide`` of ``LONG`` lines the same for ``WIDE`` classes more.
     """
     lines = _lines(docs)
     # a table of BUCKETS small numbers, so it may pass through the driver into the plan
-    levels = F.from_json(F.lit(json.dumps(_rarity(lines).first().levels)), "array<int>")
+    levels = F.from_json(F.lit(json.dumps(_rarity(docs).first().levels)), "array<int>")
     numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words"))
     n = F.size("words")
     bit = F.expr("aggregate(words, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63 AS INT)))")
@@ -93,8 +98,13 @@ def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wide = F.array(*[F.expr(
         f"aggregate(filter(words, w -> (shiftright(w, 6) & {WIDE // 64 - 1}) = {i}), 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(shiftright(w, 16) & 63 AS INT)))")
         for i in range(WIDE // 64)])
-    return numbered.select(
-        "at", "l1", "l2", n.alias("n"), bit.alias("parity"), wide.alias("wide"), F.slice("words", 1, n - _least(threshold * n) + 1).alias("prefix"))
+    rare = numbered.select(
+        "at", "l1", "l2", n.alias("n"), bit.alias("parity"), F.when(n >= LONG, wide).alias("wide"),
+        F.slice("words", 1, n - _least(threshold * n) + 1).alias("rare"))
+    shared = F.transform(F.filter("rare", _shared), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # rarest first, so words that no other line has stand before all others
+    return rare.withColumn("prefix", shared).select(
+        "at", "l1", "l2", "n", "parity", "wide", (F.size("rare") - F.size("prefix")).alias("alone"), "prefix")
 
 
 def _may_be_alike(x, y, threshold: float) -> Column:
@@ -114,8 +124,9 @@ def _apart(both: Column, threshold: float) -> Column:
 
 
 def _odd_words(a: str, b: str) -> Column:
-    """Classes of words whose parities differ; each needs a word that only one of both lines has."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    """Classes of words whose parities differ; each needs a word that only one of both lines has. 0 if not both are ``LONG``."""
+    odd = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WIDE // 64)]
+    return F.coalesce(sum(odd[1:], odd[0]), F.lit(0))
 
 
 def _shared(word: Column) -> Column:
@@ -138,14 +149,14 @@ def head_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     At most ``NAMES`` times ``HEADS`` pairs a line, however large the group. A line that is like
     an earlier head needs no other match; the rest go through ``candidates``.
     """
-    named = nodes.select("l1", "n", "parity", "first", F.explode(_names(F.filter("prefix", _shared))).alias("word"))
+    named = nodes.select("l1", "n", "parity", "first", F.explode(_names(F.col("prefix"))).alias("word"))
     heads = named.groupBy("word", F.pmod("l1", F.lit(HEADS))).agg(F.min(F.struct("first", "l1", "n", "parity")).alias("head")).select("word", "head")
     met = named.join(heads, "word").where(
         (F.col("head.first") < F.col("first")) & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
     return met.select(F.col("l1").alias("late"), F.col("head.l1").alias("early")).distinct()
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, part: int | None = None) -> DataFrame:
     """(late, early): pairs of ``l1`` that may be as like as ``threshold``, the later line ``todo``; none that are is missing.
 
     Two alike lines share a word among the rarest n - ceil(t n) + 1 of the longer and the rarest
@@ -157,14 +168,16 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A pair tells something about its later line only, so lines that already have a match are met
     as earlier ones, never as later ones: the first line of a group of near copies meets none of
     them. Postings carry the document for that; lines of one document are put in order afterwards.
+
+    ``part`` asks for the pairs that meet in one of ``PASSES`` parts of the words; the parts together have them all.
     """
     t = threshold
     tag = F.shiftleft("n", 1) + F.col("todo").cast("int")
     postings = nodes.select(
-        "l1", tag.alias("tag"), "parity", F.when(F.col("n") >= LONG, F.col("wide")).alias("wide"), F.col("first.doc_id").alias("doc"),
-        F.posexplode("prefix").alias("place", "word")).where(
-        _shared(F.col("word"))).withColumn(
-        "word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))    # 31 bits of the hash: words that meet by chance are told apart later
+        "l1", tag.alias("tag"), "parity", "wide", F.col("first.doc_id").alias("doc"), "alone",
+        F.posexplode("prefix").alias("place", "word")).withColumn("place", F.col("place") + F.col("alone"))
+    if part is not None:
+        postings = postings.where(F.col("word") % PASSES == part)
 
     def side(s):
         return postings.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("l1", "tag", "place", "parity", "wide", "doc")])
@@ -181,13 +194,12 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     late = F.col("tag_a").bitwiseAND(F.lit(1)) * F.col("tag_b") > 0
     shorter = (n_a < n_b) | ((n_a == n_b) & (F.col("l1_a") < F.col("l1_b")))
     left_over = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
-    odd = [F.bit_count(F.get("wide_a", F.lit(i)).bitwiseXOR(F.get("wide_b", F.lit(i)))) for i in range(WIDE // 64)]
     met = a.join(b, (a.word == b.word) & (F.col("l1_a") != F.col("l1_b")) & late
                  & (F.col("doc_a").isNull() | (F.col("doc_b") <= F.col("doc_a")))    # null ids are last
                  & ((shorter & in_short_prefix("a")) | (~shorter & in_short_prefix("b")))
                  & (left_over >= _least(t / (1 + t) * (n_a + n_b)))
                  & _may_be_alike(of("a"), of("b"), t)
-                 & (F.coalesce(sum(odd[1:], odd[0]), F.lit(0)) <= _apart(n_a + n_b, t)))
+                 & (_odd_words("wide_a", "wide_b") <= _apart(n_a + n_b, t)))
     return met.select(F.col("l1_a").alias("late"), F.col("l1_b").alias("early")).distinct()
 
 
@@ -244,21 +256,25 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: in
     of the join, with the first place they stand at; all places after it are repeats, and that one
     is if another line before it is alike. Lines of under ``min_tokens`` different words never are.
     """
+    facts = ("n", "parity", "wide", "alone", "prefix")
     nodes = keep(
         prepared(docs, threshold).groupBy("l1", "l2").agg(
-            F.min("at").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
-            F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).where(F.col("n") >= min_tokens),
+            F.min("at").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in facts]).where(F.col("n") >= min_tokens),
         "line-nodes")
     lines = _lines(docs)
-    early = keep(with_earlier_match(lines, nodes, head_pairs(nodes, threshold), threshold).withColumn("done", F.lit(True)), "line-heads")
+    # pairs are written before their lines are fetched, so that the shuffles of both don't add up
+    heads = keep(head_pairs(nodes, threshold), "line-pairs")
+    early = keep(with_earlier_match(lines, nodes, heads, threshold).withColumn("done", F.lit(True)), "line-heads")
     open_ = nodes.join(early, ["l1", "l2"], "left").withColumn("todo", F.col("done").isNull())
+    parts = [keep(candidates(open_, threshold, i), "line-pairs") for i in range(PASSES)]
+    met = functools.reduce(DataFrame.unionAll, parts).distinct()
     late = early.select("l1", "l2").unionAll(
-        with_earlier_match(lines, nodes, candidates(open_, threshold), threshold)).distinct().withColumn("repeats", F.lit(True))
+        with_earlier_match(lines, nodes, met, threshold)).distinct().withColumn("repeats", F.lit(True))
     cut = keep(
         nodes.select("l1", "l2", "first", "times").join(late, ["l1", "l2"], "left")
         .where("times > 1 OR repeats").select("l1", "l2", "first", F.coalesce("repeats", F.lit(False)).alias("repeats")),
         "line-cuts")
-    release(nodes, early)
+    release(nodes, early, heads, *parts)
     return _lines(docs).select("at", "l1", "l2").join(cut, ["l1", "l2"]).where("repeats OR at > first").select(
         "at.doc_id", "at.key", "at.line_no")
 

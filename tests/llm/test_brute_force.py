@@ -431,3 +431,16 @@ def test_long_lines_meet_only_near_copies(spark):
     alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
     assert alike <= met and len(alike) > 40
     assert len(met) < 4 * 40 * 6     # pairs within the groups of four at most
+
+
+def test_parts_of_words_have_all_pairs(spark, tmp_path):
+    """Pairs that meet in the parts of the words are those that meet at all; only long lines carry the wide classes."""
+    rng = random.Random(21)
+    bases = [rng.sample(range(900), rng.choice((8, 30, 110))) for _ in range(12)]
+    rows = [(i, " ".join(f"w{w if rng.random() > 0.08 else rng.randrange(900)}" for w in bases[i % 12])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    line_dedup.prepared(docs).withColumnRenamed("at", "first").withColumn("todo", F.lit(True)).write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    assert {(r.n >= line_dedup.LONG, r.wide is not None) for r in nodes.collect()} == {(True, True), (False, False)}
+    parts = [set(map(tuple, line_dedup.candidates(nodes, part=i).collect())) for i in range(line_dedup.PASSES)]
+    assert set().union(*parts) == set(map(tuple, line_dedup.candidates(nodes).collect())) and all(parts)
