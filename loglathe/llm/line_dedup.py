@@ -6,7 +6,6 @@ DataFrame functions only.
 from __future__ import annotations
 
 import functools
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,15 +64,15 @@ def _rarity(docs: DataFrame) -> DataFrame:
     words = _words(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))   # those of all lines
     counts = docs.select(F.explode(words).alias("word")).groupBy(bucket.alias("bucket")).count()
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("smallint")
     listed = every.join(counts, "bucket", "left").select(F.struct("bucket", level.alias("level")).alias("x"))
     return listed.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.level").alias("levels"))
 
 
 def _ordered(hashes: Column, levels: Column) -> Column:
-    """Words as numbers, rarest first: class of rarity, then the hash without its highest bits."""
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), _HASH_BITS
+    """Words as numbers, rarest first: class of rarity, then the hash without its highest bits. ``levels`` has the classes once for each word."""
+    return F.sort_array(F.zip_with(hashes, levels, lambda h, of: F.shiftleft(
+        F.coalesce(F.get(of, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), _HASH_BITS
     ).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))))
 
 
@@ -89,9 +88,13 @@ def prepared(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words, whether the line's number of them is odd, and ``wide`` of ``LONG`` lines the same for ``WIDE`` classes more.
     """
     lines = _lines(docs)
-    # a table of BUCKETS small numbers, so it may pass through the driver into the plan
-    levels = F.from_json(F.lit(json.dumps(_rarity(docs).first().levels)), "array<int>")
-    numbered = lines.select("at", "l1", "l2", _ordered(_hashed(F.col("line")), levels).alias("words"))
+    # a table of BUCKETS small numbers; as a subquery it is a value of the job, and no text of the plan has it
+    levels = _rarity(docs).scalar()
+    hashed = lines.select("at", "l1", "l2", _hashed(F.col("line")).alias("hashes"))
+    # a function of words may not hold a subquery, so the table stands beside each word: references to one value,
+    # as the next projection takes this one in (each of its columns is used once)
+    beside = hashed.select("at", "l1", "l2", "hashes", F.array_repeat(levels, F.size("hashes")).alias("levels"))
+    numbered = beside.select("at", "l1", "l2", _ordered(F.col("hashes"), F.col("levels")).alias("words"))
     n = F.size("words")
     bit = F.expr("aggregate(words, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63 AS INT)))")
     # classes by other bits of the hash, 64 to a number
