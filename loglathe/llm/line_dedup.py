@@ -30,6 +30,8 @@ PASSES = 3
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
 HEADS = 8
+#: Lines are told by a bitmap before their texts are shuffled: bits for each of them, and at most 2 to this power in all.
+_BITS_EACH, _MOST_BITS = 8, 26
 
 
 def _words(line: Column) -> Column:
@@ -142,20 +144,26 @@ def _names(shared: Column) -> Column:
 
     Near copies differ in rare words, so a name by rarity alone is often one that the group doesn't share.
     """
-    hashed = F.sort_array(F.transform(shared, lambda w: F.struct(F.hash(w).alias("h"), w.alias("w"))))
-    return F.array_distinct(F.concat(F.slice(shared, 1, 1), F.slice(F.transform(hashed, lambda x: x.w), 1, NAMES - 1)))
+    # the hash, then the word, as one number
+    hashed = F.sort_array(F.transform(shared, lambda w: F.shiftleft(F.hash(w).cast("long"), 32).bitwiseOR(w.cast("long"))))
+    least = F.transform(F.slice(hashed, 1, NAMES - 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return F.array_distinct(F.concat(F.slice(shared, 1, 1), least))
 
 
 def head_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(late, early): each line with the earlier heads of each group that its ``_names`` name.
 
     At most ``NAMES`` times ``HEADS`` pairs a line, however large the group. A line that is like
-    an earlier head needs no other match; the rest go through ``candidates``.
+    an earlier head needs no other match; the rest go through ``candidates``. Rows carry the document only;
+    lines of one document are put in order afterwards.
     """
-    named = nodes.select("l1", "n", "parity", "first", F.explode(_names(F.col("prefix"))).alias("word"))
-    heads = named.groupBy("word", F.pmod("l1", F.lit(HEADS))).agg(F.min(F.struct("first", "l1", "n", "parity")).alias("head")).select("word", "head")
+    doc = F.col("first.doc_id")
+    named = nodes.select(
+        "l1", "n", "parity", F.struct(doc.isNull().alias("no"), doc.alias("id")).alias("doc"), F.explode(_names(F.col("prefix"))).alias("word"))
+    heads = named.groupBy("word", F.pmod("l1", F.lit(HEADS))).agg(F.min(F.struct("doc", "l1", "n", "parity")).alias("head")).select("word", "head")
     met = named.join(heads, "word").where(
-        (F.col("head.first") < F.col("first")) & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
+        (F.col("head.doc") <= F.col("doc")) & (F.col("head.l1") != F.col("l1"))
+        & _may_be_alike(F.col, lambda c: F.col(f"head.{c}"), threshold))
     return met.select(F.col("l1").alias("late"), F.col("head.l1").alias("early")).distinct()
 
 
@@ -206,6 +214,25 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, part: int | None
     return met.select(F.col("l1_a").alias("late"), F.col("l1_b").alias("early")).distinct()
 
 
+def _bits_for(most: int) -> int:
+    """So many bits (a power of two) tell ``most`` lines from others well."""
+    return 1 << min(_MOST_BITS, max(12, (_BITS_EACH * most - 1).bit_length()))
+
+
+def maybe_in(met: DataFrame, bits: int) -> Column:
+    """Whether a row's ``l1`` may be one of ``met``: true for all that are and, by chance, for some that aren't.
+
+    A bitmap of bounded size (8 MB at most), filled by Spark, that tasks get as the value of a subquery; a join
+    after it gives the exact rows, but only those that pass are shuffled.
+    """
+    part, bit = F.shiftright("l1", 6).bitwiseAND(F.lit(bits // 64 - 1)), F.col("l1").bitwiseAND(F.lit(63)).cast("int")
+    filled = met.groupBy(part.alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(l1 & 63 AS INT))")).alias("set"))
+    every = met.sparkSession.range(bits // 64).join(filled, "id", "left").select(
+        F.struct("id", F.coalesce("set", F.lit(0).cast("long")).alias("set")).alias("x"))
+    row = every.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.set").alias("sets"))
+    return F.getbit(F.get(row.scalar(), part.cast("int")), bit) == 1
+
+
 def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2) of every ``late`` node of ``pairs`` that is as like as ``threshold`` to an ``early`` one before it.
 
@@ -228,9 +255,8 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
             & (_odd_words("late_wide", "early_wide") <= _apart(F.col("late_n") + F.col("early_n"), threshold))).select(*names),
         "line-todo")
     met = todo.select(F.col("late").alias("l1")).union(todo.select("early")).distinct()
-    texts = keep(
-        lines.select("l1", "l2", "line").join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")),
-        "line-texts")
+    few = lines.select("l1", "l2", "line").where(maybe_in(met, _bits_for(2 * todo.count())))
+    texts = keep(few.join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")), "line-texts")
     turn, found = F.row_number().over(Window.partitionBy("late", "late2").orderBy("early_first", "early", "early2")), None
     most = 1
     while True:
@@ -268,8 +294,13 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: in
     # pairs are written before their lines are fetched, so that the shuffles of both don't add up
     heads = keep(head_pairs(nodes, threshold), "line-pairs")
     early = keep(with_earlier_match(lines, nodes, heads, threshold).withColumn("done", F.lit(True)), "line-heads")
-    open_ = nodes.join(early, ["l1", "l2"], "left").withColumn("todo", F.col("done").isNull())
+    # one table that all parts of the join of postings read
+    open_ = keep(
+        nodes.join(early, ["l1", "l2"], "left").select(
+            "l1", "n", "parity", "wide", "alone", "prefix", F.struct("first.doc_id").alias("first"), F.col("done").isNull().alias("todo")),
+        "line-open")
     parts = [keep(candidates(open_, threshold, i), "line-pairs") for i in range(PASSES)]
+    release(open_)
     met = functools.reduce(DataFrame.unionAll, parts).distinct()
     late = early.select("l1", "l2").unionAll(
         with_earlier_match(lines, nodes, met, threshold)).distinct().withColumn("repeats", F.lit(True))
