@@ -30,6 +30,8 @@ PASSES = 3
 NAMES = 3
 #: A group has so many heads: the earliest line of each class of line hashes.
 HEADS = 8
+#: So many times more candidates of a line are tested in each round than in the one before: all that ``head_pairs`` gives by the second.
+ROUND = 32
 #: Lines are told by a bitmap before their texts are shuffled: bits for each of them, and at most 2 to this power in all.
 _BITS_EACH, _MOST_BITS = 8, 26
 
@@ -238,9 +240,10 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
 
     Candidates are tested on the words themselves, fetched from ``lines`` once. Which of several
     earlier lines a line repeats makes no difference, so its earliest candidate is tested first,
-    and only a line without a match goes on to the next 8, 64, ... of its candidates, until it has
-    one or has none left. So the texts that travel are about two for each line, however many
-    lines a group of near copies has, and no candidate is passed over.
+    and only a line without a match goes on to its next candidates, up to the 32nd, the 1024th, ...,
+    until it has one or has none left. So the texts that travel are about two for each line, however
+    many lines a group of near copies has, and no candidate is passed over. Candidates are numbered
+    once, and a round that is the last writes no rest: each table costs the driver a plan and tasks.
     """
     place = nodes.select("l1", "l2", "first", "n", "wide")
 
@@ -248,34 +251,37 @@ def with_earlier_match(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, thr
         return df.select(F.col("l1").alias(s), F.col("l2").alias(f"{s}2"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
 
     facts = ("first", "n", "wide")
-    names = ("late", "late2", "early", "early2", "early_first")
+    names = ("late", "late2", "early", "early2")
+    turn = F.row_number().over(Window.partitionBy("late", "late2").orderBy("early_first", "early", "early2"))
     todo = keep(
         pairs.join(side(place, "late", *facts), "late").join(side(place, "early", *facts), "early").where(
             (F.col("early_first") < F.col("late_first"))
-            & (_odd_words("late_wide", "early_wide") <= _apart(F.col("late_n") + F.col("early_n"), threshold))).select(*names),
+            & (_odd_words("late_wide", "early_wide") <= _apart(F.col("late_n") + F.col("early_n"), threshold))).select(
+            *names, turn.alias("turn")),
         "line-todo")
     met = todo.select(F.col("late").alias("l1")).union(todo.select("early")).distinct()
-    few = lines.select("l1", "l2", "line").where(maybe_in(met, _bits_for(2 * todo.count())))
+    many, last = todo.agg(F.count("*"), F.max("turn")).first()
+    few = lines.select("l1", "l2", "line").where(maybe_in(met, _bits_for(2 * many)))
     texts = keep(few.join(met, "l1", "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line")), "line-texts")
-    turn, found = F.row_number().over(Window.partitionBy("late", "late2").orderBy("early_first", "early", "early2")), None
-    most = 1
+    found, most = None, 1
     while True:
-        ranked = todo.withColumn("turn", turn)
         tested = (
-            ranked.where(F.col("turn") <= most).select(*names[:4])
+            todo.where(F.col("turn") <= most).select(*names)
             .join(side(texts, "late", "line"), ["late", "late2"]).join(side(texts, "early", "line"), ["early", "early2"]))
         x, y = tokens(F.col("late_line")), tokens(F.col("early_line"))
         sizes = tested.select("late", "late2", F.size(F.array_intersect(x, y)).alias("o"), (F.size(x) + F.size(y)).alias("sum"))
         like = F.col("o") >= threshold * (F.col("sum") - F.col("o")) - 1e-9
         yes = keep(sizes.where(like).select("late", "late2").distinct(), "line-repeats")
         found = yes if found is None else found.unionAll(yes)
-        rest = keep(ranked.where(F.col("turn") > most).select(*names).join(yes, ["late", "late2"], "left_anti"), "line-todo")
+        rest = None
+        if (last or 0) > most:
+            rest = keep(todo.where(F.col("turn") > most).join(yes, ["late", "late2"], "left_anti"), "line-todo")
+            last = rest.agg(F.max("turn")).first()[0]
         release(todo)
-        todo = rest
-        if todo.isEmpty():
-            release(todo, texts)
+        if rest is None or last is None:
+            release(texts, *([] if rest is None else [rest]))
             return found.select(F.col("late").alias("l1"), F.col("late2").alias("l2"))
-        most *= 8
+        todo, most = rest, most * ROUND
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:

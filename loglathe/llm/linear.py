@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loglathe.llm.base import over_texts
 
 BITS = 18
+#: Entries of a sample that are multiplied at once.
+CHUNK = 1 << 16
 #: ASCII signs become blanks, A-Z become a-z.
 _PLAIN = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 #: What a character looks like: letters A and a, digits 0, signs themselves.
@@ -55,21 +57,39 @@ def share(n: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """Rows of a bounded sample as one sparse matrix; ids that under ``least`` of its rows have are left out."""
+    """Rows of a bounded sample as one sparse matrix; ids that under ``least`` of its rows have are left out.
+
+    The driver holds it beside Spark, so entries are narrow, only those that stay are laid out, and products
+    are made ``CHUNK`` entries at a time.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], least: int):
         self.size = len(rows)
-        self.row = np.repeat(np.arange(self.size), [len(i) for i, _ in rows])
-        self.id = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
-        self.value = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.zeros(0)
-        held = np.bincount(self.id, minlength=1 << BITS)[self.id] >= least
-        self.row, self.id, self.value = self.row[held], self.id[held], self.value[held]
+        found = np.zeros(1 << BITS, np.int64)
+        for ids, _ in rows:
+            np.add.at(found, ids, 1)
+        held = found >= least
+        many = int(found[held].sum())
+        self.row, self.id = np.empty(many, np.int32), np.empty(many, np.int32)
+        self.value = np.empty(many, np.result_type(np.float32, *{v.dtype for _, v in rows}))
+        end = 0
+        for i, (ids, values) in enumerate(rows):
+            stays = held[ids]
+            at, end = end, end + int(stays.sum())
+            self.row[at:end], self.id[at:end], self.value[at:end] = i, ids[stays], values[stays]
+
+    def _added(self, size: int, to: np.ndarray, factors: np.ndarray, of: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        for at in range(0, len(to), CHUNK):
+            part = slice(at, at + CHUNK)
+            np.add.at(out, to[part].astype(np.intp), self.value[part] * factors[of[part]])
+        return out
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.id], minlength=self.size)
+        return self._added(self.size, self.row, weights, self.id)
 
     def back(self, slope: np.ndarray) -> np.ndarray:
-        return np.bincount(self.id, self.value * slope[self.row], minlength=1 << BITS)
+        return self._added(1 << BITS, self.id, slope, self.row)
 
 
 def adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:
@@ -108,5 +128,9 @@ def sampled_features(docs: DataFrame, ids: DataFrame, features) -> list:
 
     few = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     made = over_texts(few, make, "ids binary, counts binary")
-    rows = {r.doc_id: (np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32)) for r in made.collect()}
+    # as Arrow buffers: a row's arrays are views of them, and they go back to the system as a whole
+    rows = {}
+    for part in made.select("doc_id", "ids", "counts").toArrow().to_batches():
+        for doc, i, n in zip(*part.columns, strict=True):
+            rows[doc.as_py()] = (np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.float32))
     return [(r, rows[r.doc_id]) for r in ids.collect() if r.doc_id in rows]

@@ -1,13 +1,14 @@
 """Held-out accuracy of the classifiers, and the pipeline as a whole."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from loglathe.llm import decontaminate, line_dedup, quality, queries, simhash, toxicity
-from loglathe.llm.linear import held_out
+from loglathe.llm.linear import BITS, Sample, held_out
 from tests.llm.texts import words
 
 SF = "/root/testdata/sf0.01"
@@ -92,3 +93,29 @@ def test_pipeline_stages(spark, tmp_path):
     whole = queries.mixing.mix(safe).where("taken > 0")
     assert mixed.count() == whole.select(F.sum(F.col("taken") / F.col("size"))).first()[0]
     assert sorted(map(repr, p.run(spark, SF).collect())) == sorted(map(repr, mixed.collect()))
+
+
+def test_sample_takes_little_of_the_driver():
+    """12 bytes for each entry that stays, and no array of all entries for a product; sums are those of one pass."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(1500):
+        ids = np.unique(rng.integers(0, 40_000, 400).astype(np.int32))
+        rows.append((ids, rng.random(len(ids)).astype(np.float32)))
+    weights, slope = rng.normal(size=1 << BITS), rng.normal(size=1500)
+    tracemalloc.start()
+    x = Sample(rows, 4)
+    n = len(x.id)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    down, back = x.dot(weights), x.back(slope)
+    product = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert n > 400_000 and held < 13 * n and peak < 12 * n + (6 << 20) and product < 8 << 20
+    row = np.repeat(np.arange(1500), [len(i) for i, _ in rows])
+    ids, values = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
+    stays = np.bincount(ids, minlength=1 << BITS)[ids] >= 4
+    row, ids, values = row[stays], ids[stays], values[stays]
+    assert n == len(ids) and (down == np.bincount(row, values * weights[ids], minlength=1500)).all()
+    assert (back == np.bincount(ids, values * slope[row], minlength=1 << BITS)).all()
+    assert not Sample([], 4).dot(weights).any() and not Sample([], 4).back(np.zeros(0)).any()

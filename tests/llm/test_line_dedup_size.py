@@ -35,3 +35,18 @@ def test_texts_of_lines_without_a_candidate_are_not_shuffled(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in line_dedup.line_report(docs).where("n_removed > 0").collect()}
     assert got == set(range(1, 20))
+
+
+def test_few_tables_for_lines_with_several_candidates(spark, monkeypatch):
+    """Each table costs the driver a plan and tasks: 30 candidates, the last of which alone matches, take two rounds."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5))) for i in range(30)] + [(30, " ".join(f"w29x{j}" for j in range(5)) + " ")]
+    lines = spark.createDataFrame(rows, "doc_id long, line string").withColumn("l1", F.col("doc_id")).withColumn("l2", -F.col("doc_id"))
+    nodes = lines.select("l1", "l2", F.struct(F.lit(False).alias("no"), "doc_id").alias("first"), F.lit(5).alias("n"), F.lit(None).cast("array<long>").alias("wide"))
+    pairs = spark.createDataFrame([(30, i) for i in range(30)] + [(1, 0)], "late long, early long")
+    kept, keep = [], line_dedup.keep
+    monkeypatch.setattr(line_dedup, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    assert [tuple(r) for r in line_dedup.with_earlier_match(lines, nodes, pairs).collect()] == [(30, -30)]
+    assert kept.count("line-repeats") == 2 and kept.count("line-todo") == 2
+    kept.clear()
+    assert line_dedup.with_earlier_match(lines, nodes, pairs.where("false")).collect() == []
+    assert kept.count("line-repeats") == 1 and kept.count("line-todo") == 1
